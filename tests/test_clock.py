@@ -1,0 +1,176 @@
+import datetime as dt
+
+import pytest
+
+from pyspark.sql import functions as F
+
+from tickloom.functions import clock
+
+TEXTS = {
+    "2025-10-22 11:01:00": 1761130860000000000,
+    "2025-10-22T11:01:00Z": 1761130860000000000,
+    "2025-10-22t11:01:00z": 1761130860000000000,
+    "2025-10-22T16:31:00+05:30": 1761130860000000000,
+    "2025-10-22T03:01:00.5-08:00": 1761130860500000000,
+    "2025-10-22T11:01:00.123456789Z": 1761130860123456789,
+    "2025-10-22T11:01:00.1234567891234Z": 1761130860123456789,
+    "2025-10-22": 1761091200000000000,
+    "2025-1-2": 1735776000000000000,
+    "2025-1-2 3:4:5": 1735787045000000000,
+    "1969-12-31T23:59:59.999999999Z": -1,
+    "3000-01-01": 0,
+    "2025-10-22T11:01:00": None,
+    "2025-10-22 11:01:00.5": None,
+    "2025-13-01": None,
+    "2025-02-30": None,
+    "2025-10-22 24:00:00": None,
+    "nonsense": None,
+    "": None,
+}
+
+
+def column(spark, values, kind, build):
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r[0] for r in frame.orderBy("i").select(build(F.col("v"))).collect()]
+
+
+def test_to_epoch_ns(spark):
+    assert dict(zip(TEXTS, column(spark, TEXTS, "string", clock.to_epoch_ns))) == TEXTS
+
+
+def test_parse_ns_agrees():
+    assert {text: clock.parse_ns(text) for text in TEXTS} == TEXTS
+
+
+def test_utc_text(spark):
+    texts = ["2025-10-22T16:31:00.9+05:30", "3000-01-01", "x"]
+    assert column(spark, texts, "string", clock.to_utc_text) == [
+        "2025-10-22 11:01:00 UTC",
+        "3000-01-01 00:00:00 UTC",
+        None,
+    ]
+
+
+def test_from_epoch_ns(spark):
+    values = [1761130860010235508, 0, -1, -1_000_000_000]
+    assert column(spark, values, "bigint", clock.from_epoch_ns) == [
+        "2025-10-22 11:01:00.010235508 UTC",
+        "1970-01-01 00:00:00.000000000 UTC",
+        "1969-12-31 23:59:59.999999999 UTC",
+        "1969-12-31 23:59:59.000000000 UTC",
+    ]
+
+
+def test_to_epoch_ms_takes_offsets_only(spark):
+    texts = ["2025-10-22T11:01:00.999999Z", "2025-10-22", "x"]
+    assert column(spark, texts, "string", clock.to_epoch_ms) == [1761130860999, 0, 0]
+
+
+BOUNDARIES = [
+    (604_800_001, "1d"),
+    (604_800_000, "1h"),
+    (86_400_001, "1h"),
+    (86_400_000, "15m"),
+    (14_400_001, "15m"),
+    (14_400_000, "5m"),
+    (3_600_001, "5m"),
+    (3_600_000, "1m"),
+    (900_001, "1m"),
+    (900_000, "10s"),
+    (300_001, "10s"),
+    (300_000, "1s"),
+    (0, "1s"),
+]
+
+
+def test_auto_resolution_boundaries(spark):
+    got = column(spark, [ms for ms, _ in BOUNDARIES], "bigint", clock.auto_resolution)
+    assert got == [name for _, name in BOUNDARIES]
+
+
+@pytest.mark.parametrize("ms,name", BOUNDARIES)
+def test_pick_resolution_boundaries(ms, name):
+    start = dt.datetime(2025, 10, 22, tzinfo=dt.timezone.utc)
+    end = start + dt.timedelta(milliseconds=ms)
+    texts = start.isoformat(timespec="milliseconds"), end.isoformat(timespec="milliseconds")
+    assert clock.pick_resolution(*texts) == name
+    assert clock.pick_resolution(*reversed(texts)) == name
+
+
+def test_unreadable_end_counts_as_the_epoch():
+    assert clock.pick_resolution("2025-10-22", "?") == "1d"
+    assert clock.pick_resolution("?", "?") == "1s"
+
+
+INTERVALS = {
+    "5m": "5m",
+    "5M": "5m",
+    " 15s ": "15s",
+    "2H": "2h",
+    "xm": "1m",
+    "h": "1h",
+    "1.5h": "1h",
+    "+7m": "7m",
+    "99999999999999999999s": "1s",
+    "1d": "1m",
+    "10": "1m",
+    "": "1m",
+    "0m": None,
+    "-5m": None,
+}
+
+
+def test_parse_interval(spark):
+    for text, expected in INTERVALS.items():
+        if expected is None:
+            with pytest.raises(ValueError):
+                clock.parse_interval(text)
+        else:
+            assert clock.parse_interval(text) == expected, text
+    assert dict(zip(INTERVALS, column(spark, INTERVALS, "string", clock.interval_text))) == INTERVALS
+
+
+def test_resolutions(spark):
+    texts = ["1s", "10s", "1m", "5m", "15m", "1h", "1d", "auto", "2m", "1H", None]
+    expected = ["1s", "10s", "1m", "5m", "15m", "1h", "1d", "1m", "1m", "1m", "1m"]
+    assert column(spark, texts, "string", clock.normalize_resolution) == expected
+    assert [clock.resolution_or_default(t) for t in texts] == expected
+
+
+def test_date_series(spark):
+    frame = spark.createDataFrame(
+        [(dt.date(2024, 2, 28), dt.date(2024, 3, 2)), (dt.date(2024, 3, 2), dt.date(2024, 3, 2)),
+         (dt.date(2024, 3, 3), dt.date(2024, 3, 2))],
+        "a date, b date",
+    )
+    got = [r[0] for r in frame.select(clock.date_series(F.col("a"), F.col("b"))).collect()]
+    assert got == [[dt.date(2024, 2, 28), dt.date(2024, 2, 29), dt.date(2024, 3, 1)], [], []]
+
+
+def test_slot_series(spark):
+    slots = column(spark, [dt.date(2024, 1, 2)], "date", clock.slot_series)[0]
+    assert len(slots) == 96
+    assert (slots[0].slot, slots[1].slot, slots[95].slot) == ("00-00", "00-15", "23-45")
+    assert slots[95].end_ns == clock.as_ns("2024-01-03")
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_parts_do_not_depend_on_the_session_zone(spark, zone):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        ns = clock.as_ns("2024-03-10T23:59:59Z")
+        one = spark.range(1).select(
+            clock.date_of(F.lit(ns)), clock.hour_of(F.lit(ns)), clock.slot_of(F.lit(ns)), clock.epoch_ms(F.lit(-1))
+        )
+        assert tuple(one.first()) == (dt.date(2024, 3, 10), 23, "23-45", -1)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_as_ns():
+    assert clock.as_ns(5) == 5
+    assert clock.as_ns(dt.date(1970, 1, 2)) == clock.DAY
+    assert clock.as_ns(dt.datetime(1970, 1, 1, 0, 0, 1, 7)) == clock.SECOND + 7_000
+    with pytest.raises(ValueError):
+        clock.as_ns("soon")

@@ -45,13 +45,10 @@ AUTO_FINEST = "1s"
 _UNITS = {"s": SECOND, "m": MINUTE, "h": HOUR, "d": DAY}
 
 # Accepted texts, most specific first.  Only the first form carries an offset.
-_OFFSET_FORM = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:[0-5]\d)$"
+_OFFSET_FORM = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 _PLAIN_FORM = r"^\d{1,4}-\d{1,2}-\d{1,2} +\d{1,2}:\d{1,2}:\d{1,2}$"
 _DATE_FORM = r"^\d{1,4}-\d{1,2}-\d{1,2}$"
-_PARTS = (
-    r"^(\d{1,4}-\d{1,2}-\d{1,2})"
-    r"(?:[Tt ]+(\d{1,2}):(\d{1,2}):(\d{1,2})(?:\.(\d{1,9})\d*)?([Zz]|[+-]\d{2}:\d{2})?)?$"
-)
+_FRACTION = r"\.(\d{1,9})\d*"
 
 
 # --- integer helpers ------------------------------------------------------
@@ -107,62 +104,41 @@ def micros_to_ns(ts: Column) -> Column:
     return F.unix_micros(ts) * F.lit(1_000)
 
 
-def from_epoch_ns(ns: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss.nnnnnnnnn UTC``."""
-    return F.concat(
-        _seconds_text(floor_div(ns, SECOND)),
-        F.lit("."),
-        _pad(F.pmod(ns, F.lit(SECOND)), 9),
-        F.lit(" UTC"),
-    )
+_SECONDS_TEXT = "yyyy-MM-dd HH:mm:ss"
 
 
-def _seconds_text(seconds: Column) -> Column:
-    of_day = F.pmod(seconds, F.lit(86_400))
+def from_epoch_ns(ns: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss.nnnnnnnnn UTC`` (under the session zone UTC)."""
+    seconds = F.timestamp_seconds(floor_div(ns, SECOND))
     return F.concat(
-        F.date_from_unix_date(floor_div(seconds, 86_400).cast("int")).cast("string"),
-        F.lit(" "),
-        _pad(floor_div(of_day, 3_600), 2),
-        F.lit(":"),
-        _pad(floor_div(F.pmod(of_day, F.lit(3_600)), 60), 2),
-        F.lit(":"),
-        _pad(F.pmod(of_day, F.lit(60)), 2),
+        F.date_format(seconds, _SECONDS_TEXT), F.lit("."), _pad(F.pmod(ns, F.lit(SECOND)), 9), F.lit(" UTC")
     )
 
 
 # --- text to time ---------------------------------------------------------
 
 
-def _part(text: Column, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, _PARTS, group), F.lit(""))
-
-
-def _number(text: Column, group: int) -> Column:
-    return F.coalesce(_part(text, group).try_cast("bigint"), F.lit(0).cast("bigint"))
-
+def _instant(text: Column, offset_only: bool = False) -> Column:
+    """TIMESTAMP of a text, to the second; NULL if no form fits.
 
-def _parsed(text: Column, forms: tuple[str, ...]) -> tuple[Column, Column]:
-    """Whole seconds and nanoseconds of a text; seconds are NULL if it is no time."""
-    fits = F.lit(False)
-    for form in forms:
-        fits = fits | text.rlike(form)
-    day = F.unix_date(F.try_to_date(_part(text, 1), "y-M-d")).cast("bigint")
-    hour, minute, second = (_number(text, g) for g in (2, 3, 4))
-    zone = _part(text, 6)
-    offset = F.coalesce(
-        F.substring(zone, 2, 2).try_cast("bigint") * 3_600 + F.substring(zone, 5, 2).try_cast("bigint") * 60,
-        F.lit(0).cast("bigint"),
-    )
-    ahead = F.when(F.substring(zone, 1, 1) == "-", -offset).otherwise(offset)
-    seconds = F.when(
-        fits & (hour < 24) & (minute < 60) & (second <= 60) & (offset < 86_400),
-        day * 86_400 + hour * 3_600 + minute * 60 + second - ahead,
+    Texts without an offset are UTC.  The patterns are explicit, as the default
+    ones also take texts the forms exclude.
+    """
+    whole = F.translate(F.upper(F.regexp_replace(text, _FRACTION, "")), " ", "T")
+    zoned = F.when(text.rlike(_OFFSET_FORM), F.try_to_timestamp(whole, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
+    if offset_only:
+        return zoned
+    utc = F.concat(F.regexp_replace(text, " +", " "), F.lit("Z"))
+    return F.coalesce(
+        zoned,
+        F.when(text.rlike(_PLAIN_FORM), F.try_to_timestamp(utc, F.lit("y-M-d H:m:sX"))),
+        F.when(text.rlike(_DATE_FORM), F.try_to_timestamp(utc, F.lit("y-M-dX"))),
     )
-    nanos = F.coalesce(F.rpad(_part(text, 5), 9, "0").try_cast("bigint"), F.lit(0).cast("bigint"))
-    return seconds, nanos
 
 
-_ALL_FORMS = (_OFFSET_FORM, _PLAIN_FORM, _DATE_FORM)
+def _nanos(text: Column) -> Column:
+    """Nanoseconds of the fraction, which a TIMESTAMP would cut."""
+    return F.rpad(F.regexp_extract(text, _FRACTION, 1), 9, "0").try_cast("bigint")
 
 
 def to_epoch_ns(text: Column) -> Column:
@@ -170,30 +146,31 @@ def to_epoch_ns(text: Column) -> Column:
 
     NULL when no form fits, 0 when the time lies outside the 64-bit range.
     """
-    seconds, nanos = _parsed(text, _ALL_FORMS)
-    exact = F.try_add(F.try_multiply(seconds, F.lit(SECOND)), nanos)
+    seconds = F.unix_seconds(_instant(text))
+    exact = F.try_add(F.try_multiply(seconds, F.lit(SECOND)), _nanos(text))
     return F.when(seconds.isNotNull(), F.coalesce(exact, F.lit(0).cast("bigint")))
 
 
 def to_utc_text(text: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss UTC`` of the same texts."""
-    seconds, _ = _parsed(text, _ALL_FORMS)
-    return F.concat(_seconds_text(seconds), F.lit(" UTC"))
+    """``yyyy-MM-dd HH:mm:ss UTC`` of the same texts (under the session zone UTC)."""
+    return F.concat(F.date_format(_instant(text), _SECONDS_TEXT), F.lit(" UTC"))
 
 
-def _millis(text: Column, forms: tuple[str, ...]) -> Column:
-    seconds, nanos = _parsed(text, forms)
-    return F.coalesce(seconds * 1_000 + floor_div(nanos, 1_000_000), F.lit(0).cast("bigint"))
+def _millis(text: Column, offset_only: bool = False) -> Column:
+    ms = F.unix_seconds(_instant(text, offset_only)) * 1_000 + F.call_function(
+        "div", _nanos(text), F.lit(1_000_000).cast("bigint")
+    )
+    return F.coalesce(ms, F.lit(0).cast("bigint"))
 
 
 def to_epoch_ms(text: Column) -> Column:
     """Milliseconds of a text with offset; 0 for anything else."""
-    return _millis(text, (_OFFSET_FORM,))
+    return _millis(text, offset_only=True)
 
 
 def duration_ms(start: Column, end: Column) -> Column:
     """Absolute distance of two texts; an unreadable one counts as the epoch."""
-    return F.abs(_millis(end, _ALL_FORMS) - _millis(start, _ALL_FORMS))
+    return F.abs(_millis(end) - _millis(start))
 
 
 # --- resolutions and intervals as columns ---------------------------------
@@ -254,23 +231,24 @@ def slot_series(date: Column) -> Column:
 
 def parse_ns(text: str) -> int | None:
     """Driver-side twin of :func:`to_epoch_ns`, for request arguments."""
-    if not any(re.match(form, text, re.ASCII) for form in _ALL_FORMS):
-        return None
-    date, hour, minute, second, fraction, zone = re.match(_PARTS, text, re.ASCII).groups()
+
+    def fits(form: str) -> bool:
+        return re.match(form, text, re.ASCII) is not None
+
+    fraction = re.search(_FRACTION, text, re.ASCII)
     try:
-        days = (dt.date(*map(int, date.split("-"))) - dt.date(1970, 1, 1)).days
+        if fits(_OFFSET_FORM):
+            whole = re.sub(_FRACTION, "", text, flags=re.ASCII).upper().replace(" ", "T")
+            instant = dt.datetime.strptime(whole, "%Y-%m-%dT%H:%M:%S%z")
+        elif fits(_PLAIN_FORM):
+            instant = dt.datetime(*map(int, re.findall(r"\d+", text)), tzinfo=dt.timezone.utc)
+        elif fits(_DATE_FORM):
+            instant = dt.datetime(*map(int, text.split("-")), tzinfo=dt.timezone.utc)
+        else:
+            return None
     except ValueError:
         return None
-    hour, minute, second = int(hour or 0), int(minute or 0), int(second or 0)
-    offset = 0
-    if zone and zone not in "Zz":
-        offset = int(zone[1:3]) * 3_600 + int(zone[4:6]) * 60
-    if hour > 23 or minute > 59 or second > 60 or offset >= 86_400:
-        return None
-    if zone and zone[0] == "-":
-        offset = -offset
-    seconds = days * 86_400 + hour * 3_600 + minute * 60 + second - offset
-    ns = seconds * SECOND + int((fraction or "").ljust(9, "0"))
+    ns = as_ns(instant) + int((fraction[1] if fraction else "").ljust(9, "0"))
     return ns if -(2**63) <= ns < 2**63 else 0
 
 

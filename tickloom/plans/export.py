@@ -22,23 +22,27 @@ def export_slots(
     end: When | None = None,
     symbol: str | None = None,
     max_records_per_file: int = 0,
+    tasks: int | None = None,
 ) -> None:
     """Write ticks of [start, end) to ``date=/slot=`` folders, zstd, sorted by time.
 
     Exporting a slot again replaces it; slots without ticks are not touched.
     With a symbol only its ticks are written, below ``symbol=``.  The rebalance
-    gives small slots to one task each and cuts a hot slot (an opening auction
-    with a third of the day) into several files, each sorted.
+    gathers thin slots in one task and cuts a hot slot (an opening auction with a
+    third of the day) into several files, each sorted.  Where slots are so thin
+    that opening files is the cost, ``tasks`` spreads them over that many tasks
+    instead.
     """
     rows = time_range(ticks if symbol is None else for_symbol(ticks, symbol), start, end)
     folders = ["date", "slot"] if symbol is None else ["symbol", "date", "slot"]
-    rows = (
-        with_slots(rows)
-        .hint("rebalance", F.col("date"), F.col("slot"))
-        .sortWithinPartitions(*folders, *(name for name in TICK_ORDER))
-    )
+    slotted = with_slots(rows)
+    if tasks is None:
+        slotted = slotted.hint("rebalance", F.col("date"), F.col("slot"))
+    else:
+        slotted = slotted.repartition(tasks, "date", "slot")
     (
-        rows.write.mode("overwrite")
+        slotted.sortWithinPartitions(*folders, *TICK_ORDER)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .option("maxRecordsPerFile", max_records_per_file)

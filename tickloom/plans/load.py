@@ -17,9 +17,6 @@ from ..sources.raw import read_raw
 
 CONCURRENT_FILES = 2
 
-_KEEP = F.col("keep")
-
-
 def mapped(
     raw: DataFrame, symbol_map: DataFrame, allowlist: DataFrame | None = None, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -50,7 +47,7 @@ def normalize(
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Raw records to ticks: type filter, symbol mapping, allow-list, scaling."""
-    return as_ticks(mapped(raw, symbol_map, allowlist, max_rows).where(_KEEP), null_undefined)
+    return as_ticks(mapped(raw, symbol_map, allowlist, max_rows).where(F.col("keep")), null_undefined)
 
 
 def ingest_summary(
@@ -63,8 +60,8 @@ def ingest_summary(
     book = F.col("rtype") == "mbo"
     known = map_symbols(raw, flag_allowed(symbol_map, allowlist), how="left", max_rows=max_rows)
     return known.groupBy("source_file").agg(
-        F.count_if(book & _KEEP).alias("rows_kept"),
-        F.count_if(book & ~_KEEP).alias("rows_skipped"),
+        F.count_if(book & F.col("keep")).alias("rows_kept"),
+        F.count_if(book & ~F.col("keep")).alias("rows_skipped"),
     )
 
 
@@ -182,10 +179,10 @@ def load_file(
     name = path.rstrip("/").rsplit("/", 1)[-1]
     seen = Observation()
     records = mapped(read_raw(spark, path), symbol_map, allowlist).observe(
-        seen, F.count_if(_KEEP).alias("kept"), F.count_if(~_KEEP).alias("skipped")
+        seen, F.count_if(F.col("keep")).alias("kept"), F.count_if(~F.col("keep")).alias("skipped")
     )
     try:
-        append_ticks(as_ticks(records.where(_KEEP)), root, load=name, hourly=hourly)
+        append_ticks(as_ticks(records.where(F.col("keep"))), root, load=name, hourly=hourly)
     except Exception as failure:  # one file's failure must not stop the others
         return FileLoad(name, error=str(failure).splitlines()[0])
     counts = seen.get

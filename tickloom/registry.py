@@ -79,8 +79,16 @@ def _table(spark: SparkSession, sf_dir: str) -> str:
     )
 
 
+# Up to this many ticks an export is bound by its files, not by its bytes.
+THIN_EXPORT = 1_000_000
+
+
 def _exports(spark: SparkSession, sf_dir: str) -> str:
-    return _written(spark, sf_dir, "exports", export.export_slots)
+    def write(ticks: DataFrame, root: str) -> None:
+        thin = lookup.fits(ticks, THIN_EXPORT)
+        export.export_slots(ticks, root, tasks=2 * spark.sparkContext.defaultParallelism if thin else None)
+
+    return _written(spark, sf_dir, "exports", write)
 
 
 def _own_exports(spark: SparkSession, sf_dir: str) -> str:
