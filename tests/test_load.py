@@ -207,6 +207,34 @@ def test_load_file_counts_skipped_rows(spark, raw_folder, tmp_path):
     assert done.rows_kept > 0 and done.rows_skipped > 0
 
 
+def test_load_file_of_which_nothing_is_kept(spark, raw_folder, tmp_path):
+    mapping = samples.symbol_map(spark, SF)
+    path, root = str(raw_folder / "feed-20240105.mbo.parquet"), str(tmp_path / "t")
+    nobody = spark.createDataFrame([("NOBODY",)], "symbol string")
+    done = load.load_file(spark, path, root, mapping, nobody, hourly=False)
+    assert (done.error, done.rows_kept) == (None, 0)
+    assert done.rows_skipped == expected(spark, ["20240105"]).count()
+
+
+def test_raw_file_may_be_a_folder_of_part_files(spark, tmp_path):
+    records = samples.raw_records(spark, SF)
+    folder = tmp_path / "raw"
+    records.drop("source_file").repartition(3).write.parquet(str(folder / "feed-all.mbo.parquet"))
+    assert rows.values(raw_source.raw_files(spark, str(folder)), "file_name") == [("feed-all.mbo.parquet",)]
+    assert rows.values(raw_source.read_raw(spark, str(folder)).select("source_file").distinct()) == [
+        ("feed-all.mbo.parquet",)
+    ]
+    path = raw_source.raw_files(spark, str(folder)).first().path
+    done = load.load_file(spark, path, str(tmp_path / "t"), samples.symbol_map(spark, SF), hourly=False)
+    good = load.normalize(records, samples.symbol_map(spark, SF))
+    assert (done.file, done.rows_kept) == ("feed-all.mbo.parquet", good.count())
+    query = ingest_stream(
+        spark, str(folder), str(tmp_path / "s"), str(tmp_path / "c"), samples.symbol_map(spark, SF), hourly=False
+    )
+    assert query.awaitTermination(120)
+    assert tick_source.scan_table(spark, str(tmp_path / "s")).count() == good.count()
+
+
 def test_pending_files_by_date(spark):
     files = spark.createDataFrame(
         [("feed-20240110.mbo.parquet",), ("feed-20240111.mbo.parquet",), ("feed.mbo.parquet",)], "file_name string"

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..functions import clock, text
 from ..operators.filters import of_rtypes
 from ..operators.lookup import BROADCAST_ROWS, flag_allowed, fits, map_symbols
 from ..schema import TABLE_PARTITIONS, TICK, TICK_COLUMNS
-from ..sources.raw import read_raw
+from ..sources.raw import read_raw_files
 
 CONCURRENT_FILES = 2
 
@@ -177,16 +178,19 @@ def load_file(
     second read.  A failed load leaves no rows behind.
     """
     name = path.rstrip("/").rsplit("/", 1)[-1]
+    counts = [F.count_if(F.col("keep")).alias("kept"), F.count_if(~F.col("keep")).alias("skipped")]
     seen = Observation()
-    records = mapped(read_raw(spark, path), symbol_map, allowlist).observe(
-        seen, F.count_if(F.col("keep")).alias("kept"), F.count_if(~F.col("keep")).alias("skipped")
-    )
     try:
-        append_ticks(as_ticks(records.where(F.col("keep"))), root, load=name, hourly=hourly)
+        records = mapped(read_raw_files(spark, [path]), symbol_map, allowlist)
+        kept = records.observe(seen, *counts).where(F.col("keep"))
+        append_ticks(as_ticks(kept), root, load=name, hourly=hourly)
+        try:
+            found = seen.get
+        except Py4JJavaError:  # nothing was kept, and the observed plan was dropped with it
+            found = records.agg(*counts).first().asDict()
     except Exception as failure:  # one file's failure must not stop the others
         return FileLoad(name, error=str(failure).splitlines()[0])
-    counts = seen.get
-    return FileLoad(name, counts["kept"], counts["skipped"])
+    return FileLoad(name, found["kept"], found["skipped"])
 
 
 def load_files(

@@ -5,39 +5,51 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_symbols
 from ..schema import RAW
 
 RAW_FILES = "*.mbo.parquet"
 
+# A raw file is one Parquet file, or a folder of part files, of that name.
+_RAW_NAME = r"([^/]+\.mbo\.parquet)(/[^/]+)?$"
+_RAW_PATH = r"^(.*/[^/]+\.mbo\.parquet)(/[^/]+)?$"
 
-def read_raw(spark: SparkSession, path: str | list[str], ignore_corrupt: bool = False) -> DataFrame:
-    """Decoded records of one folder (not its subfolders), or of given files.
 
-    ``source_file`` is the name of the file a record comes from.
-    """
-    columns = [field for field in RAW.fields if field.name != "source_file"]
-    paths = [path] if isinstance(path, str) else path
-    rows = (
-        spark.read.schema(type(RAW)(columns))
-        .option("pathGlobFilter", RAW_FILES)
-        .option("ignoreCorruptFiles", str(ignore_corrupt).lower())
-        .parquet(*paths)
-    )
-    return rows.select(F.col("_metadata.file_name").alias("source_file"), *(f.name for f in columns))
+def raw_columns() -> T.StructType:
+    """Columns stored in raw files; ``source_file`` is the name of the file itself."""
+    return T.StructType([field for field in RAW.fields if field.name != "source_file"])
+
+
+def with_source_file(rows: DataFrame) -> DataFrame:
+    name = F.regexp_extract(F.col("_metadata.file_path"), _RAW_NAME, 1)
+    return rows.select(name.alias("source_file"), *raw_columns().fieldNames())
+
+
+def read_raw(spark: SparkSession, folder: str, ignore_corrupt: bool = False) -> DataFrame:
+    """Decoded records of the raw files directly in a folder."""
+    return read_raw_files(spark, [f"{folder.rstrip('/')}/{RAW_FILES}"], ignore_corrupt)
+
+
+def read_raw_files(spark: SparkSession, paths: list[str], ignore_corrupt: bool = False) -> DataFrame:
+    """Decoded records of given raw files."""
+    reader = spark.read.schema(raw_columns()).option("ignoreCorruptFiles", str(ignore_corrupt).lower())
+    return with_source_file(reader.parquet(*paths))
 
 
-def raw_files(spark: SparkSession, path: str) -> DataFrame:
-    """Names and paths of the raw files in a folder, in name order.
+def raw_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Names and paths of the raw files directly in a folder, in name order.
 
     Only the listing is used; no content is read.
     """
+    listed = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{RAW_FILES}")
     return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", RAW_FILES)
-        .load(path)
-        .select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "path")
+        listed.select(
+            F.regexp_extract("path", _RAW_NAME, 1).alias("file_name"),
+            F.regexp_extract("path", _RAW_PATH, 1).alias("path"),
+        )
+        .distinct()
         .orderBy("file_name")
     )
 

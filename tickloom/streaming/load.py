@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from ..plans.load import append_ticks, normalize
-from ..schema import RAW
-from ..sources.raw import RAW_FILES
+from ..sources.raw import RAW_FILES, raw_columns, with_source_file
 
 
 def ingest_stream(
@@ -33,13 +30,12 @@ def ingest_stream(
     a batch job also keeps the rebalance of :func:`append_ticks`.  ``max_files``
     or ``max_bytes`` bounds a batch.
     """
-    columns = StructType([field for field in RAW.fields if field.name != "source_file"])
-    reader = spark.readStream.schema(columns).option("pathGlobFilter", RAW_FILES)
+    reader = spark.readStream.schema(raw_columns())
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if max_bytes is not None:
         reader = reader.option("maxBytesPerTrigger", max_bytes)
-    raw = reader.parquet(source).select(F.col("_metadata.file_name").alias("source_file"), "*")
+    raw = with_source_file(reader.parquet(f"{source.rstrip('/')}/{RAW_FILES}"))
 
     def write(batch: DataFrame, number: int) -> None:
         ticks = normalize(batch, symbol_map, allowlist)
