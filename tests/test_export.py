@@ -70,6 +70,12 @@ def test_dates_prune_folders(spark, ticks, tmp_path):
     # an end alone selects nothing in particular
     assert tick_source.scan_exports(spark, root, end="2024-01-06").count() == tick_source.scan_exports(spark, root).count()
     assert tick_source.scan_exports(spark, root, start="2025-01-01", end="2025-02-01").count() == 0
+    assert tick_source.scan_exports(spark, root, start="2024-01-07", end="2024-01-05").count() == 0
+    # only the folders of the selected dates are listed
+    assert {f.split("date=")[1][:10] for f in one.inputFiles()} == {"2024-01-06"}
+    # a range too long to list by date is filtered instead
+    wide = tick_source.scan_exports(spark, root, start="2020-01-01", end="2024-01-07")
+    assert {r.date.isoformat() for r in wide.select("date").distinct().collect()} == {"2024-01-05", "2024-01-06"}
 
 
 def test_symbol_exports_are_preferred_per_date(spark, ticks, tmp_path):
@@ -87,10 +93,23 @@ def test_symbol_exports_are_preferred_per_date(spark, ticks, tmp_path):
         ("2024-01-07", False),
     }
     assert flags(date="2024-01-07") == {("2024-01-07", False)}
+    assert flags(date="2024-01-06") == {("2024-01-06", True)}
+    assert tick_source.read_symbol_exports(spark, own, "S00099").count() == 0
     # without dates only the general export is read
     assert not any(own_row for _, own_row in flags())
 
 
+def test_symbols_with_special_characters(spark, tmp_path):
+    own = str(tmp_path / "own")
+    odd = ["BF.B", "A/B=C", "X %[1]{2}^", "Q:?*#"]
+    ticks = rows.ticks(spark, *(dict(at="2024-01-05", symbol=s) for s in odd))
+    for symbol in odd:
+        export.export_slots(ticks, own, symbol=symbol, tasks=1)
+    for symbol in odd:
+        got = tick_source.scan_exports(spark, own, date="2024-01-05", symbol=symbol, symbol_root=own)
+        assert rows.values(got, "symbol") == [(symbol,)]
+
+
 def test_line_protocol(spark):
     tick = rows.ticks(
         spark,

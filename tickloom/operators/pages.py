@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -15,9 +16,10 @@ from .filters import When, for_symbol, time_range
 PAGE_DEFAULT = 10_000
 PAGE_MAX = 50_000
 
-# Rows a task may hold to serve a page by plain top-k.  Deeper pages first look
-# for the time at which they begin.
-DIRECT_ROWS = 200_000
+# Rows a task may send on to serve a page by plain top-k: with thousands of
+# tasks, what reaches the last one is thousands of times as much.  Larger and
+# deeper pages first look for the time at which they begin and end.
+DIRECT_ROWS = 20_000
 SLICES = 1_024
 
 
@@ -197,13 +199,16 @@ def latest(
 ) -> DataFrame:
     """Newest ``n`` ticks of a symbol later than ``anchor - within``, newest first.
 
-    The anchor is the current time unless given, e.g. as a scalar subquery.
+    The anchor is the current time unless given.  A known time prunes partitions;
+    a column, such as a scalar subquery, only filters rows.
     """
+    rows = for_symbol(ticks, symbol)
     if anchor_ns is None:
-        anchor_ns = clock.micros_to_ns(F.current_timestamp())
-    elif isinstance(anchor_ns, int):
-        anchor_ns = F.lit(anchor_ns)
-    recent = for_symbol(ticks, symbol).where(F.col("ts_event_ns") > anchor_ns - F.lit(within_ns))
+        anchor_ns = time.time_ns()
+    if isinstance(anchor_ns, int):
+        recent = time_range(rows, anchor_ns - within_ns + 1)
+    else:
+        recent = rows.where(F.col("ts_event_ns") > anchor_ns - F.lit(within_ns))
     return recent.select(*TICK_COLUMNS).orderBy(*(F.col(name).desc() for name in TICK_ORDER)).limit(n)
 
 

@@ -392,7 +392,7 @@ def export_roundtrip(spark, sf_dir):
 
 @query
 def export_roundtrip_symbol(spark, sf_dir):
-    rows = tick_source.read_symbol_exports(spark, _own_exports(spark, sf_dir))
+    rows = tick_source.read_symbol_exports(spark, _own_exports(spark, sf_dir), SYMBOL)
     return rows.select("date", "slot", *TICK_COLUMNS)
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,30 +18,65 @@ from ..schema import EXPORT_PARTITIONS, TABLE_PARTITIONS, TICK, TICK_COLUMNS
 
 Day = str | dt.date
 
+# Fixed value: characters Spark escapes in the folder name of a partition value.
+_ESCAPED = r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]"""
 
-def read_ticks(spark: SparkSession, root: str | list[str], partitions: T.StructType = TABLE_PARTITIONS) -> DataFrame:
+# Up to this many selected dates are listed one folder each; beyond, the root is
+# listed once and partition filters select.
+LISTED_DATES = 400
+
+
+def read_ticks(
+    spark: SparkSession,
+    root: str,
+    partitions: T.StructType = TABLE_PARTITIONS,
+    dates: list[dt.date] | None = None,
+    below: str = "",
+) -> DataFrame:
     """Every ``.parquet`` file under a root as one frame of ticks.
 
     The schema is given, not inferred, so no footer is read for it and partition
-    values keep their types.
+    values keep their types.  With ``dates`` only their folders are listed:
+    years of 15-minute folders would cost more to list than a day costs to read.
+    Dates without a folder are skipped.  ``below`` leads to folders above them.
     """
-    roots = [root] if isinstance(root, str) else root
     schema = T.StructType([*TICK.fields, *partitions.fields])
-    return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(*roots)
+    reader = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").option("basePath", root)
+    path = "/".join([root.rstrip("/"), *filter(None, [below])])
+    if dates is None or len(dates) > LISTED_DATES:
+        return _or_empty(spark, schema, lambda: reader.parquet(path)) if below else reader.parquet(path)
+    days = ",".join(day.isoformat() for day in dates)
+    return _or_empty(spark, schema, lambda: reader.parquet(f"{path}/date={{{days}}}"))
+
+
+def _or_empty(spark: SparkSession, schema: T.StructType, read: Callable[[], DataFrame]) -> DataFrame:
+    try:
+        return read()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def selected_dates(
+    date: Day | None = None, start: Day | None = None, end: Day | None = None
+) -> list[dt.date] | None:
+    """One date, else those of [start, end) if both are given, else None for all."""
+    if date is not None:
+        return [as_date(date)]
+    if start is None or end is None:
+        return None
+    first, last = as_date(start), as_date(end)
+    return [first + dt.timedelta(days=i) for i in range((last - first).days)]
 
 
-def pick_dates(
-    ticks: DataFrame, date: Day | None = None, start: Day | None = None, end: Day | None = None
-) -> DataFrame:
-    """Select partitions: one date, else [start, end) if both are given, else all.
-
-    Dates without data are skipped; none left means no rows.
-    """
-    if date is not None:
-        return ticks.where(F.col("date") == F.lit(as_date(date)))
-    if start is not None and end is not None:
-        return ticks.where((F.col("date") >= F.lit(as_date(start))) & (F.col("date") < F.lit(as_date(end))))
-    return ticks
+def _of_dates(rows: DataFrame, dates: list[dt.date] | None) -> DataFrame:
+    if dates is None:
+        return rows
+    if not dates:
+        return rows.where(F.lit(False))
+    day = F.col("date")
+    return rows.where((day >= F.lit(dates[0])) & (day <= F.lit(dates[-1])))
 
 
 def scan_table(
@@ -51,7 +88,8 @@ def scan_table(
     symbol: str | None = None,
 ) -> DataFrame:
     """Scan of the loaded tick table; dates prune folders, a symbol row groups."""
-    rows = pick_dates(read_ticks(spark, root, TABLE_PARTITIONS), date, start, end)
+    dates = selected_dates(date, start, end)
+    rows = _of_dates(read_ticks(spark, root, TABLE_PARTITIONS, dates), dates)
     return rows if symbol is None else for_symbol(rows, symbol)
 
 
@@ -69,26 +107,32 @@ def scan_exports(
     With dates, a symbol and a ``symbol_root`` of per-symbol exports, each date
     is read from the symbol's own export if that has it, else from the general
     one.  Which dates it has is a list of partition values, one per calendar day
-    at most; as literals they prune the general scan before it starts.
+    at most; those dates are left out of the general scan before it starts.
     """
-    everything = pick_dates(read_ticks(spark, root, EXPORT_PARTITIONS), date, start, end)
-    if symbol is None:
-        return everything
-    general = for_symbol(everything, symbol)
-    dated = date is not None or (start is not None and end is not None)
-    if symbol_root is None or not dated:
-        return general
-    own = for_symbol(pick_dates(read_symbol_exports(spark, symbol_root), date, start, end), symbol)
-    present = [row["date"] for row in own.select("date").distinct().collect()]
-    if not present:
-        return general
-    return own.select(*general.columns).unionByName(general.where(~F.col("date").isin(present)))
-
-
-def read_symbol_exports(spark: SparkSession, root: str) -> DataFrame:
-    """Per-symbol exports; the symbol is the first partition column."""
-    schema = T.StructType([*TICK.fields, *EXPORT_PARTITIONS.fields])
-    return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(root)
+    dates = selected_dates(date, start, end)
+    if symbol is None or symbol_root is None or dates is None:
+        rows = _of_dates(read_ticks(spark, root, EXPORT_PARTITIONS, dates), dates)
+        return rows if symbol is None else for_symbol(rows, symbol)
+    own = _of_dates(read_symbol_exports(spark, symbol_root, symbol, dates), dates)
+    present = {row["date"] for row in own.select("date").distinct().collect()}
+    absent = [day for day in dates if day not in present]
+    general = for_symbol(_of_dates(read_ticks(spark, root, EXPORT_PARTITIONS, absent), absent), symbol)
+    if present:
+        general = general.where(~F.col("date").isin(list(present)))
+    return own.select(*general.columns).unionByName(general)
+
+
+def read_symbol_exports(
+    spark: SparkSession, root: str, symbol: str, dates: list[dt.date] | None = None
+) -> DataFrame:
+    """Exports of one symbol; the symbol is their first partition column."""
+    rows = read_ticks(spark, root, EXPORT_PARTITIONS, dates, below=f"symbol={_folder_name(symbol)}")
+    return for_symbol(rows, symbol)
+
+
+def _folder_name(value: str) -> str:
+    """A partition value as Spark spells it in a folder name."""
+    return re.sub(_ESCAPED, lambda char: f"%{ord(char[0]):02X}", value)
 
 
 def union_ticks(frames: Iterable[DataFrame]) -> DataFrame:
