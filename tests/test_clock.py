@@ -17,6 +17,8 @@ TEXTS = {
     "2025-10-22": 1761091200000000000,
     "2025-1-2": 1735776000000000000,
     "2025-1-2 3:4:5": 1735787045000000000,
+    "2025-01-02   03:04:05": 1735787045000000000,
+    "25-01-02": 0,
     "1969-12-31T23:59:59.999999999Z": -1,
     "3000-01-01": 0,
     "2025-10-22T11:01:00": None,

@@ -114,7 +114,9 @@ def test_latest_is_newest_first_and_strictly_within(spark):
 
 
 def test_head(five):
-    assert [r.order_id for r in pages.head(five, 2).collect()] == [4, 5]
+    assert [r.order_id for r in pages.head(five, 2, ordered=True).collect()] == [4, 5]
+    assert pages.head(five, 3).count() == 3
+    assert pages.head(five).count() == five.count()
 
 
 @pytest.mark.parametrize("closed,expected", [(False, [0, 1]), (True, [0, 1, 2])])

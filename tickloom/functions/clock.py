@@ -119,21 +119,19 @@ def from_epoch_ns(ns: Column) -> Column:
 
 
 def _instant(text: Column, offset_only: bool = False) -> Column:
-    """TIMESTAMP of a text, to the second; NULL if no form fits.
+    """TIMESTAMP of a text; NULL if no form fits.  Texts without an offset are UTC.
 
-    Texts without an offset are UTC.  The patterns are explicit, as the default
-    ones also take texts the forms exclude.
+    The cast alone would also take texts that no form allows.
     """
-    whole = F.translate(F.upper(F.regexp_replace(text, _FRACTION, "")), " ", "T")
-    zoned = F.when(text.rlike(_OFFSET_FORM), F.try_to_timestamp(whole, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
+    zoned = F.when(text.rlike(_OFFSET_FORM), F.upper(text))
     if offset_only:
-        return zoned
-    utc = F.concat(F.regexp_replace(text, " +", " "), F.lit("Z"))
-    return F.coalesce(
-        zoned,
-        F.when(text.rlike(_PLAIN_FORM), F.try_to_timestamp(utc, F.lit("y-M-d H:m:sX"))),
-        F.when(text.rlike(_DATE_FORM), F.try_to_timestamp(utc, F.lit("y-M-dX"))),
-    )
+        return zoned.try_cast("timestamp")
+    # the cast wants four digits of the year
+    padded = F.lpad(text, F.length(text) + F.lit(5) - F.instr(text, "-"), "0")
+    spelled = zoned.when(
+        text.rlike(_PLAIN_FORM), F.concat(F.regexp_replace(padded, " +", " "), F.lit("Z"))
+    ).when(text.rlike(_DATE_FORM), F.concat(padded, F.lit(" 00:00:00Z")))
+    return spelled.try_cast("timestamp")
 
 
 def _nanos(text: Column) -> Column:

@@ -185,9 +185,9 @@ def _locate(slices: Sequence[tuple[int, int]], skip: int, keep: int) -> tuple[in
     return begin, passed, None
 
 
-def head(ticks: DataFrame, n: int = 20) -> DataFrame:
-    """First ``n`` ticks in time order."""
-    return ticks.orderBy(*TICK_ORDER).limit(n)
+def head(ticks: DataFrame, n: int = 20, ordered: bool = False) -> DataFrame:
+    """Any ``n`` ticks, read no further than needed; the first by time if ``ordered``."""
+    return (ticks.orderBy(*TICK_ORDER) if ordered else ticks).limit(n)
 
 
 def latest(

@@ -215,7 +215,7 @@ def page_summary(spark, sf_dir):
 
 @query
 def head_n(spark, sf_dir):
-    return pages.head(_ticks(spark, sf_dir).select(*TICK_COLUMNS))
+    return pages.head(_ticks(spark, sf_dir).select(*TICK_COLUMNS), ordered=True)
 
 
 @query

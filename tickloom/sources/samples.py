@@ -222,22 +222,20 @@ def candidate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event times written in every accepted form, and in one that is not."""
-    ns = clock.micros_to_ns(F.col("ts")) + F.pmod("event_id", F.lit(1_000))
-    local = clock.from_epoch_ns(ns)
-    date, time, nanos = F.substring(local, 1, 10), F.substring(local, 12, 8), F.substring(local, 21, 9)
+    ts = F.col("ts")
+    nanos = F.lpad(F.pmod("event_id", F.lit(1_000)).cast("string"), 3, "0")
     text = _choose(
         F.pmod("event_id", F.lit(6)),
-        F.concat(date, F.lit("T"), time, F.lit("."), F.substring(nanos, 1, 6), F.lit("Z")),
-        F.concat(date, F.lit("T"), time, F.lit("."), nanos, F.lit("+05:30")),
-        F.concat(date, F.lit("T"), time, F.lit("-08:00")),
-        F.concat(date, F.lit(" "), time),
-        date,
-        F.concat(date, F.lit("T"), time),
+        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+        F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), nanos, F.lit("+05:30")),
+        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'-08:00'"),
+        F.date_format(ts, "yyyy-MM-dd HH:mm:ss"),
+        F.date_format(ts, "yyyy-MM-dd"),
+        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
     )
     return events(spark, sf_dir).select("event_id", text.alias("text"))
 
 
-
 def request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval and resolution texts: usual, odd and unreadable ones."""
     k = F.get_json_object("props", "$.k")
