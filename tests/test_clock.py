@@ -174,5 +174,6 @@ def test_as_ns():
     assert clock.as_ns(5) == 5
     assert clock.as_ns(dt.date(1970, 1, 2)) == clock.DAY
     assert clock.as_ns(dt.datetime(1970, 1, 1, 0, 0, 1, 7)) == clock.SECOND + 7_000
+    assert clock.as_ns("2025-10-22T11:01:00") == clock.as_ns("2025-10-22 11:01:00.0") == 1761130860000000000
     with pytest.raises(ValueError):
         clock.as_ns("soon")

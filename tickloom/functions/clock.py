@@ -251,7 +251,7 @@ def parse_ns(text: str) -> int | None:
 
 
 def as_ns(value: int | str | dt.date | dt.datetime) -> int:
-    """Nanoseconds of a request argument; naive datetimes are UTC."""
+    """Nanoseconds of a request argument; datetimes and texts without zone are UTC."""
     if isinstance(value, int):
         return value
     if isinstance(value, dt.datetime):
@@ -261,6 +261,8 @@ def as_ns(value: int | str | dt.date | dt.datetime) -> int:
     if isinstance(value, dt.date):
         return (value - dt.date(1970, 1, 1)).days * DAY
     ns = parse_ns(value)
+    if ns is None:
+        ns = parse_ns(f"{value}Z")
     if ns is None:
         raise ValueError(f"not a time: {value!r}")
     return ns

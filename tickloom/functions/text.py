@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 PRICE_SCALE = 1_000_000_000
 
-# Fixed value: the raw price that stands for "undefined".
+# The raw price that stands for "undefined", the measurement of
+# line-protocol rows, and the first part of an export's file name.
 UNDEFINED_PRICE = 2**63 - 1
+MEASUREMENT = "mbo_ticks"
+EXPORT_NAME = "mbo_"
 
 
 def scale_price(price_raw: Column, null_undefined: bool = False) -> Column:
@@ -52,8 +55,8 @@ def date_from_filename(name: Column) -> Column:
 
 def slot_filename(date: Column, slot: Column, symbol: Column | None = None) -> Column:
     """Name of a slot's export: ``mbo[_SYMBOL]_DATE_HH-MM.parquet``."""
-    head = [F.lit("mbo_")] if symbol is None else [F.lit("mbo_"), symbol, F.lit("_")]
-    return F.concat(*head, date.cast("string"), F.lit("_"), slot, F.lit(".parquet"))
+    owner = [] if symbol is None else [symbol, F.lit("_")]
+    return F.concat(F.lit(EXPORT_NAME), *owner, date.cast("string"), F.lit("_"), slot, F.lit(".parquet"))
 
 
 def clean_symbols(text: Column) -> Column:
@@ -75,7 +78,7 @@ def line_protocol(symbol: Column) -> Column:
     for name in ("size", "flags", "channel_id", "ts_in_delta", "sequence"):
         fields += whole(name) + [F.lit(",")]
     return F.concat(
-        F.lit("mbo_ticks,symbol="),
+        F.lit(f"{MEASUREMENT},symbol="),
         escape_tag(symbol),
         F.lit(",action="),
         F.col("action"),

@@ -5,7 +5,8 @@ table may grow.  So its row count is checked first, by one job that stops
 reading at the bound.  Within the bound the table is broadcast.  Beyond it both
 sides shuffle on key and salt: every table row is repeated once per salt, each
 tick goes to one salt, so a key with a third of all ticks still spreads over
-``SALTS`` tasks, and the result is the same.
+``SALTS`` tasks, and the result is the same.  Exact copies of one event share a
+salt; AQE's skew join splits those.
 """
 
 from __future__ import annotations
@@ -35,15 +36,16 @@ def lookup(
     table: DataFrame,
     condition: Callable[[DataFrame, DataFrame], Column],
     how: str,
-    spread: tuple[str, ...],
-    max_rows: int = BROADCAST_ROWS,
+    small: bool,
+    spread: tuple[str, ...] = ("ts_event_ns", "sequence", "order_id"),
 ) -> DataFrame:
-    """Join ``rows`` to ``table`` by broadcast if it fits, else salted.
+    """Join ``rows`` to ``table`` by broadcast if that is ``small``, else salted.
 
-    ``spread`` names columns of ``rows`` that differ within a hot key.
-    ``condition`` must hold an equality, so that neither way is a nested loop.
+    ``small`` must come from :func:`fits`.  ``spread`` names columns of ``rows``
+    that differ within a hot key.  ``condition`` must hold an equality, so that
+    neither way is a nested loop.
     """
-    if fits(table, max_rows):
+    if small:
         return rows.join(F.broadcast(table), condition(rows, table), how)
     salted = rows.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     copies = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -56,15 +58,18 @@ def map_symbols(
     symbol_map: DataFrame,
     at: str = "ts_recv_ns",
     how: str = "inner",
-    spread: tuple[str, ...] = ("ts_event_ns", "sequence"),
     max_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Symbol valid for a record's instrument on the record's date.
 
     The date is that of ``at``, the receive time, by which the feed indexes its
     order-book records.  Records without a valid mapping are dropped (``how`` =
     "left" keeps them with a NULL symbol).  Other columns of the map come along.
+    A caller that has checked the size of the map may say so with ``small``.
     """
+    if small is None:
+        small = fits(symbol_map, max_rows)
     table = symbol_map.withColumnsRenamed(
         {"instrument_id": "_instrument", "start_date": "_start", "end_date": "_end"}
     )
@@ -74,8 +79,7 @@ def map_symbols(
         table,
         lambda r, t: (r["instrument_id"] == t["_instrument"]) & (r["_day"] >= t["_start"]) & (r["_day"] < t["_end"]),
         how,
-        spread,
-        max_rows,
+        small,
     )
     return joined.drop("_day", "_instrument", "_start", "_end")
 
@@ -87,8 +91,7 @@ def _listed(ticks: DataFrame, allowlist: DataFrame, how: str, max_rows: int) ->
         table,
         lambda r, t: F.upper(r["symbol"]) == t["_listed"],
         how,
-        ("ts_event_ns", "sequence"),
-        max_rows,
+        fits(table, max_rows),
     )
 
 

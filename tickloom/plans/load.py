@@ -22,7 +22,15 @@ def mapped(
     raw: DataFrame, symbol_map: DataFrame, allowlist: DataFrame | None = None, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Order-book records with their symbol and whether the allow-list keeps them."""
-    return map_symbols(of_rtypes(raw, ("mbo",)), flag_allowed(symbol_map, allowlist), max_rows=max_rows)
+    return _flagged(of_rtypes(raw, ("mbo",)), symbol_map, allowlist, "inner", max_rows)
+
+
+def _flagged(
+    records: DataFrame, symbol_map: DataFrame, allowlist: DataFrame | None, how: str, max_rows: int
+) -> DataFrame:
+    # flagging adds no rows to the map, so the plain one is checked
+    small = fits(symbol_map, max_rows)
+    return map_symbols(records, flag_allowed(symbol_map, allowlist), how=how, small=small)
 
 
 def as_ticks(records: DataFrame, null_undefined: bool = False) -> DataFrame:
@@ -59,7 +67,7 @@ def ingest_summary(
     Unmapped and other records count as neither, but their file is listed.
     """
     book = F.col("rtype") == "mbo"
-    known = map_symbols(raw, flag_allowed(symbol_map, allowlist), how="left", max_rows=max_rows)
+    known = _flagged(raw, symbol_map, allowlist, "left", max_rows)
     return known.groupBy("source_file").agg(
         F.count_if(book & F.col("keep")).alias("rows_kept"),
         F.count_if(book & ~F.col("keep")).alias("rows_skipped"),

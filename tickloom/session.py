@@ -17,8 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
-    "spark.sql.parquet.filterPushdown": "true",
-    "spark.sql.parquet.aggregatePushdown": "false",
+    # one task per folder would cost more than listing it
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
 }
 
 
