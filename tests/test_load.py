@@ -133,6 +133,23 @@ def test_append_is_repeatable_and_prunes(spark, tmp_path):
     assert tick_source.scan_table(spark, root, date="2031-01-01").count() == 0
 
 
+def test_time_ordered_append_needs_no_exchange(spark, tmp_path):
+    source, root = str(tmp_path / "ordered"), str(tmp_path / "table")
+    samples.event_ticks(spark, SF).repartitionByRange(4, "ts_event_ns").sortWithinPartitions(
+        "ts_event_ns"
+    ).select(*TICK_COLUMNS).write.parquet(source)
+    ticks = spark.read.parquet(source)
+    load.append_ticks(ticks, root, load="a", hourly=False, time_ordered=True)
+    table = tick_source.scan_table(spark, root)
+    assert sorted(table.select(*TICK_COLUMNS).collect()) == sorted(ticks.collect())
+    days = table.select("date").distinct().count()
+    assert len(list(tmp_path.joinpath("table").rglob("*.parquet"))) <= days + 3
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    write = [plan for plan in plans if "Execute InsertInto" in plan][-1]
+    assert "Exchange" not in write and write.count("* Sort (") == 1
+
+
 def test_files_are_sorted_by_symbol_and_time(spark, tmp_path):
     root = str(tmp_path / "table")
     load.append_ticks(samples.event_ticks(spark, SF), root, load="a", hourly=False)

@@ -19,17 +19,27 @@ from ..sources.raw import read_raw_files
 CONCURRENT_FILES = 2
 
 def mapped(
-    raw: DataFrame, symbol_map: DataFrame, allowlist: DataFrame | None = None, max_rows: int = BROADCAST_ROWS
+    raw: DataFrame,
+    symbol_map: DataFrame,
+    allowlist: DataFrame | None = None,
+    max_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Order-book records with their symbol and whether the allow-list keeps them."""
-    return _flagged(of_rtypes(raw, ("mbo",)), symbol_map, allowlist, "inner", max_rows)
+    return _flagged(of_rtypes(raw, ("mbo",)), symbol_map, allowlist, "inner", max_rows, small)
 
 
 def _flagged(
-    records: DataFrame, symbol_map: DataFrame, allowlist: DataFrame | None, how: str, max_rows: int
+    records: DataFrame,
+    symbol_map: DataFrame,
+    allowlist: DataFrame | None,
+    how: str,
+    max_rows: int,
+    small: bool | None = None,
 ) -> DataFrame:
-    # flagging adds no rows to the map, so the plain one is checked
-    small = fits(symbol_map, max_rows)
+    if small is None:
+        # flagging adds no rows to the map, so the plain one is checked
+        small = fits(symbol_map, max_rows)
     return map_symbols(records, flag_allowed(symbol_map, allowlist), how=how, small=small)
 
 
@@ -116,29 +126,30 @@ def append_ticks(
     load: str,
     hourly: bool = True,
     max_records_per_file: int = 0,
-    observe: Observation | None = None,
+    time_ordered: bool = False,
 ) -> None:
     """Append ticks to the table under ``root`` as the load named ``load``.
 
     Rows go to ``date=/hour=/load=`` folders (``date=/load=`` with hour 0 left
     out of the split when not ``hourly``).  A load that is run again, after a
     lost driver say, replaces its own folders and nothing else, so an append
-    never doubles rows.  The rebalance lets AQE cut a hot hour into several
-    tasks and merge thin ones, and rows are sorted by symbol and time inside
-    each file, so a symbol's row groups are found by their statistics.
+    never doubles rows.  Rows are sorted by symbol and time inside each file, so
+    the column index finds a symbol's pages.
+
+    The rebalance lets AQE cut a hot hour into several tasks and merge thin ones.
+    If the rows come in feed order, each task holds a short stretch of time
+    already: ``time_ordered`` then saves the exchange, and a hot hour is spread
+    as its bytes are.  With rows in any other order it would leave many small
+    files.
     """
     folders = ["date", "hour", "load"]
     rows = with_partitions(ticks)
     if not hourly:
         rows = rows.withColumn("hour", F.lit(0))
-    spread = ["date", "hour"] if hourly else ["date"]
-    rows = (
-        rows.withColumn("load", F.lit(load))
-        .hint("rebalance", *(F.col(name) for name in spread))
-        .sortWithinPartitions(*folders, "symbol", "ts_event_ns", "sequence")
-    )
-    if observe is not None:
-        rows = rows.observe(observe, F.count("*").alias("rows"))
+    rows = rows.withColumn("load", F.lit(load))
+    if not time_ordered:
+        rows = rows.hint("rebalance", *(F.col(name) for name in (["date", "hour"] if hourly else ["date"])))
+    rows = rows.sortWithinPartitions(*folders, "symbol", "ts_event_ns", "sequence")
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -179,19 +190,25 @@ def load_file(
     symbol_map: DataFrame,
     allowlist: DataFrame | None = None,
     hourly: bool = True,
+    time_ordered: bool = False,
+    small: bool | None = None,
 ) -> FileLoad:
     """Load one raw file (or folder of part files) in one pass.
 
     Kept and skipped rows are counted while the file is written, not by a
-    second read.  A failed load leaves no rows behind.
+    second read.  A failed load leaves no rows behind.  ``time_ordered`` says
+    that the file is in feed order (see :func:`append_ticks`).
     """
     name = path.rstrip("/").rsplit("/", 1)[-1]
     counts = [F.count_if(F.col("keep")).alias("kept"), F.count_if(~F.col("keep")).alias("skipped")]
     seen = Observation()
     try:
-        records = mapped(read_raw_files(spark, [path]), symbol_map, allowlist)
+        if small is None:
+            small = fits(symbol_map)
+        records = mapped(read_raw_files(spark, [path]), symbol_map, allowlist, small=small)
         kept = records.observe(seen, *counts).where(F.col("keep"))
-        append_ticks(as_ticks(kept), root, load=name, hourly=hourly)
+        # a salted mapping loses the order of the file
+        append_ticks(as_ticks(kept), root, name, hourly, time_ordered=time_ordered and small)
         try:
             found = seen.get
         except Py4JJavaError:  # nothing was kept, and the observed plan was dropped with it
@@ -208,13 +225,17 @@ def load_files(
     symbol_map: DataFrame,
     allowlist: DataFrame | None = None,
     hourly: bool = True,
+    time_ordered: bool = False,
     concurrency: int = CONCURRENT_FILES,
 ) -> list[FileLoad]:
     """Load files as separate Spark jobs, a few at a time, and report on each."""
+    small = fits(symbol_map)
+
+    def one(path: str) -> FileLoad:
+        return load_file(spark, path, root, symbol_map, allowlist, hourly, time_ordered, small)
+
     with ThreadPoolExecutor(max_workers=concurrency) as jobs:
-        return list(
-            jobs.map(lambda path: load_file(spark, path, root, symbol_map, allowlist, hourly), paths)
-        )
+        return list(jobs.map(one, paths))
 
 
 def load_totals(loads: Sequence[FileLoad]) -> dict[str, int]:

@@ -87,7 +87,7 @@ def scan_table(
     end: Day | None = None,
     symbol: str | None = None,
 ) -> DataFrame:
-    """Scan of the loaded tick table; dates prune folders, a symbol row groups."""
+    """Scan of the loaded tick table; dates prune folders, a symbol pages."""
     dates = selected_dates(date, start, end)
     rows = _of_dates(read_ticks(spark, root, TABLE_PARTITIONS, dates), dates)
     return rows if symbol is None else for_symbol(rows, symbol)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.load import append_ticks, normalize
+from ..operators.lookup import fits
+from ..plans.load import append_ticks, as_ticks, mapped
 from ..sources.raw import RAW_FILES, raw_columns, with_source_file
 
 
@@ -21,6 +23,7 @@ def ingest_stream(
     max_files: int | None = None,
     max_bytes: str | None = None,
     max_records_per_file: int = 0,
+    time_ordered: bool = False,
 ) -> StreamingQuery:
     """Load new raw files of a folder into the tick table, then stop.
 
@@ -28,8 +31,10 @@ def ingest_stream(
     table, named by stream and batch number: a batch repeated after a failure
     replaces its own rows, which makes the load exactly-once.  Writing through
     a batch job also keeps the rebalance of :func:`append_ticks`.  ``max_files``
-    or ``max_bytes`` bounds a batch.
+    or ``max_bytes`` bounds a batch; ``time_ordered`` is for files in feed order.
     """
+    small = fits(symbol_map)
+
     reader = spark.readStream.schema(raw_columns())
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -38,8 +43,9 @@ def ingest_stream(
     raw = with_source_file(reader.parquet(f"{source.rstrip('/')}/{RAW_FILES}"))
 
     def write(batch: DataFrame, number: int) -> None:
-        ticks = normalize(batch, symbol_map, allowlist)
-        append_ticks(ticks, root, f"{name}-{number:09d}", hourly, max_records_per_file)
+        kept = mapped(batch, symbol_map, allowlist, small=small).where(F.col("keep"))
+        load = f"{name}-{number:09d}"
+        append_ticks(as_ticks(kept), root, load, hourly, max_records_per_file, time_ordered and small)
 
     return (
         raw.writeStream.foreachBatch(write)
