@@ -68,11 +68,28 @@ def test_keyset_pages_follow_each_other(five):
         seen += [r.order_id for r in got]
         if not got or not got[-1].has_more:
             break
-        last = got[-1].asDict()
-        after = {name: last["ts_ns"] if name == "ts_event_ns" else last[name] for name in TICK_ORDER}
+        after = got[-1].key.asDict()
     assert seen == [4, 0, 1, 2, 3]
 
 
+@pytest.mark.parametrize("limit", [1, 3, 4, 5, 11])
+def test_keyset_pages_with_nulls_and_equal_rows(spark, limit):
+    ticks = rows.ticks(
+        spark,
+        *(dict(ts_event_ns=T0, size=i, price=price) for i in (None, 0, 1) for price in (None, 0.0, None, -1.0)),
+        *(dict(ts_event_ns=T0 + 1) for _ in range(6)),
+    )
+    order = rows.values(ticks.orderBy(*TICK_ORDER), "size", "price")
+    seen, after = [], None
+    while True:
+        got = pages.ticks_page(ticks, "AA", START, END, limit=limit, after=after, keyed=True).collect()
+        seen += [(r.key.size, r.key.price) for r in got]
+        if not got[-1].has_more:
+            break
+        after = got[-1].key.asDict()
+    assert seen == order
+
+
 def test_keyset_needs_the_whole_key(five):
     with pytest.raises(ValueError):
         pages.ticks_page(five, "AA", START, END, after={"ts_event_ns": 1})

@@ -44,21 +44,21 @@ def ticks_page(
 
     Skips ``offset`` rows and returns up to ``limit`` (at most 50,000), each with
     the page's ``count`` and ``has_more``.  To read on without counting rows
-    again, ask for ``keyed`` pages and pass the last row's order columns as
-    ``after``.
+    again, ask for ``keyed`` pages and pass the last row's ``key.asDict()`` as
+    ``after``.  A key holds the order columns and, as rows may be equal in all of
+    them, how many such rows have been shown.
     """
     limit = clamp_limit(limit)
     rows = _page_rows(ticks, symbol, start, end, limit, offset, after, direct_rows)
     seen = F.count("*").over(Window.partitionBy())  # at most 50,001 rows, in one partition already
     counted = rows.withColumn("_seen", seen).orderBy(*TICK_ORDER).limit(limit)
-    key = [name for name in TICK_ORDER if keyed and name not in _SHOWN]
     return counted.select(
         clock.epoch_ms(F.col("ts_event_ns")).alias("ts"),
         F.col("ts_event_ns").alias("ts_ns"),
         *(F.coalesce(F.col(name), F.lit(default)).alias(name) for name, default in _SHOWN.items()),
         F.least(F.col("_seen"), F.lit(limit).cast("bigint")).alias("count"),
         (F.col("_seen") > limit).alias("has_more"),
-        *key,
+        *([_key(after).alias("key")] if keyed else []),
     )
 
 
@@ -84,31 +84,54 @@ def page_summary(
 _SHOWN = {"price": 0.0, "size": 0, "side": "", "action": "", "order_id": 0}
 
 
-def _page_rows(ticks, symbol, start, end, limit, offset, after, direct_rows) -> DataFrame:
+def _page_rows(
+    ticks: DataFrame,
+    symbol: str,
+    start: When,
+    end: When,
+    limit: int,
+    offset: int,
+    after: Mapping[str, object] | None,
+    direct_rows: int,
+) -> DataFrame:
     """The page plus one row of lookahead, in order."""
     if offset < 0:
         raise ValueError("offset must not be negative")
     rows = time_range(for_symbol(ticks, symbol), start, end)
     if after is not None:
-        rows = rows.where(_beyond(after))
+        rows, offset = rows.where(_not_before(after)), offset + after[_SHOWN_EQUAL]
     if offset + limit + 1 > direct_rows:
         rows, offset = _skip_ahead(rows, offset, limit + 1, clock.as_ns(start), clock.as_ns(end), direct_rows)
     columns = list(dict.fromkeys([*TICK_ORDER, *_SHOWN]))
     return rows.select(*columns).orderBy(*TICK_ORDER).offset(offset).limit(limit + 1)
 
 
-def _beyond(last: Mapping[str, object]) -> Column:
-    """Rows strictly after ``last`` in tick order (NULLs come first)."""
-    missing = [name for name in TICK_ORDER if name not in last]
+_SHOWN_EQUAL = "shown_equal"
+
+
+def _same(last: Mapping[str, object], names: Sequence[str] = TICK_ORDER) -> Column:
+    return reduce(Column.__and__, (F.col(name).eqNullSafe(F.lit(last[name])) for name in names), F.lit(True))
+
+
+def _key(after: Mapping[str, object] | None) -> Column:
+    """Order columns of a row, and its place among the rows equal in all of them."""
+    place = F.row_number().over(Window.partitionBy(*TICK_ORDER).orderBy("ts_event_ns"))
+    if after is not None:
+        place = place + F.when(_same(after), after[_SHOWN_EQUAL]).otherwise(0)
+    return F.struct(*TICK_ORDER, place.alias(_SHOWN_EQUAL))
+
+
+def _not_before(last: Mapping[str, object]) -> Column:
+    """Rows equal to ``last`` or after it in tick order (NULLs come first)."""
+    missing = [name for name in (*TICK_ORDER, _SHOWN_EQUAL) if name not in last]
     if missing:
-        raise ValueError(f"order columns missing: {missing}")
+        raise ValueError(f"missing in the key: {missing}")
     greater = [
-        F.col(name) > F.lit(last[name]) if last[name] is not None else F.col(name).isNotNull()
-        for name in TICK_ORDER
+        F.col(name).isNotNull() if last[name] is None else F.col(name) > F.lit(last[name]) for name in TICK_ORDER
     ]
-    equal = [F.col(name).eqNullSafe(F.lit(last[name])) for name in TICK_ORDER]
-    ahead = [reduce(Column.__and__, [*equal[:i], greater[i]]) for i in range(len(TICK_ORDER))]
-    return (F.col("ts_event_ns") >= F.lit(last["ts_event_ns"])) & reduce(Column.__or__, ahead)
+    ahead = [_same(last, TICK_ORDER[:i]) & greater[i] for i in range(len(TICK_ORDER))]
+    # the first condition follows from the rest, and reaches the scan
+    return (F.col("ts_event_ns") >= F.lit(last["ts_event_ns"])) & reduce(Column.__or__, ahead, _same(last))
 
 
 # Order columns by which a page's beginning is narrowed down; both are integers.

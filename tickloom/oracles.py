@@ -192,6 +192,7 @@ WHERE ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-12 18:00
     "ticks_page_offset": f"WITH {_TICKS}, {_page('ticks', SYMBOL, START, END, 10, 5)}",
     "ticks_page_ties": f"WITH {_LINES}, {_page('lines', PART, '1990-01-01', '2010-01-01', 5, 10)}",
     "ticks_page_deep": f"WITH {_LINES}, {_page('lines', PART, '1990-01-01', '2010-01-01', 5, 10)}",
+    "ticks_page_after": f"WITH {_LINES}, {_page('lines', PART, '1990-01-01', '2010-01-01', 5, 10)}",
     "page_summary": f"""WITH {_TICKS} SELECT least(count(*), 10) AS count, count(*) > 10 AS has_more
 FROM ticks WHERE symbol = '{SYMBOL}' AND {_between(START, END)}""",
     "head_n": f"WITH {_TICKS} SELECT {_COLUMNS} FROM ticks ORDER BY {_ORDER} LIMIT 20",

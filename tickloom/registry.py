@@ -208,6 +208,13 @@ def ticks_page_deep(spark, sf_dir):
     return pages.ticks_page(lines, PART, "1990-01-01", "2010-01-01", limit=5, offset=10, direct_rows=8)
 
 
+@query
+def ticks_page_after(spark, sf_dir):
+    lines = samples.line_ticks(spark, sf_dir)
+    first = pages.ticks_page(lines, PART, "1990-01-01", "2010-01-01", limit=10, keyed=True).select("key").collect()
+    return pages.ticks_page(lines, PART, "1990-01-01", "2010-01-01", limit=5, after=first[-1]["key"].asDict())
+
+
 @query
 def page_summary(spark, sf_dir):
     return pages.page_summary(_ticks(spark, sf_dir), SYMBOL, START, END, limit=10)
