@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clock
@@ -34,22 +34,19 @@ def data_ranges(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol").agg(*_range())
 
 
-def count_by_date(ticks: DataFrame) -> DataFrame:
-    return _by(ticks, date=clock.date_of)
+def _date(ticks: DataFrame) -> Column:
+    # a partition column of that name costs no read
+    return F.col("date") if "date" in ticks.columns else clock.date_of(F.col("ts_event_ns")).alias("date")
 
 
-def count_by_date_hour(ticks: DataFrame) -> DataFrame:
-    return _by(ticks, date=clock.date_of, hour=clock.hour_of)
+def count_by_date(ticks: DataFrame) -> DataFrame:
+    return ticks.groupBy(_date(ticks)).agg(F.count("*").alias("cnt"))
 
 
-def _by(ticks: DataFrame, **parts) -> DataFrame:
-    ns = F.col("ts_event_ns")
-    keys = [
-        # a partition column of that name costs no read
-        F.col(name) if name in ticks.columns else part(ns).alias(name)
-        for name, part in parts.items()
-    ]
-    return ticks.groupBy(*keys).agg(F.count("*").alias("cnt"))
+def count_by_date_hour(ticks: DataFrame) -> DataFrame:
+    # not from the hour folder: a table in daily folders has only one
+    hour = clock.hour_of(F.col("ts_event_ns")).alias("hour")
+    return ticks.groupBy(_date(ticks), hour).agg(F.count("*").alias("cnt"))
 
 
 def count_between(ticks: DataFrame, symbol: str, start: When, end: When) -> DataFrame:
