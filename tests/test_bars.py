@@ -116,6 +116,13 @@ def test_packed_key_orders_the_full_range(spark):
     )
     bar = ops.bars(ticks, "1h", order=("ts_event_ns", "sequence")).collect()[0]
     assert (bar.open, bar.close) == (3.0, 2.0)
+    gaps = rows.ticks(
+        spark, dict(ts_event_ns=T0, price=1.0), dict(ts_event_ns=T0, sequence=None, price=2.0),
+        dict(ts_event_ns=T0 - 1, sequence=big, price=3.0),
+    )
+    for order in (("ts_event_ns", "sequence"), ("ts_event_ns", "sequence", "price")):
+        bars = {b.ts: (b.open, b.close) for b in ops.bars(gaps, "1s", order=order).collect()}
+        assert bars == {T0 // 1_000_000: (2.0, 1.0), T0 // 1_000_000 - 1000: (3.0, 3.0)}
 
 
 @pytest.mark.parametrize("every", ["1s", "15m", "1d"])

@@ -104,6 +104,11 @@ def test_unreadable_end_counts_as_the_epoch():
     assert clock.pick_resolution("?", "?") == "1s"
 
 
+def test_resolution_of_other_arguments():
+    assert clock.pick_resolution(dt.date(2025, 10, 22), dt.date(2025, 10, 24)) == "1h"
+    assert clock.pick_resolution(0, 5 * clock.HOUR) == "15m"
+
+
 INTERVALS = {
     "5m": "5m",
     "5M": "5m",

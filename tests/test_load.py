@@ -37,6 +37,18 @@ def test_mapping_is_by_receive_date_and_half_open(spark):
     assert {(r.order_id, r.symbol) for r in left.collect()} == {(1, "OLD"), (2, "NEW"), (3, None), (4, None)}
 
 
+def test_mappings_may_differ_by_file(spark):
+    mapping = spark.createDataFrame(
+        [("a", 1, "AA", JAN, ALWAYS), ("b", 1, "BB", JAN, ALWAYS)],
+        "source_file string, instrument_id bigint, symbol string, start_date date, end_date date",
+    )
+    records = rows.raw(spark, *(dict(source_file=f, ts_recv_ns=MIDNIGHT) for f in "abc"))
+    for max_rows in (0, 10):
+        got = load.mapped(records, mapping, max_rows=max_rows)
+        assert {(r.source_file, r.symbol) for r in got.collect()} == {("a", "AA"), ("b", "BB")}
+        assert load.normalize(records, mapping, max_rows=max_rows).columns == TICK_COLUMNS
+
+
 def test_small_maps_are_broadcast(spark):
     joined = lookup.map_symbols(samples.raw_records(spark, SF), samples.symbol_map(spark, SF))
     plan = joined._jdf.queryExecution().executedPlan().toString()
@@ -300,6 +312,17 @@ def test_stream_loads_new_files_once(spark, raw_folder, tmp_path):
     assert loads == {"stream-000000000", "stream-000000001", "stream-000000002"}
 
 
+def test_stream_may_skip_corrupt_files(spark, raw_folder, tmp_path):
+    (raw_folder / "feed-20240106.mbo.parquet").write_bytes(b"not parquet at all")
+    root = str(tmp_path / "table")
+    query = ingest_stream(
+        spark, str(raw_folder), root, str(tmp_path / "c"), samples.symbol_map(spark, SF), hourly=False,
+        ignore_corrupt=True,
+    )
+    assert query.awaitTermination(120)
+    assert tick_source.scan_table(spark, root).count() == expected(spark, ["20240105", "20240107"]).count()
+
+
 def test_repeated_batch_does_not_double_rows(spark, tmp_path):
     root = str(tmp_path / "table")
     ticks = rows.ticks(spark, dict(at="2024-01-02"), dict(at="2024-01-03"))

@@ -276,10 +276,15 @@ def date_of_ns(ns: int) -> dt.date:
     return dt.date(1970, 1, 1) + dt.timedelta(days=ns // DAY)
 
 
-def pick_resolution(start: str, end: str) -> str:
-    """Resolution for a request range; an unreadable end counts as the epoch."""
-    ms = abs((parse_ns(end) or 0) // 1_000_000 - (parse_ns(start) or 0) // 1_000_000)
-    return next((name for limit, name in AUTO_STEPS if ms > limit), AUTO_FINEST)
+def pick_resolution(start: int | str | dt.date | dt.datetime, end: int | str | dt.date | dt.datetime) -> str:
+    """Resolution for a request range; an unreadable text counts as the epoch."""
+
+    def ms(value) -> int:
+        ns = parse_ns(value) or 0 if isinstance(value, str) else as_ns(value)
+        return ns // 1_000_000
+
+    length = abs(ms(end) - ms(start))
+    return next((name for limit, name in AUTO_STEPS if length > limit), AUTO_FINEST)
 
 
 def resolution_or_default(text: str) -> str:

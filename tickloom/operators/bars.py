@@ -27,8 +27,9 @@ def order_key(rows: DataFrame, order: Sequence[str]) -> Column:
         return F.col(order[0])
     whole = (T.LongType, T.IntegerType, T.ShortType)
     if len(order) == 2 and all(isinstance(rows.schema[name].dataType, whole) for name in order):
-        wide = [F.col(name).cast("decimal(38,0)") for name in order]
-        return wide[0] * F.lit(str(10**19)).cast("decimal(20,0)") + wide[1]
+        first, second = (F.col(name).cast("decimal(38,0)") for name in order)
+        # a NULL second comes before 0; a NULL key would drop the row
+        return first * F.lit(str(10**19)).cast("decimal(20,0)") + F.coalesce(second, F.lit(-1))
     return F.struct(*order)
 
 
@@ -77,7 +78,7 @@ def bars_for(
     resolutions mean one minute.
     """
     if resolution == "auto":
-        every = clock.pick_resolution(str(start), str(end))
+        every = clock.pick_resolution(start, end)
     else:
         every = clock.resolution_or_default(resolution)
     rows = time_range(for_symbol(ticks, symbol), start, end)

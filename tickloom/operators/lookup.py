@@ -65,23 +65,24 @@ def map_symbols(
 
     The date is that of ``at``, the receive time, by which the feed indexes its
     order-book records.  Records without a valid mapping are dropped (``how`` =
-    "left" keeps them with a NULL symbol).  Other columns of the map come along.
-    A caller that has checked the size of the map may say so with ``small``.
+    "left" keeps them with a NULL symbol).  The intervals of an instrument must
+    not overlap.  A map with a ``source_file`` column holds the mappings of each
+    raw file and applies to the records of that file only.  Other columns of the
+    map come along.  A caller that has checked the size of the map may say so
+    with ``small``.
     """
     if small is None:
         small = fits(symbol_map, max_rows)
     table = symbol_map.withColumnsRenamed(
-        {"instrument_id": "_instrument", "start_date": "_start", "end_date": "_end"}
+        {"instrument_id": "_instrument", "start_date": "_start", "end_date": "_end", "source_file": "_file"}
     )
-    dated = records.withColumn("_day", date_of(F.col(at)))
-    joined = lookup(
-        dated,
-        table,
-        lambda r, t: (r["instrument_id"] == t["_instrument"]) & (r["_day"] >= t["_start"]) & (r["_day"] < t["_end"]),
-        how,
-        small,
-    )
-    return joined.drop("_day", "_instrument", "_start", "_end")
+
+    def valid(r: DataFrame, t: DataFrame) -> Column:
+        same = (r["instrument_id"] == t["_instrument"]) & (r["_day"] >= t["_start"]) & (r["_day"] < t["_end"])
+        return same & (r["source_file"] == t["_file"]) if "_file" in t.columns else same
+
+    joined = lookup(records.withColumn("_day", date_of(F.col(at))), table, valid, how, small)
+    return joined.drop("_day", "_instrument", "_start", "_end", "_file")
 
 
 def _listed(ticks: DataFrame, allowlist: DataFrame, how: str, max_rows: int) -> DataFrame:

@@ -214,7 +214,7 @@ def load_file(
         except Py4JJavaError:  # nothing was kept, and the observed plan was dropped with it
             found = records.agg(*counts).first().asDict()
     except Exception as failure:  # one file's failure must not stop the others
-        return FileLoad(name, error=str(failure).splitlines()[0])
+        return FileLoad(name, error=(str(failure) or repr(failure)).splitlines()[0])
     return FileLoad(name, found["kept"], found["skipped"])
 
 

@@ -24,6 +24,7 @@ def ingest_stream(
     max_bytes: str | None = None,
     max_records_per_file: int = 0,
     time_ordered: bool = False,
+    ignore_corrupt: bool = False,
 ) -> StreamingQuery:
     """Load new raw files of a folder into the tick table, then stop.
 
@@ -32,10 +33,11 @@ def ingest_stream(
     replaces its own rows, which makes the load exactly-once.  Writing through
     a batch job also keeps the rebalance of :func:`append_ticks`.  ``max_files``
     or ``max_bytes`` bounds a batch; ``time_ordered`` is for files in feed order.
+    A file that cannot be read stops the load unless ``ignore_corrupt`` skips it.
     """
     small = fits(symbol_map)
 
-    reader = spark.readStream.schema(raw_columns())
+    reader = spark.readStream.schema(raw_columns()).option("ignoreCorruptFiles", str(ignore_corrupt).lower())
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if max_bytes is not None:
