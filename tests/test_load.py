@@ -7,7 +7,7 @@ from conftest import TESTDATA
 from pyspark.sql import functions as F
 
 from tickloom.functions import clock
-from tickloom.operators import catalog, lookup
+from tickloom.operators import catalog, filters, lookup
 from tickloom.plans import load
 from tickloom.schema import RAW, TICK_COLUMNS
 from tickloom.sources import raw as raw_source
@@ -141,6 +141,11 @@ def test_append_is_repeatable_and_prunes(spark, tmp_path):
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "date#" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "EqualTo(symbol,S00007)" in plan
+    request = filters.time_range(tick_source.scan_table(spark, root), "2024-01-05T06:00:00Z", "2024-01-07")
+    plan = request._jdf.queryExecution().executedPlan().toString()
+    dates = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert ">= 2024-01-05" in dates and "<= 2024-01-06" in dates
+    assert f"GreaterThanOrEqual(ts_event_ns,{clock.as_ns('2024-01-05T06:00:00Z')})" in plan
     two_days = ticks.where("symbol = 'S00007' AND ts_event >= '2024-01-05' AND ts_event < '2024-01-07'")
     assert some.count() == 2 * two_days.count() > 0
     assert tick_source.scan_table(spark, root, date="2031-01-01").count() == 0

@@ -143,13 +143,15 @@ def _skip_ahead(
 ) -> tuple[DataFrame, int]:
     """Rows from shortly before a deep page on, and how many of them to skip.
 
-    A top-k of offset + limit rows per task does not hold for deep offsets.
-    Each round counts the rows in up to 1,024 slices of the range (a hash
-    aggregate over a pruned scan; 1,024 numbers reach the driver), moves into
-    the slice in which the page begins and cuts off slices beyond its last row.
-    If all that is left is one nanosecond, its rows are sliced by sequence.  No
-    row of the page is ever outside, and the rows still to skip are counted, so
-    the page is the same as without this.
+    A top-k of offset + limit rows per task does not hold for deep offsets, and
+    one over a wide range sends on far more rows than the page has.  Each round
+    counts the rows in up to 1,024 slices of the range (a hash aggregate over a
+    pruned scan; 1,024 numbers reach the driver), moves into the slice in which
+    the page begins and cuts off slices beyond its last row, until at most
+    ``direct_rows`` rows are left to skip.  If all that is left is one
+    nanosecond, its rows are sliced by sequence.  No row of the page is ever
+    outside, and the rows still to skip are counted, so the page is the same as
+    without this.
     """
     fixed: list[tuple[str, int]] = []
     first, stop = low, high
@@ -179,9 +181,9 @@ def _skip_ahead(
                 conditions.append(later | (F.col(name) >= low))
                 if cut is not None:
                     conditions.append(~later & (F.col(name) < cut))
-            if width == 1 or skip + keep <= direct_rows:
+            if width == 1 or skip <= direct_rows:
                 break
-        if skip + keep <= direct_rows:
+        if skip <= direct_rows:
             break
         fixed.append((name, low))
     narrowed = time_range(rows, first, stop)

@@ -131,10 +131,10 @@ def append_ticks(
     """Append ticks to the table under ``root`` as the load named ``load``.
 
     Rows go to ``date=/hour=/load=`` folders; unless ``hourly``, a whole day goes
-    to hour 0, which suits tables of few rows a day.  A load that is run again, after a
-    lost driver say, replaces its own folders and nothing else, so an append
-    never doubles rows.  Rows are sorted by symbol and time inside each file, so
-    the column index finds a symbol's pages.
+    to hour 0, which suits tables of few rows a day.  A load that is run again,
+    after a lost driver say, replaces its own folders and nothing else, so an
+    append never doubles rows.  Rows are sorted by symbol and time inside each
+    file, so the column index finds a symbol's pages.
 
     The rebalance lets AQE cut a hot hour into several tasks and merge thin ones.
     If the rows come in feed order, each task holds a short stretch of time
