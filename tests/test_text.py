@@ -13,6 +13,8 @@ def test_price_text(spark):
         1: "0.000000001",
         0: "0",
         -2_500_000_000: "-2.5",
+        -1: "-0.000000001",
+        -(2**63): "-9223372036.854776",
         999_999_999_999_999: "999999.999999999",
         # beyond 15 digits the float has lost some
         2**63 - 1: "9223372036.854776",

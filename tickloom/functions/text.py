@@ -31,9 +31,13 @@ def price_text(price_raw: Column) -> Column:
     Up to 15 digits the exact decimal is that text; beyond, the float has lost
     digits and its own text, rewritten without the exponent, is used.
     """
-    beyond = scale_price(price_raw).cast("string").try_cast("decimal(28,9)")
-    exact = F.when(F.abs(price_raw) < 10**15, exact_price(price_raw)).otherwise(beyond)
-    return F.regexp_replace(exact.cast("decimal(28,9)").cast("string"), r"\.?0+$", "")
+    whole = F.call_function("div", F.abs(price_raw), F.lit(PRICE_SCALE).cast("bigint"))
+    fraction = F.lpad((F.abs(price_raw) % F.lit(PRICE_SCALE)).cast("string"), 9, "0")
+    sign = F.when(price_raw < 0, "-").otherwise("")
+    exact = F.concat(sign, whole.cast("string"), F.lit("."), fraction)
+    beyond = scale_price(price_raw).cast("string").try_cast("decimal(28,9)").cast("string")
+    digits = F.when(price_raw.between(1 - 10**15, 10**15 - 1), exact).otherwise(beyond)
+    return F.rtrim(F.rtrim(digits, F.lit("0")), F.lit("."))
 
 
 def ascii_code(code: Column) -> Column:
@@ -43,7 +47,9 @@ def ascii_code(code: Column) -> Column:
 
 def escape_tag(text: Column) -> Column:
     """Backslash before comma, blank and equals sign."""
-    return F.regexp_replace(text, r"([, =])", r"\\$1")
+    for char in (",", " ", "="):
+        text = F.replace(text, F.lit(char), F.lit(f"\\{char}"))
+    return text
 
 
 def date_from_filename(name: Column) -> Column:
