@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import it by name; once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        base = os.path.join(os.path.realpath(tempfile.mkdtemp()), root.name)
+        context.addPyFile(shutil.make_archive(base, "zip", root.parent, root.name))
+        _SHIPPED.add(context.applicationId)
+
+
 def column(name: str) -> Column:
     """The column of exactly this name, dots and blanks included."""
     return F.col(f"`{name.replace('`', '``')}`")
@@ -49,6 +66,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def map_texts(rows: DataFrame, make: Callable[[], Callable[[list], list]], fields: list[T.StructField]) -> DataFrame:
     """(id, text) rows to (id, *fields): make() gives each task a function from texts to columns of values."""
+    ship(rows.sparkSession)
     schema = T.StructType([rows.schema["id"], *fields])
     arrow = to_arrow_schema(schema)
 
@@ -65,6 +83,8 @@ def map_texts(rows: DataFrame, make: Callable[[], Callable[[list], list]], field
 def keep_rows(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """Rows of docs, with all their columns, for whose text the function of make() says True."""
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = make()
         for batch in batches:
