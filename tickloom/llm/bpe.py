@@ -34,7 +34,7 @@ ASCII_RULE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 class TrieBpe:
     """Encoder and decoder of one tokenizer file; ``most`` bounds what it remembers."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:

@@ -11,8 +11,10 @@ from .decontam import op7_decontamination
 from .quality import op5_quality
 from .simhash import op6_simhash
 from .toxicity import op8_toxicity
+from .urls import OP2_SQL, op2_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_urls": op2_urls,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
@@ -20,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_urls": OP2_SQL}
