@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_bpe
 from .decontam import op7_decontamination
+from .licenses import OP10_SQL, op10_licenses
 from .quality import op5_quality
 from .simhash import op6_simhash
 from .toxicity import op8_toxicity
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
+    "op10_licenses": op10_licenses,
 }
 
-ORACLES: dict[str, str] = {"op2_urls": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_urls": OP2_SQL, "op10_licenses": OP10_SQL}
