@@ -10,11 +10,13 @@ from .bpe import op9_bpe
 from .decontam import op7_decontamination
 from .licenses import OP10_SQL, op10_licenses
 from .quality import op5_quality
+from .secrets import op1_secrets
 from .simhash import op6_simhash
 from .toxicity import op8_toxicity
 from .urls import OP2_SQL, op2_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_urls": op2_urls,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
