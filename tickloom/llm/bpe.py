@@ -18,9 +18,10 @@ from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, table, texts
+from .common import column, map_texts, table, texts
 
 # Characters at which the tokenizer's normalizer splits (Unicode White_Space).
 BLANK = "\t-\r \x85\xa0  -     　"
@@ -256,6 +257,33 @@ def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     return map_texts(texts(docs, id_col, text_col), make, fields)
 
 
+def encode_rows(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("source", "lang")
+) -> DataFrame:
+    """(doc_id, *carry, ids, n_tokens, ids_sha256) of every row; ids as little-endian unsigned 32-bit integers.
+
+    Cases as in encode_texts.
+    """
+    rows = docs.select(F.struct(*(column(c) for c in (id_col, *carry))).alias("id"), column(text_col).alias("text"))
+    rows = texts(rows, "id", "text")
+
+    def make():
+        bpe = encoder(tokenizer)
+
+        def judge(batch):
+            ids = bpe.encode(batch)
+            return ids, [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids]
+
+        return judge
+
+    fields = [
+        T.StructField("ids", T.BinaryType()),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("ids_sha256", T.StringType()),
+    ]
+    return map_texts(rows, make, fields).select("id.*", "ids", "n_tokens", "ids_sha256")
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 

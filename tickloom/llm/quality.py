@@ -32,6 +32,7 @@ WINDOW = 5
 BUCKETS = 1 << 16  # of hashed n-grams; both models have so many numbers, whatever the corpus
 TRUSTED = 50_000  # most labelled documents the target model is fitted on
 THRESHOLD = -0.15  # lowest score kept, in nats for each n-gram
+PRIOR = 10  # occurrences, at the corpus's own rate, that each bucket of the target is given beforehand
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -80,7 +81,10 @@ def trusted_ids(labels: DataFrame, most: int, id_col: str, quality_col: str) ->
 
 
 def log_ratios(rows: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """log p_target - log p_raw of every bucket, add-one smoothed, from all (id, text) rows.
+    """log p_target - log p_raw of every bucket, from all (id, text) rows.
+
+    The target is smoothed towards the corpus, so that a bucket which few
+    trusted documents could hold anyway says little.
 
     Each task counts into two arrays and hands on one row for each bucket, so
     that the shuffle does not depend on the length of texts; the driver gets
@@ -111,8 +115,8 @@ def log_ratios(rows: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> n
         raw[bucket], target[bucket] = n, m
     if not target.any():
         return np.zeros(buckets)
-    log = lambda counts: np.log((counts + 1) / (counts.sum() + buckets))
-    return log(target) - log(raw)
+    expected = raw * (target.sum() / raw.sum())
+    return np.log((target + PRIOR) / (expected + PRIOR))
 
 
 def score(text: str, ratios: np.ndarray) -> float:
