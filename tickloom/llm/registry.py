@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_bpe
 from .decontam import op7_decontamination
+from .lengths import op4_lengths
 from .licenses import OP10_SQL, op10_licenses
 from .quality import op5_quality
 from .secrets import op1_secrets
+from .shards import op3_shards
 from .simhash import op6_simhash
 from .toxicity import op8_toxicity
 from .urls import OP2_SQL, op2_urls
@@ -18,6 +20,8 @@ from .urls import OP2_SQL, op2_urls
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_urls": op2_urls,
+    "op3_shards": op3_shards,
+    "op4_lengths": op4_lengths,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
