@@ -17,6 +17,7 @@ def spark():
         master="local[8]",
         **{
             "spark.sql.shuffle.partitions": "8",
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8",
             "spark.sql.sources.parallelPartitionDiscovery.threshold": "100000",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",

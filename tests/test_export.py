@@ -38,8 +38,8 @@ def test_export_reads_back_and_repeats(spark, ticks, tmp_path):
 
 def test_export_layout(spark, ticks, tmp_path):
     root = tmp_path / "out"
-    export.export_slots(ticks, str(root), "2024-01-05", "2024-01-06", tasks=4)
-    manifest = export.export_manifest(of_day(ticks))
+    export.export_slots(ticks, str(root), "2024-01-05", "2024-01-06")
+    manifest = export.export_manifest(spark, str(root))
     files = list(root.rglob("*.parquet"))
     assert len(files) == manifest.count()
     assert all(".zstd." in f.name for f in files)
@@ -57,6 +57,10 @@ def test_max_records_split_a_slot(spark, tmp_path):
     hot = rows.ticks(spark, *(dict(at="2024-01-05", order_id=i) for i in range(10)))
     export.export_slots(hot, str(root), max_records_per_file=4)
     assert len(list(root.rglob("*.parquet"))) == 3
+    # the report names what was written
+    manifest = export.export_manifest(spark, str(root))
+    assert rows.values(manifest, "cnt", "n_files") == [(10, 3)]
+    assert tuple(export.export_totals(manifest).first()) == (10, 3)
     assert tick_source.scan_exports(spark, str(root)).count() == 10
 
 
@@ -104,7 +108,7 @@ def test_symbols_with_special_characters(spark, tmp_path):
     odd = ["BF.B", "A/B=C", "X %[1]{2}^", "Q:?*#"]
     ticks = rows.ticks(spark, *(dict(at="2024-01-05", symbol=s) for s in odd))
     for symbol in odd:
-        export.export_slots(ticks, own, symbol=symbol, tasks=1)
+        export.export_slots(ticks, own, symbol=symbol)
     for symbol in odd:
         got = tick_source.scan_exports(spark, own, date="2024-01-05", symbol=symbol, symbol_root=own)
         assert rows.values(got, "symbol") == [(symbol,)]
@@ -193,9 +197,9 @@ def test_counts_use_partition_columns(spark, ticks, tmp_path):
 
 
 def test_no_python_in_any_plan(spark, ticks):
-    import __spark_entry__ as entry
+    from tickloom.registry import QUERIES
 
-    for name, build in entry.queries().items():
+    for name, build in QUERIES.items():
         plan = build(spark, SF)._jdf.queryExecution().executedPlan().toString()
         for word in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
             assert word not in plan, (name, word)
@@ -203,3 +207,34 @@ def test_no_python_in_any_plan(spark, ticks):
 
 def test_bar_order_ends_with_price():
     assert BAR_ORDER[-1] == "price"
+
+
+def test_text_results_keep_integers_and_rows(spark):
+    times = spark.createDataFrame([(1_761_130_860_010_235_508, "a,b"), (None, None)], "ns bigint, x string")
+    assert outputs.csv_text(times) == 'ns,x\n1761130860010235508,"a,b"\n,\n'
+    many = spark.range(60_000)
+    assert outputs.to_arrow(many).num_rows == 60_000
+    assert sum(batch.num_rows for batch in outputs.arrow_batches(many, 7_000)) == 60_000
+    with pytest.raises(ValueError):
+        outputs.to_arrow(many, max_rows=50_000)
+
+
+def test_line_protocol_leaves_out_nulls(spark):
+    tick = rows.ticks(spark, dict(ts_event_ns=5, symbol="A", size=None, side=None))
+    (line,) = rows.values(outputs.line_protocol_rows(tick))[0]
+    assert line.startswith("mbo_ticks,symbol=A,action=T instrument_id=1i,") and line.endswith(" 5")
+    assert "size" not in line and "side" not in line and ",," not in line
+
+
+def test_time_text_does_not_follow_the_session_zone(spark):
+    from tickloom.functions import clock
+
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = spark.range(1).select(
+                clock.from_epoch_ns(F.lit(0).cast("bigint")), clock.to_utc_text(F.lit("2024-03-10T02:30:00Z"))
+            ).first()
+            assert tuple(got) == ("1970-01-01 00:00:00.000000000 UTC", "2024-03-10 02:30:00 UTC")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -5,6 +5,8 @@ import pytest
 from conftest import TESTDATA
 
 import __spark_entry__ as entry
+from tickloom.oracles import ORACLES
+from tickloom.registry import QUERIES
 
 SF = f"{TESTDATA}/sf0.001"
 
@@ -15,13 +17,14 @@ def db():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
-    result = entry.queries()[name](spark, SF)
-    assert compare.difference(result, entry.oracle_sql()[name], db) is None
+    result = QUERIES[name](spark, SF)
+    assert compare.difference(result, ORACLES[name], db) is None
 
 
 def test_entry(spark):

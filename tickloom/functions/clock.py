@@ -104,15 +104,16 @@ def micros_to_ns(ts: Column) -> Column:
     return F.unix_micros(ts) * F.lit(1_000)
 
 
-_SECONDS_TEXT = "yyyy-MM-dd HH:mm:ss"
+def _clock_text(ns: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` in UTC, whatever the session zone."""
+    second = floor_div(F.pmod(ns, F.lit(DAY)), SECOND)
+    parts = (floor_div(second, 3600), F.pmod(floor_div(second, 60), F.lit(60)), F.pmod(second, F.lit(60)))
+    return F.concat(date_of(ns).cast("string"), F.lit(" "), F.concat_ws(":", *(_pad(part, 2) for part in parts)))
 
 
 def from_epoch_ns(ns: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss.nnnnnnnnn UTC`` (under the session zone UTC)."""
-    seconds = F.timestamp_seconds(floor_div(ns, SECOND))
-    return F.concat(
-        F.date_format(seconds, _SECONDS_TEXT), F.lit("."), _pad(F.pmod(ns, F.lit(SECOND)), 9), F.lit(" UTC")
-    )
+    """``yyyy-MM-dd HH:mm:ss.nnnnnnnnn UTC``."""
+    return F.concat(_clock_text(ns), F.lit("."), _pad(F.pmod(ns, F.lit(SECOND)), 9), F.lit(" UTC"))
 
 
 # --- text to time ---------------------------------------------------------
@@ -150,8 +151,12 @@ def to_epoch_ns(text: Column) -> Column:
 
 
 def to_utc_text(text: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss UTC`` of the same texts (under the session zone UTC)."""
-    return F.concat(F.date_format(_instant(text), _SECONDS_TEXT), F.lit(" UTC"))
+    """``yyyy-MM-dd HH:mm:ss UTC`` of the same texts."""
+    seconds = F.unix_seconds(_instant(text))
+    days = F.date_from_unix_date(floor_div(seconds, DAY // SECOND).cast("int"))
+    # the years reach beyond 64-bit nanoseconds: date and time of day apart
+    time = _clock_text(F.pmod(seconds, F.lit(DAY // SECOND)) * F.lit(SECOND))
+    return F.concat(days.cast("string"), F.substring(time, 11, 9), F.lit(" UTC"))
 
 
 def _millis(text: Column, offset_only: bool = False) -> Column:
@@ -276,6 +281,15 @@ def date_of_ns(ns: int) -> dt.date:
     return dt.date(1970, 1, 1) + dt.timedelta(days=ns // DAY)
 
 
+def hour_of_ns(ns: int) -> int:
+    return ns % DAY // HOUR
+
+
+def slot_of_ns(ns: int) -> str:
+    minute = ns % DAY // SLOT * 15
+    return f"{minute // 60:02d}-{minute % 60:02d}"
+
+
 def pick_resolution(start: int | str | dt.date | dt.datetime, end: int | str | dt.date | dt.datetime) -> str:
     """Resolution for a request range; an unreadable text counts as the epoch."""
 

@@ -72,28 +72,25 @@ def clean_symbols(text: Column) -> Column:
 
 
 def line_protocol(symbol: Column) -> Column:
-    """One tick as a line: three tags, ten fields, nanosecond time."""
-
-    def whole(name: str) -> list[Column]:
-        return [F.lit(f"{name}="), F.col(name).cast("string"), F.lit("i")]
-
-    fields: list[Column] = []
-    for name in ("instrument_id", "order_id", "price_raw"):
-        fields += whole(name) + [F.lit(",")]
-    fields += [F.lit("price="), price_text(F.col("price_raw")), F.lit(",")]
-    for name in ("size", "flags", "channel_id", "ts_in_delta", "sequence"):
-        fields += whole(name) + [F.lit(",")]
-    return F.concat(
-        F.lit(f"{MEASUREMENT},symbol="),
-        escape_tag(symbol),
-        F.lit(",action="),
-        F.col("action"),
-        F.lit(",side="),
-        F.col("side"),
-        F.lit(" "),
-        *fields,
-        F.lit("ts_recv="),
-        F.col("ts_recv_ns").cast("string"),
-        F.lit("i "),
-        F.col("ts_event_ns").cast("string"),
+    """One tick as a line: three tags, ten fields, nanosecond time.
+
+    A tag, field or time that is NULL is left out; the line stays.
+    """
+
+    def whole(name: str, column: str | None = None) -> Column:
+        return F.concat(F.lit(f"{name}="), F.col(column or name).cast("string"), F.lit("i"))
+
+    tags = (
+        F.concat(F.lit("symbol="), escape_tag(symbol)),
+        F.concat(F.lit("action="), F.col("action")),
+        F.concat(F.lit("side="), F.col("side")),
+    )
+    fields = (
+        *(whole(name) for name in ("instrument_id", "order_id", "price_raw")),
+        F.concat(F.lit("price="), price_text(F.col("price_raw"))),
+        *(whole(name) for name in ("size", "flags", "channel_id", "ts_in_delta", "sequence")),
+        whole("ts_recv", "ts_recv_ns"),
     )
+    some = F.when(F.concat_ws(",", *fields) != "", F.concat_ws(",", *fields))
+    # concat_ws leaves out what is NULL
+    return F.concat_ws(" ", F.concat_ws(",", F.lit(MEASUREMENT), *tags), some, F.col("ts_event_ns").cast("string"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.clock import as_ns, date_of_ns
+from ..functions.clock import as_ns, date_of_ns, hour_of_ns, slot_of_ns
 from ..schema import TRADE
 
 When = int | str | dt.date | dt.datetime
@@ -32,9 +32,9 @@ def time_range(
     """Rows with start <= ts_event_ns < end, or <= end when ``closed``.
 
     The nanosecond bounds are literals, so Parquet statistics can use them.  A
-    physical ``date`` partition or ``ts_event`` timestamp, where the rows have
-    one, gets the matching coarser bound: it prunes folders or row groups and
-    never decides the result.
+    physical ``date``, ``hour`` or ``slot`` partition or ``ts_event`` timestamp,
+    where the rows have one, gets the matching coarser bound: it prunes folders
+    or row groups and never decides the result.
     """
     ns = F.col("ts_event_ns")
     keep: list[Column] = []
@@ -50,15 +50,21 @@ def time_range(
 
 
 def _coarse(rows: DataFrame, ns: int, lower: bool) -> list[Column]:
-    bounds: dict[str, tuple[type, Column]] = {
-        "date": (T.DateType, F.lit(date_of_ns(ns))),
-        "ts_event": (T.TimestampType, F.timestamp_micros(F.lit(ns // 1_000))),
-    }
+    kinds = {field.name: type(field.dataType) for field in rows.schema.fields}
     found = []
-    for field in rows.schema.fields:
-        kind, bound = bounds.get(field.name, (None, None))
-        if kind and isinstance(field.dataType, kind):
-            found.append(F.col(field.name) >= bound if lower else F.col(field.name) <= bound)
+
+    def bound(column: Column, value: Column) -> Column:
+        return column >= value if lower else column <= value
+
+    if kinds.get("date") is T.DateType:
+        day = F.lit(date_of_ns(ns))
+        found.append(bound(F.col("date"), day))
+        parts = {"hour": (T.IntegerType, hour_of_ns(ns)), "slot": (T.StringType, slot_of_ns(ns))}
+        for name, (kind, value) in parts.items():
+            if kinds.get(name) is kind:
+                found.append((F.col("date") != day) | bound(F.col(name), F.lit(value)))
+    if kinds.get("ts_event") is T.TimestampType:
+        found.append(bound(F.col("ts_event"), F.timestamp_micros(F.lit(ns // 1_000))))
     return found
 
 

@@ -1,34 +1,54 @@
 """Lookups of ticks in small tables: symbol mapping, allow-list, loaded dates.
 
 The large side must not be shuffled for a table of a few thousand rows, yet the
-table may grow.  So its row count is checked first, by one job that stops
-reading at the bound.  Within the bound the table is broadcast.  Beyond it both
-sides shuffle on key and salt: every table row is repeated once per salt, each
-tick goes to one salt, so a key with a third of all ticks still spreads over
-``SALTS`` tasks, and the result is the same.  Exact copies of one event share a
-salt; AQE's skew join splits those.
+table may grow.  So its size in bytes is summed first, by one aggregate.  Within
+the bound the table is broadcast.  Beyond it both sides shuffle on key and salt:
+every table row is repeated once per salt, each tick goes to one salt, so a key
+with a third of all ticks still spreads over ``SALTS`` tasks, and the result is
+the same.  Exact copies of one event share a salt; AQE's skew join splits those.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import date_of
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 16
 _SALT = "_salt"
 
+# Bytes of a row in memory beyond its texts: the row itself, and each column.
+_ROW_BYTES, _COLUMN_BYTES = 32, 16
 
-def fits(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``max_rows`` rows.
 
-    Reads partition after partition, without columns, and stops at the bound.
-    """
-    return not table.select(F.lit(1)).offset(max_rows).take(1)
+def _size(table: DataFrame) -> Column:
+    """Estimated bytes of a table, as an aggregate."""
+    fixed = F.lit(_ROW_BYTES + _COLUMN_BYTES * len(table.columns))
+    texts = [F.coalesce(F.octet_length(F.col(f"`{name}`").cast("string")), F.lit(0)) for name in table.columns]
+    return F.coalesce(F.sum(sum(texts, fixed).cast("bigint")), F.lit(0))
+
+
+def fits(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table takes at most ``max_bytes``; one row reaches the driver."""
+    return table.agg(_size(table)).first()[0] <= max_bytes
+
+
+def fits_map(symbol_map: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """The same of a symbol map, which must not give an instrument two symbols on one day."""
+    keys = [name for name in ("source_file", "instrument_id") if name in symbol_map.columns]
+    rows = symbol_map.select(*keys, "symbol", "start_date", "end_date").where(F.col("start_date") < F.col("end_date"))
+    until = F.max("end_date").over(
+        Window.partitionBy(*keys).orderBy("start_date", "end_date", "symbol").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    clash = rows.distinct().withColumn("_until", until).where(F.col("_until") > F.col("start_date"))
+    found = clash.agg(F.count("*").alias("n"), F.min("instrument_id").alias("at")).first()
+    if found.n:
+        raise ValueError(f"mappings of instrument {found.at} overlap, {found.n} in all")
+    return fits(symbol_map, max_bytes)
 
 
 def lookup(
@@ -58,22 +78,23 @@ def map_symbols(
     symbol_map: DataFrame,
     at: str = "ts_recv_ns",
     how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
     small: bool | None = None,
 ) -> DataFrame:
     """Symbol valid for a record's instrument on the record's date.
 
     The date is that of ``at``, the receive time, by which the feed indexes its
     order-book records.  Records without a valid mapping are dropped (``how`` =
-    "left" keeps them with a NULL symbol).  The intervals of an instrument must
-    not overlap.  A map with a ``source_file`` column holds the mappings of each
+    "left" keeps them with a NULL symbol).  Repeated rows of the map count once;
+    intervals of an instrument that overlap are an error.  A map with a ``source_file`` column holds the mappings of each
     raw file and applies to the records of that file only.  Other columns of the
-    map come along.  A caller that has checked the size of the map may say so
-    with ``small``.
+    map come along.  A caller that has checked the map (:func:`fits_map`) may
+    pass what that said as ``small``.
     """
     if small is None:
-        small = fits(symbol_map, max_rows)
-    table = symbol_map.withColumnsRenamed(
+        small = fits_map(symbol_map, max_bytes)
+    keys = [name for name in ("source_file", "instrument_id") if name in symbol_map.columns]
+    table = symbol_map.dropDuplicates([*keys, "start_date", "end_date"]).withColumnsRenamed(
         {"instrument_id": "_instrument", "start_date": "_start", "end_date": "_end", "source_file": "_file"}
     )
 
@@ -85,25 +106,25 @@ def map_symbols(
     return joined.drop("_day", "_instrument", "_start", "_end", "_file")
 
 
-def _listed(ticks: DataFrame, allowlist: DataFrame, how: str, max_rows: int) -> DataFrame:
+def _listed(ticks: DataFrame, allowlist: DataFrame, how: str, max_bytes: int) -> DataFrame:
     table = allowlist.select(F.col("symbol").alias("_listed"))
     return lookup(
         ticks,
         table,
         lambda r, t: F.upper(r["symbol"]) == t["_listed"],
         how,
-        fits(table, max_rows),
+        fits(table, max_bytes),
     )
 
 
-def allowed(ticks: DataFrame, allowlist: DataFrame | None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def allowed(ticks: DataFrame, allowlist: DataFrame | None, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Ticks whose symbol is listed in any case; all of them without a list."""
-    return ticks if allowlist is None else _listed(ticks, allowlist, "left_semi", max_rows)
+    return ticks if allowlist is None else _listed(ticks, allowlist, "left_semi", max_bytes)
 
 
-def rejected(ticks: DataFrame, allowlist: DataFrame | None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def rejected(ticks: DataFrame, allowlist: DataFrame | None, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Counterpart of :func:`allowed`."""
-    return ticks.where(F.lit(False)) if allowlist is None else _listed(ticks, allowlist, "left_anti", max_rows)
+    return ticks.where(F.lit(False)) if allowlist is None else _listed(ticks, allowlist, "left_anti", max_bytes)
 
 
 def flag_allowed(symbol_map: DataFrame, allowlist: DataFrame | None) -> DataFrame:

@@ -6,8 +6,22 @@ views in common table expressions.
 
 from __future__ import annotations
 
-from .functions import clock
-from .registry import DAY, END, MID, PART, START, SYMBOL
+import datetime as dt
+
+# Arguments of the queries, and widths in nanoseconds.
+SYMBOL, PART = "S00007", "P7"
+START, END = "2024-01-05", "2024-01-20"
+DAY, MID = "2024-01-09", "2024-01-15T12:00:00Z"
+_SECOND, _MINUTE, _HOUR, _WHOLE_DAY = 1_000_000_000, 60_000_000_000, 3_600_000_000_000, 86_400_000_000_000
+_WIDTHS = {
+    "1s": _SECOND,
+    "10s": 10 * _SECOND,
+    "1m": _MINUTE,
+    "5m": 5 * _MINUTE,
+    "15m": 15 * _MINUTE,
+    "1h": _HOUR,
+    "1d": _WHOLE_DAY,
+}
 
 _COLUMNS = (
     "ts_event_ns, symbol, instrument_id, order_id, price_raw, price, size, flags, channel_id, "
@@ -123,7 +137,8 @@ _REQUESTS = """requests AS (
 
 
 def _ns(time: str) -> int:
-    return clock.as_ns(time)
+    at = dt.datetime.fromisoformat(time.replace("Z", "+00:00"))
+    return int((at if at.tzinfo else at.replace(tzinfo=dt.UTC)).timestamp()) * _SECOND
 
 
 def _between(start: str, end: str) -> str:
@@ -163,7 +178,6 @@ _RANGE = """make_timestamp(min(ts_event_ns) // 1000) AS start, make_timestamp(ma
        count(*) AS total_ticks"""
 _MANIFEST = f"""{_TICKS}, manifest AS (
   SELECT {_DATE} AS date, {_SLOT} AS slot, count(*) AS cnt FROM ticks GROUP BY ALL)"""
-_HOUR, _SECOND = clock.HOUR, clock.SECOND
 
 ORACLES: dict[str, str] = {
     "scan_ticks": f"WITH {_TICKS} SELECT {_COLUMNS} FROM ticks",
@@ -200,22 +214,22 @@ FROM ticks WHERE symbol = '{SYMBOL}' AND {_between(START, END)}""",
 WHERE symbol = '{SYMBOL}' AND ts > (SELECT max(ts) FROM events) - INTERVAL 5 DAY
 ORDER BY ts_event_ns DESC, sequence DESC LIMIT 20""",
     **{
-        f"bars_{name}": f"WITH {_TICKS} {_bars(width)}" for name, width in clock.RESOLUTIONS.items()
+        f"bars_{name}": f"WITH {_TICKS} {_bars(width)}" for name, width in _WIDTHS.items()
     },
     "bars_1d_ties": f"""WITH {_LINES} {_bars(
-        clock.DAY, "lines", order="{'t': ts_event_ns, 'o': order_id, 'l': sequence, 'p': price}")}""",
+        _WHOLE_DAY, "lines", order="{'t': ts_event_ns, 'o': order_id, 'l': sequence, 'p': price}")}""",
     # 15 days are more than a week, hence daily bars
     "bars_auto": f"""WITH {_TICKS} {_bars(
-        clock.DAY, keys="", where=f"symbol = '{SYMBOL}' AND {_between(START, END)}")}""",
+        _WHOLE_DAY, keys="", where=f"symbol = '{SYMBOL}' AND {_between(START, END)}")}""",
     "bars_for_5m": f"""WITH {_TICKS} {_bars(
-        5 * clock.MINUTE, keys="", where=f"symbol = '{SYMBOL}' AND {_between(START, END)}")}""",
+        5 * _MINUTE, keys="", where=f"symbol = '{SYMBOL}' AND {_between(START, END)}")}""",
     "bars_all_symbols": f"""WITH {_TICKS} {_bars(
         _HOUR, keys="", label="datetime", count="count(price)")}""",
     "bars_interval_7m": f"""WITH {_TICKS} {_bars(
-        7 * clock.MINUTE, keys="", label="datetime", count="count(price)")}""",
+        7 * _MINUTE, keys="", label="datetime", count="count(price)")}""",
     "bars_defaults": f"""WITH {_TICKS}, gaps AS (
   SELECT * REPLACE (CASE WHEN price > 20 THEN price END AS price) FROM ticks), series AS (
-{_bars(clock.DAY, "gaps", count="count(price)")})
+{_bars(_WHOLE_DAY, "gaps", count="count(price)")})
 SELECT symbol, ts, coalesce(open, 0) AS open, coalesce(high, 0) AS high, coalesce(low, 0) AS low,
        coalesce(close, 0) AS close, coalesce(volume, 0) AS volume, trades FROM series""",
     "symbols": f"WITH {_TICKS} SELECT DISTINCT symbol FROM ticks",
@@ -258,7 +272,7 @@ WHERE file_name NOT IN (SELECT 'feed-' || strftime(ts, '%Y%m%d') || '.mbo.parque
        channel_id, action, side, ts_recv_ns, ts_in_delta, sequence
 FROM ticks WHERE symbol = '{SYMBOL}' AND {_between("2024-01-07", "2024-01-12")}""",
     "export_manifest": f"""WITH {_MANIFEST} SELECT date, slot, cnt,
-       'mbo_' || CAST(date AS VARCHAR) || '_' || slot || '.parquet' AS file_name FROM manifest""",
+       1::BIGINT AS n_files, 'mbo_' || CAST(date AS VARCHAR) || '_' || slot || '.parquet' AS file_name FROM manifest""",
     "export_totals": f"""WITH {_MANIFEST} SELECT CAST(sum(cnt) AS BIGINT) AS total_rows, count(*) AS total_files
 FROM manifest""",
     "line_protocol": f"""WITH {_TICKS} SELECT
@@ -335,3 +349,27 @@ FROM starts""",
        'mbo_' || symbol || '_' || CAST({_DATE} AS VARCHAR) || '_' || {_SLOT} || '.parquet' AS file_name
 FROM ticks""",
 }
+
+# The same results from the loaded table, and loads that must not lose or double rows.
+ORACLES |= {
+    "table_hourly": f"WITH {_TICKS} SELECT {_DATE} AS date, CAST(hour(ts) AS INTEGER) AS hour, {_COLUMNS} FROM ticks",
+    "table_bars_1h": ORACLES["bars_1h"],
+    "table_bars_auto": ORACLES["bars_auto"],
+    "table_merged_bars": ORACLES["bars_all_symbols"],
+    "table_page": ORACLES["ticks_page_offset"],
+    "table_range": ORACLES["data_range"],
+    "table_count_by_date": ORACLES["count_by_date"],
+    "table_trades": ORACLES["filter_trades"],
+    "pending_in_table": ORACLES["pending_files"],
+    "filter_one_hour": f"""WITH {_TICKS} SELECT {_DATE} AS date, CAST(hour(ts) AS INTEGER) AS hour, {_COLUMNS}
+FROM ticks WHERE ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-10 07:00:00'""",
+    "export_one_slot": f"""WITH {_TICKS} SELECT {_DATE} AS date, {_SLOT} AS slot, {_COLUMNS}
+FROM ticks WHERE ts >= TIMESTAMP '2024-01-10 06:15:00' AND ts < TIMESTAMP '2024-01-10 06:30:00'""",
+    "sql_count_between": ORACLES["count_symbol_between"],
+    "sql_latest": f"""WITH {_TICKS} SELECT symbol, action, price, ts AS ts_event, make_timestamp(ts_recv_ns // 1000) AS ts_recv
+FROM ticks WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    "map_symbols_overlap": ORACLES["map_symbols"],
+    "load_two_folders": ORACLES["normalize_ticks"],
+    "load_again_fewer_hours": f"""WITH {_TICKS} SELECT {_DATE} AS date, CAST(hour(ts) AS INTEGER) AS hour, {_COLUMNS}
+FROM ticks WHERE hour(ts) < 12""",
+}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock, text
 from ..operators.filters import When, for_symbol, time_range
-from ..schema import TICK_COLUMNS, TICK_ORDER
+from ..schema import EXPORT_PARTITIONS, TICK_COLUMNS, TICK_ORDER
+from ..sources import folders
 
 
 def with_slots(ticks: DataFrame) -> DataFrame:
@@ -22,24 +23,17 @@ def export_slots(
     end: When | None = None,
     symbol: str | None = None,
     max_records_per_file: int = 0,
-    tasks: int | None = None,
 ) -> None:
     """Write ticks of [start, end) to ``date=/slot=`` folders, zstd, sorted by time.
 
     Exporting a slot again replaces it; slots without ticks are not touched.
     With a symbol only its ticks are written, below ``symbol=``.  The rebalance
     gathers thin slots in one task and cuts a hot slot (an opening auction with a
-    third of the day) into several files, each sorted.  Where slots are so thin
-    that opening files is the cost, ``tasks`` spreads them over that many tasks
-    instead.
+    third of the day) into several files, each sorted.
     """
     rows = time_range(ticks if symbol is None else for_symbol(ticks, symbol), start, end)
     folders = ["date", "slot"] if symbol is None else ["symbol", "date", "slot"]
-    slotted = with_slots(rows)
-    if tasks is None:
-        slotted = slotted.hint("rebalance", F.col("date"), F.col("slot"))
-    else:
-        slotted = slotted.repartition(tasks, "date", "slot")
+    slotted = with_slots(rows).hint("rebalance", F.col("date"), F.col("slot"))
     (
         slotted.sortWithinPartitions(*folders, *TICK_ORDER)
         .write.mode("overwrite")
@@ -51,15 +45,22 @@ def export_slots(
     )
 
 
-def export_manifest(ticks: DataFrame, symbol: str | None = None) -> DataFrame:
-    """Rows and file name of every slot that has ticks."""
-    rows = ticks if symbol is None else for_symbol(ticks, symbol)
-    counted = with_slots(rows).groupBy("date", "slot").agg(F.count("*").alias("cnt"))
+def export_manifest(spark: SparkSession, root: str, symbol: str | None = None) -> DataFrame:
+    """What lies in an export: for every slot its rows, its files, and the name it goes by.
+
+    Rows are counted from the footers of the files that were written.
+    """
+    folders.require(spark, root)
+    where = "" if symbol is None else f"/symbol={folders.folder_name(symbol)}"
+    files = spark.read.schema(EXPORT_PARTITIONS).option("pathGlobFilter", "*.parquet").option("basePath", root)
+    each = files.parquet(root.rstrip("/") + where).groupBy("date", "slot", "_metadata.file_path").count()
+    counted = each.groupBy("date", "slot").agg(F.sum("count").alias("cnt"), F.count("*").alias("n_files"))
     name = text.slot_filename(F.col("date"), F.col("slot"), None if symbol is None else F.lit(symbol))
     return counted.withColumn("file_name", name)
 
 
 def export_totals(manifest: DataFrame) -> DataFrame:
+    none = F.lit(0).cast("bigint")
     return manifest.agg(
-        F.coalesce(F.sum("cnt"), F.lit(0).cast("bigint")).alias("total_rows"), F.count("*").alias("total_files")
+        F.coalesce(F.sum("cnt"), none).alias("total_rows"), F.coalesce(F.sum("n_files"), none).alias("total_files")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -12,21 +13,23 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, text
 from ..operators.filters import of_rtypes
-from ..operators.lookup import BROADCAST_ROWS, flag_allowed, fits, map_symbols
-from ..schema import TABLE_PARTITIONS, TICK, TICK_COLUMNS
+from ..operators.lookup import BROADCAST_BYTES, fits_map, flag_allowed, map_symbols
+from ..schema import TABLE_PARTITIONS, TICK, TICK_COLUMNS, TIME_FIELDS, TIMES
+from ..sources import folders
 from ..sources.raw import read_raw_files
 
 CONCURRENT_FILES = 2
 
+
 def mapped(
     raw: DataFrame,
     symbol_map: DataFrame,
     allowlist: DataFrame | None = None,
-    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
     small: bool | None = None,
 ) -> DataFrame:
     """Order-book records with their symbol and whether the allow-list keeps them."""
-    return _flagged(of_rtypes(raw, ("mbo",)), symbol_map, allowlist, "inner", max_rows, small)
+    return _flagged(of_rtypes(raw, ("mbo",)), symbol_map, allowlist, "inner", max_bytes, small)
 
 
 def _flagged(
@@ -34,12 +37,12 @@ def _flagged(
     symbol_map: DataFrame,
     allowlist: DataFrame | None,
     how: str,
-    max_rows: int,
+    max_bytes: int,
     small: bool | None = None,
 ) -> DataFrame:
     if small is None:
         # flagging adds no rows to the map, so the plain one is checked
-        small = fits(symbol_map, max_rows)
+        small = fits_map(symbol_map, max_bytes)
     return map_symbols(records, flag_allowed(symbol_map, allowlist), how=how, small=small)
 
 
@@ -63,21 +66,21 @@ def normalize(
     symbol_map: DataFrame,
     allowlist: DataFrame | None = None,
     null_undefined: bool = False,
-    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Raw records to ticks: type filter, symbol mapping, allow-list, scaling."""
-    return as_ticks(mapped(raw, symbol_map, allowlist, max_rows).where(F.col("keep")), null_undefined)
+    return as_ticks(mapped(raw, symbol_map, allowlist, max_bytes).where(F.col("keep")), null_undefined)
 
 
 def ingest_summary(
-    raw: DataFrame, symbol_map: DataFrame, allowlist: DataFrame | None = None, max_rows: int = BROADCAST_ROWS
+    raw: DataFrame, symbol_map: DataFrame, allowlist: DataFrame | None = None, max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Rows kept and skipped by the allow-list per source file.
 
     Unmapped and other records count as neither, but their file is listed.
     """
     book = F.col("rtype") == "mbo"
-    known = _flagged(raw, symbol_map, allowlist, "left", max_rows)
+    known = _flagged(raw, symbol_map, allowlist, "left", max_bytes)
     return known.groupBy("source_file").agg(
         F.count_if(book & F.col("keep")).alias("rows_kept"),
         F.count_if(book & ~F.col("keep")).alias("rows_skipped"),
@@ -96,28 +99,44 @@ def pending_files(files: DataFrame, ticks: DataFrame) -> DataFrame:
     """Files of dates that have no ticks yet; files without a date are always pending.
 
     One tick of any symbol marks its date as loaded.  :func:`pending_loads` is
-    the stricter rule, by file.
+    the stricter rule, by file.  Only the candidates' own dates, a calendar's
+    worth at most, are looked for, which leaves other folders unread.
     """
-    loaded = ticks.select(
-        (F.col("date") if "date" in ticks.columns else clock.date_of(F.col("ts_event_ns")))
-        .cast("string")
-        .alias("_loaded")
-    ).distinct()
     dated = files.withColumn("_date", text.date_from_filename(F.col("file_name")))
-    # distinct dates: one row per calendar day at most
+    days = [row["_date"] for row in dated.select("_date").where(F.col("_date").isNotNull()).distinct().collect()]
+    date = (F.col("date") if "date" in ticks.columns else clock.date_of(F.col("ts_event_ns"))).cast("string")
+    loaded = ticks.where(date.isin(sorted(days))).select(date.alias("_loaded")).distinct()
     return dated.join(F.broadcast(loaded), dated["_date"] == loaded["_loaded"], "left_anti").drop("_date")
 
 
+# Hexadecimal digits of the path's hash that tell files of one name apart.
+_PATH_DIGITS = 12
+
+
+def load_name(spark: SparkSession, path: str) -> str:
+    """Name of a file's load: its own, and a hash of its full path."""
+    full = folders.qualified(spark, path)
+    return f"{full.rsplit('/', 1)[-1]}-{hashlib.sha256(full.encode()).hexdigest()[:_PATH_DIGITS]}"
+
+
 def pending_loads(files: DataFrame, table: DataFrame) -> DataFrame:
-    """Files of which no rows are in the table, by the ``load`` partition column."""
+    """Files (with their full ``path``) of which no rows are in the table, by the ``load`` partition column.
+
+    Where all files carry a date in their name and loads keep to it, filter the
+    table to those dates first.
+    """
     loaded = table.select(F.col("load").alias("_load")).distinct()
-    right = F.broadcast(loaded) if fits(loaded) else loaded
-    return files.join(right, files["file_name"] == loaded["_load"], "left_anti")
+    named = files.withColumn(
+        "_name", F.concat("file_name", F.lit("-"), F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, _PATH_DIGITS))
+    )
+    return named.join(loaded, named["_name"] == loaded["_load"], "left_anti").drop("_name")
 
 
 def with_partitions(ticks: DataFrame) -> DataFrame:
+    """Tick columns, the times as timestamps, and the table's ``date`` and ``hour``."""
     ns = F.col("ts_event_ns")
-    return ticks.select(*TICK_COLUMNS, clock.date_of(ns).alias("date"), clock.hour_of(ns).alias("hour"))
+    times = [clock.timestamp_of(F.col(f"{name}_ns")).alias(name) for name in TIMES]
+    return ticks.select(*TICK_COLUMNS, *times, clock.date_of(ns).alias("date"), clock.hour_of(ns).alias("hour"))
 
 
 def append_ticks(
@@ -127,14 +146,18 @@ def append_ticks(
     hourly: bool = True,
     max_records_per_file: int = 0,
     time_ordered: bool = False,
+    table: str | None = None,
 ) -> None:
     """Append ticks to the table under ``root`` as the load named ``load``.
 
-    Rows go to ``date=/hour=/load=`` folders; unless ``hourly``, a whole day goes
-    to hour 0, which suits tables of few rows a day.  A load that is run again,
-    after a lost driver say, replaces its own folders and nothing else, so an
-    append never doubles rows.  Rows are sorted by symbol and time inside each
-    file, so the column index finds a symbol's pages.
+    Rows go to ``date=/hour=/load=`` folders; unless ``hourly``, to
+    ``date=/load=`` folders, which suits tables of few rows a day.  A table keeps
+    to one of the two.  A load that is run again, after a lost driver say,
+    replaces its own folders, also those that it gives no rows any more, and
+    nothing else: an append never doubles rows and leaves none behind.  Rows are
+    sorted by symbol and time inside each file, so the column index finds a
+    symbol's pages.  A ``table`` of the catalog over this root (see
+    :func:`ensure_table`) learns of the new folders.
 
     The rebalance lets AQE cut a hot hour into several tasks and merge thin ones.
     If the rows come in feed order, each task holds a short stretch of time
@@ -142,35 +165,49 @@ def append_ticks(
     as its bytes are.  With rows in any other order it would leave many small
     files.
     """
-    folders = ["date", "hour", "load"]
+    spark = ticks.sparkSession
+    parts = ["date", "hour"] if hourly else ["date"]
+    base = root.rstrip("/")
+    wrong = f"{base}/date=*/load=*" if hourly else f"{base}/date=*/hour=*"
+    if folders.children(spark, base) and folders.matching(spark, wrong):
+        raise ValueError(f"the table under {root} is {'not ' if hourly else ''}cut into hours")
     rows = with_partitions(ticks)
     if not hourly:
-        rows = rows.withColumn("hour", F.lit(0))
+        rows = rows.drop("hour")
     rows = rows.withColumn("load", F.lit(load))
     if not time_ordered:
-        rows = rows.hint("rebalance", *(F.col(name) for name in (["date", "hour"] if hourly else ["date"])))
-    rows = rows.sortWithinPartitions(*folders, "symbol", "ts_event_ns", "sequence")
+        rows = rows.hint("rebalance", *(F.col(name) for name in parts))
+    own = "/".join([base, *(f"{name}=*" for name in parts), f"load={folders.folder_name(load)}"])
+    before = {path: set(folders.children(spark, path) or ()) for path in folders.matching(spark, own)}
     (
-        rows.write.mode("overwrite")
+        rows.sortWithinPartitions(*parts, "load", "symbol", "ts_event_ns", "sequence")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .option("maxRecordsPerFile", max_records_per_file)
-        .partitionBy(*folders)
+        .partitionBy(*parts, "load")
         .parquet(root)
     )
+    for path, files in before.items():
+        # a folder that was written again holds new files only
+        if files.intersection(folders.children(spark, path) or ()):
+            folders.delete(spark, path)
+    if table is not None:
+        spark.catalog.recoverPartitions(table)
 
 
-def ensure_table(spark: SparkSession, name: str, root: str) -> None:
-    """Create the tick table over ``root`` in the session catalog if absent."""
+def ensure_table(spark: SparkSession, name: str, root: str, hourly: bool = True) -> None:
+    """Create the tick table over ``root`` in the session catalog if absent, with what is there already."""
+    parts = [field for field in TABLE_PARTITIONS.fields if hourly or field.name != "hour"]
     columns = ", ".join(
-        f"{field.name} {field.dataType.simpleString()}" for field in [*TICK.fields, *TABLE_PARTITIONS.fields]
+        f"{field.name} {field.dataType.simpleString()}" for field in [*TICK.fields, *TIME_FIELDS, *parts]
     )
-    folders = ", ".join(TABLE_PARTITIONS.fieldNames())
+    by = ", ".join(field.name for field in parts)
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY ({folders}) "
-        "LOCATION :root",
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY ({by}) LOCATION :root",
         args={"root": root},
     )
+    spark.catalog.recoverPartitions(name)
 
 
 @dataclass(frozen=True)
@@ -192,23 +229,27 @@ def load_file(
     hourly: bool = True,
     time_ordered: bool = False,
     small: bool | None = None,
+    table: str | None = None,
 ) -> FileLoad:
     """Load one raw file (or folder of part files) in one pass.
 
     Kept and skipped rows are counted while the file is written, not by a
-    second read.  A failed load leaves no rows behind.  ``time_ordered`` says
-    that the file is in feed order (see :func:`append_ticks`).
+    second read.  A load that fails before its commit leaves no rows behind; one
+    that dies while its folders are put in place is made whole by running it
+    again.  ``time_ordered`` says that the file is in feed order (see
+    :func:`append_ticks`).
     """
     name = path.rstrip("/").rsplit("/", 1)[-1]
     counts = [F.count_if(F.col("keep")).alias("kept"), F.count_if(~F.col("keep")).alias("skipped")]
     seen = Observation()
     try:
         if small is None:
-            small = fits(symbol_map)
+            small = fits_map(symbol_map)
         records = mapped(read_raw_files(spark, [path]), symbol_map, allowlist, small=small)
         kept = records.observe(seen, *counts).where(F.col("keep"))
         # a salted mapping loses the order of the file
-        append_ticks(as_ticks(kept), root, name, hourly, time_ordered=time_ordered and small)
+        load = load_name(spark, path)
+        append_ticks(as_ticks(kept), root, load, hourly, time_ordered=time_ordered and small, table=table)
         try:
             found = seen.get
         except Py4JJavaError:  # nothing was kept, and the observed plan was dropped with it
@@ -227,15 +268,24 @@ def load_files(
     hourly: bool = True,
     time_ordered: bool = False,
     concurrency: int = CONCURRENT_FILES,
+    table: str | None = None,
 ) -> list[FileLoad]:
-    """Load files as separate Spark jobs, a few at a time, and report on each."""
-    small = fits(symbol_map)
+    """Load files as separate Spark jobs, a few at a time, and report on each.
+
+    A file may not be listed twice: its two loads would replace each other.
+    """
+    if len({load_name(spark, path) for path in paths}) < len(paths):
+        raise ValueError("a file is listed twice")
+    small = fits_map(symbol_map)
 
     def one(path: str) -> FileLoad:
         return load_file(spark, path, root, symbol_map, allowlist, hourly, time_ordered, small)
 
     with ThreadPoolExecutor(max_workers=concurrency) as jobs:
-        return list(jobs.map(one, paths))
+        loads = list(jobs.map(one, paths))
+    if table is not None:
+        spark.catalog.recoverPartitions(table)
+    return loads
 
 
 def load_totals(loads: Sequence[FileLoad]) -> dict[str, int]:

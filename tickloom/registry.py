@@ -79,16 +79,14 @@ def _table(spark: SparkSession, sf_dir: str) -> str:
     )
 
 
-# Up to this many ticks an export is bound by its files, not by its bytes.
-THIN_EXPORT = 1_000_000
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan of the event ticks loaded into the hourly layout, the usual one."""
+    root = _written(spark, sf_dir, "hourly", lambda ticks, root: load.append_ticks(ticks, root, load="events"))
+    return tick_source.scan_table(spark, root)
 
 
 def _exports(spark: SparkSession, sf_dir: str) -> str:
-    def write(ticks: DataFrame, root: str) -> None:
-        thin = lookup.fits(ticks, THIN_EXPORT)
-        export.export_slots(ticks, root, tasks=2 * spark.sparkContext.defaultParallelism if thin else None)
-
-    return _written(spark, sf_dir, "exports", write)
+    return _written(spark, sf_dir, "exports", export.export_slots)
 
 
 def _own_exports(spark: SparkSession, sf_dir: str) -> str:
@@ -389,6 +387,112 @@ def pending_files(spark, sf_dir):
     return load.pending_files(samples.candidate_files(spark, sf_dir), _ticks(spark, sf_dir))
 
 
+@query
+def map_symbols_overlap(spark, sf_dir):
+    # maps of several files united hold a mapping more than once
+    symbol_map = samples.symbol_map(spark, sf_dir)
+    mapped = lookup.map_symbols(samples.raw_records(spark, sf_dir), symbol_map.union(symbol_map))
+    return mapped.select("source_file", "rtype", "ts_event_ns", "instrument_id", "order_id", "symbol")
+
+
+@query
+def load_two_folders(spark, sf_dir):
+    """Two raw files of one name, in different folders."""
+
+    def write(_, root):
+        raw, symbol_map, allowlist = _load_inputs(spark, sf_dir)
+        paths = [f"{work_dir(spark, 'raw')}/feed.mbo.parquet" for _ in range(2)]
+        for part, path in enumerate(paths):
+            raw.where(F.pmod("order_id", F.lit(2)) == part).drop("source_file").write.parquet(path)
+        load.load_files(spark, paths, root, symbol_map, allowlist, hourly=False)
+
+    return tick_source.scan_table(spark, _written(spark, sf_dir, "two-folders", write)).select(*TICK_COLUMNS)
+
+
+@query
+def load_again_fewer_hours(spark, sf_dir):
+    """A load that is run again with the morning only."""
+
+    def write(ticks, root):
+        load.append_ticks(ticks, root, load="feed")
+        load.append_ticks(ticks.where(clock.hour_of(F.col("ts_event_ns")) < 12), root, load="feed")
+
+    rows = tick_source.scan_table(spark, _written(spark, sf_dir, "again", write))
+    return rows.select("date", "hour", *TICK_COLUMNS)
+
+
+# --- the loaded table, with default orders --------------------------------
+
+
+@query
+def table_hourly(spark, sf_dir):
+    return _hourly(spark, sf_dir).select("date", "hour", *TICK_COLUMNS)
+
+
+@query
+def table_bars_1h(spark, sf_dir):
+    return bar_ops.bars(_hourly(spark, sf_dir), "1h")
+
+
+@query
+def table_bars_auto(spark, sf_dir):
+    return bar_ops.bars_for(_hourly(spark, sf_dir), SYMBOL, START, END)
+
+
+@query
+def table_merged_bars(spark, sf_dir):
+    return bar_ops.merged_bars(_hourly(spark, sf_dir), "1h")
+
+
+@query
+def table_page(spark, sf_dir):
+    return pages.ticks_page(_hourly(spark, sf_dir), SYMBOL, START, END, limit=10, offset=5)
+
+
+@query
+def table_range(spark, sf_dir):
+    return catalog.data_range(_hourly(spark, sf_dir), SYMBOL)
+
+
+@query
+def table_count_by_date(spark, sf_dir):
+    return catalog.count_by_date(_hourly(spark, sf_dir))
+
+
+@query
+def table_trades(spark, sf_dir):
+    return filters.trades(_hourly(spark, sf_dir)).select(*TICK_COLUMNS)
+
+
+@query
+def filter_one_hour(spark, sf_dir):
+    rows = filters.time_range(_hourly(spark, sf_dir), "2024-01-10T06:00:00Z", "2024-01-10T07:00:00Z")
+    return rows.select("date", "hour", *TICK_COLUMNS)
+
+
+@query
+def sql_count_between(spark, sf_dir):
+    text_ = (
+        "SELECT COUNT(*) AS cnt FROM df WHERE symbol = :symbol "
+        "AND ts_event BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-16 00:00:00'"
+    )
+    return adhoc.sql(_hourly(spark, sf_dir), text_, args={"symbol": SYMBOL})
+
+
+@query
+def sql_latest(spark, sf_dir):
+    text_ = (
+        "SELECT symbol, action, price, ts_event, ts_recv FROM df "
+        "WHERE ts_event > (SELECT MAX(ts_event) FROM df) - INTERVAL 1 HOUR"
+    )
+    return adhoc.sql(_hourly(spark, sf_dir), text_)
+
+
+@query
+def pending_in_table(spark, sf_dir):
+    return load.pending_files(samples.candidate_files(spark, sf_dir), _hourly(spark, sf_dir))
+
+
 # --- export ---------------------------------------------------------------
 
 
@@ -405,12 +509,19 @@ def export_roundtrip_symbol(spark, sf_dir):
 
 @query
 def export_manifest(spark, sf_dir):
-    return export.export_manifest(_ticks(spark, sf_dir))
+    return export.export_manifest(spark, _exports(spark, sf_dir))
 
 
 @query
 def export_totals(spark, sf_dir):
-    return export.export_totals(export.export_manifest(_ticks(spark, sf_dir)))
+    return export.export_totals(export.export_manifest(spark, _exports(spark, sf_dir)))
+
+
+@query
+def export_one_slot(spark, sf_dir):
+    slots = tick_source.scan_exports(spark, _exports(spark, sf_dir))
+    rows = filters.time_range(slots, "2024-01-10T06:15:00Z", "2024-01-10T06:30:00Z")
+    return rows.select("date", "slot", *TICK_COLUMNS)
 
 
 @query

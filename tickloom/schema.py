@@ -26,6 +26,11 @@ TICK = T.StructType(
 )
 TICK_COLUMNS = TICK.fieldNames()
 
+# Both times as timestamps, cut to microseconds, stored beside the exact ones so
+# that conditions on them reach the statistics of the files.
+TIMES = ("ts_event", "ts_recv")
+TIME_FIELDS = tuple(T.StructField(name, T.TimestampType()) for name in TIMES)
+
 # Decoded raw records of every type; prices are unscaled, codes are numeric.
 RAW = T.StructType(
     [

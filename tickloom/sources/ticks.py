@@ -3,28 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import clock
 from ..functions.clock import as_date
 from ..operators.filters import for_symbol
-from ..schema import EXPORT_PARTITIONS, TABLE_PARTITIONS, TICK, TICK_COLUMNS
+from ..schema import EXPORT_PARTITIONS, TABLE_PARTITIONS, TICK, TICK_COLUMNS, TIME_FIELDS, TIMES
+from . import folders
 
 Day = str | dt.date
 
-# Fixed value: characters Spark escapes in the folder name of a partition value.
-_ESCAPED = r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]"""
-
-# Up to this many selected dates are listed one folder each; beyond, the root is
-# listed once and partition filters select.
-LISTED_DATES = 400
-
 
 def read_ticks(
     spark: SparkSession,
@@ -35,27 +28,44 @@ def read_ticks(
 ) -> DataFrame:
     """Every ``.parquet`` file under a root as one frame of ticks.
 
-    The schema is given, not inferred, so no footer is read for it and partition
-    values keep their types.  With ``dates`` only their folders are listed:
-    years of 15-minute folders would cost more to list than a day costs to read.
-    Dates without a folder are skipped.  ``below`` leads to folders above them.
+    The schema is given, not inferred, so partition values keep their types; one
+    footer is read to see that the tick columns are there.  With ``dates`` only
+    their folders are listed: years of 15-minute folders would cost more to list
+    than a day costs to read.  Dates without a folder are skipped, a missing
+    root is an error.  ``below`` leads to folders above the dates.  Tables in
+    daily folders have no ``hour``.  ``ts_event`` and ``ts_recv`` are the times
+    as timestamps, cut to microseconds.
     """
-    schema = T.StructType([*TICK.fields, *partitions.fields])
+    names = folders.require(spark, root)
+    path = root.rstrip("/")
+    if below:
+        path = f"{path}/{below}"
+        names = folders.children(spark, path)
+    fields = [f for f in partitions.fields if f.name != "hour" or _hourly(spark, path, names or [])]
+    if dates is None:
+        paths = [] if names is None else [path]
+    else:
+        wanted = {f"date={day.isoformat()}" for day in dates}
+        paths = [f"{path}/{name}" for name in sorted(wanted.intersection(names or ()))]
+    stored = folders.columns_of(spark, paths[0]) if paths else None
+    above = {part.partition("=")[0] for part in below.split("/")}  # partition columns, in no file
+    missing = [name for name in TICK_COLUMNS if stored is not None and name not in stored and name not in above]
+    if missing:
+        raise ValueError(f"files under {root} lack the columns {', '.join(missing)}")
+    timed = stored is not None and all(name in stored for name in TIMES)
+    schema = T.StructType([*TICK.fields, *(TIME_FIELDS if timed else ()), *fields])
     reader = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").option("basePath", root)
-    path = "/".join([root.rstrip("/"), *filter(None, [below])])
-    if dates is None or len(dates) > LISTED_DATES:
-        return _or_empty(spark, schema, lambda: reader.parquet(path)) if below else reader.parquet(path)
-    days = ",".join(day.isoformat() for day in dates)
-    return _or_empty(spark, schema, lambda: reader.parquet(f"{path}/date={{{days}}}"))
+    rows = reader.parquet(*paths) if paths else spark.createDataFrame([], schema)
+    if timed:
+        return rows
+    derived = [clock.timestamp_of(F.col(f"{name}_ns")).alias(name) for name in TIMES]
+    return rows.select(*TICK_COLUMNS, *derived, *(f.name for f in fields))
 
 
-def _or_empty(spark: SparkSession, schema: T.StructType, read: Callable[[], DataFrame]) -> DataFrame:
-    try:
-        return read()
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def _hourly(spark: SparkSession, path: str, names: list[str]) -> bool:
+    """Whether the dates of a table are cut into hours; of an empty one, yes."""
+    days = [name for name in names if name.startswith("date=")]
+    return not days or any(name.startswith("hour=") for name in folders.children(spark, f"{path}/{days[0]}") or ())
 
 
 def selected_dates(
@@ -106,15 +116,16 @@ def scan_exports(
 
     With dates, a symbol and a ``symbol_root`` of per-symbol exports, each date
     is read from the symbol's own export if that has it, else from the general
-    one.  Which dates it has is a list of partition values, one per calendar day
-    at most; those dates are left out of the general scan before it starts.
+    one.  Which dates it has is seen from its folders; those dates are left out
+    of the general scan before it starts.
     """
     dates = selected_dates(date, start, end)
     if symbol is None or symbol_root is None or dates is None:
         rows = _of_dates(read_ticks(spark, root, EXPORT_PARTITIONS, dates), dates)
         return rows if symbol is None else for_symbol(rows, symbol)
     own = _of_dates(read_symbol_exports(spark, symbol_root, symbol, dates), dates)
-    present = {row["date"] for row in own.select("date").distinct().collect()}
+    names = folders.children(spark, f"{symbol_root.rstrip('/')}/symbol={folders.folder_name(symbol)}") or ()
+    present = {day for day in dates if f"date={day.isoformat()}" in names}
     absent = [day for day in dates if day not in present]
     general = for_symbol(_of_dates(read_ticks(spark, root, EXPORT_PARTITIONS, absent), absent), symbol)
     if present:
@@ -126,15 +137,10 @@ def read_symbol_exports(
     spark: SparkSession, root: str, symbol: str, dates: list[dt.date] | None = None
 ) -> DataFrame:
     """Exports of one symbol; the symbol is their first partition column."""
-    rows = read_ticks(spark, root, EXPORT_PARTITIONS, dates, below=f"symbol={_folder_name(symbol)}")
+    rows = read_ticks(spark, root, EXPORT_PARTITIONS, dates, below=f"symbol={folders.folder_name(symbol)}")
     return for_symbol(rows, symbol)
 
 
-def _folder_name(value: str) -> str:
-    """A partition value as Spark spells it in a folder name."""
-    return re.sub(_ESCAPED, lambda char: f"%{ord(char[0]):02X}", value)
-
-
 def union_ticks(frames: Iterable[DataFrame]) -> DataFrame:
     """Rows of many frames with the tick columns, duplicates kept."""
     return reduce(DataFrame.unionByName, (frame.select(*TICK_COLUMNS) for frame in frames))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.lookup import fits
+from ..operators.lookup import fits_map
 from ..plans.load import append_ticks, as_ticks, mapped
+from ..sources import folders
 from ..sources.raw import RAW_FILES, raw_columns, with_source_file
 
 
@@ -29,13 +32,15 @@ def ingest_stream(
     """Load new raw files of a folder into the tick table, then stop.
 
     The checkpoint remembers the files.  Each micro-batch is one load of the
-    table, named by stream and batch number: a batch repeated after a failure
+    table, named by stream, checkpoint and batch number: a batch repeated after a failure
     replaces its own rows, which makes the load exactly-once.  Writing through
     a batch job also keeps the rebalance of :func:`append_ticks`.  ``max_files``
     or ``max_bytes`` bounds a batch; ``time_ordered`` is for files in feed order.
     A file that cannot be read stops the load unless ``ignore_corrupt`` skips it.
     """
-    small = fits(symbol_map)
+    small = fits_map(symbol_map)
+    # streams with another checkpoint number their batches anew: they must not share names
+    where = hashlib.sha256(folders.qualified(spark, checkpoint).encode()).hexdigest()[:12]
 
     reader = spark.readStream.schema(raw_columns()).option("ignoreCorruptFiles", str(ignore_corrupt).lower())
     if max_files is not None:
@@ -46,7 +51,7 @@ def ingest_stream(
 
     def write(batch: DataFrame, number: int) -> None:
         kept = mapped(batch, symbol_map, allowlist, small=small).where(F.col("keep"))
-        load = f"{name}-{number:09d}"
+        load = f"{name}-{where}-{number:09d}"
         append_ticks(as_ticks(kept), root, load, hourly, max_records_per_file, time_ordered and small)
 
     return (
