@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 
 from .common import column, map_texts, table, texts
 
+# Texts whose distinct words share a trie.
+TEXTS = 1024
+
 # Characters at which the tokenizer's normalizer splits (Unicode White_Space).
 BLANK = "\t-\r \x85\xa0  -     　"
 # White space of str.split() alone.
@@ -35,7 +38,7 @@ ASCII_RULE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 class TrieBpe:
     """Encoder and decoder of one tokenizer file; ``most`` bounds what it remembers."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -182,8 +185,8 @@ class TrieBpe:
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         out = []
-        for start in range(0, len(batch), 4096):
-            parted = [self.cut.split(t) if self.special and any(s in t for s in self.special) else [t] for t in batch[start : start + 4096]]
+        for start in range(0, len(batch), TEXTS):
+            parted = [self.cut.split(t) if self.special and any(s in t for s in self.special) else [t] for t in batch[start : start + TEXTS]]
             pieces = [[self.chunks(p) if k % 2 == 0 else p for k, p in enumerate(parts)] for parts in parted]
             seen = {c for parts in pieces for p in parts if isinstance(p, list) for c in p}
             if len(self.known) > self.most:
@@ -230,7 +233,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         return judge
 
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]
-    return map_texts(texts(docs, id_col, text_col), make, fields)
+    return map_texts(texts(docs, id_col, text_col), make, fields, TEXTS)
 
 
 def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,7 +257,7 @@ def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType()),
     ]
-    return map_texts(texts(docs, id_col, text_col), make, fields)
+    return map_texts(texts(docs, id_col, text_col), make, fields, TEXTS)
 
 
 def encode_rows(
@@ -281,7 +284,7 @@ def encode_rows(
         T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()),
     ]
-    return map_texts(rows, make, fields).select("id.*", "ids", "n_tokens", "ids_sha256")
+    return map_texts(rows, make, fields, TEXTS).select("id.*", "ids", "n_tokens", "ids_sha256")
 
 
 def tokenizer_file(name: str) -> str:

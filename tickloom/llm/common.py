@@ -16,6 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import work_dir
 
+#: Rows of an Arrow batch that are Python objects at a time: whole batches of long texts would fill the workers.
+ROWS = 512
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,7 +67,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_texts(rows: DataFrame, make: Callable[[], Callable[[list], list]], fields: list[T.StructField]) -> DataFrame:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def map_texts(
+    rows: DataFrame, make: Callable[[], Callable[[list], list]], fields: list[T.StructField], at_once: int = ROWS
+) -> DataFrame:
     """(id, text) rows to (id, *fields): make() gives each task a function from texts to columns of values."""
     ship(rows.sparkSession)
     schema = T.StructType([rows.schema["id"], *fields])
@@ -72,7 +83,7 @@ def map_texts(rows: DataFrame, make: Callable[[], Callable[[list], list]], field
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = make()
-        for batch in batches:
+        for batch in slices(batches, at_once):
             values = judge(batch.column("text").to_pylist())
             columns = [pa.array(v, f.type) for v, f in zip(values, list(arrow)[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(arrow[0].type), *columns], schema=arrow)
@@ -87,7 +98,7 @@ def keep_rows(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = make()
-        for batch in batches:
+        for batch in slices(batches):
             said = judge([x or "" for x in batch.column(text_col).to_pylist()])
             yield batch.filter(pa.array(said, pa.bool_()))
 

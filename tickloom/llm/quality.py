@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, keep_rows, map_texts, ship, table, texts
+from .common import column, keep_rows, map_texts, ship, slices, table, texts
 
 # Fixed values of the rules.
 SYMBOLS = "#*$%&|<>"
@@ -95,7 +95,7 @@ def log_ratios(rows: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text, good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist()):
                 grams = ngrams(text, buckets)
                 np.add.at(raw, grams, 1)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, map_texts, saved, ship, table, texts
+from .common import column, map_texts, saved, ship, slices, table, texts
 
 BITS = 64
 
@@ -258,7 +258,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([*docs.schema.fields, *mark])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = pa.array([signed(fingerprint(t or "", words)) for t in batch.column(text_col).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, "__fp"])
 
