@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterable
 
 import numpy as np
@@ -30,15 +31,19 @@ TEXTS = 1024
 BLANK = "\t-\r \x85\xa0  -     　"
 # White space of str.split() alone.
 ODD = re.compile("[\x1c-\x1f]")
-# The splitting rule of the file for lower-case printable ASCII, and what it is there.
+# The splitting rule of the file, and what it is for chunks of printable ASCII and
+# Latin letters, which need no normalizing but lower case.
 CLIP_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_RULE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u017f"
+PLAIN_RULE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s0-9{LETTERS}]+")
+SHORT = (2, 1)  # lengths of tokens to look for at the very start of a word
 
 
 class TrieBpe:
     """Encoder and decoder of one tokenizer file; ``most`` bounds what it remembers."""
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -56,15 +61,16 @@ class TrieBpe:
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.plain = bool(steps) and steps[0].get("pattern", {}).get("Regex") == CLIP_RULE
         bodies = [t.removesuffix(self.end) for t in self.ids]
-        self.longest = max(map(len, bodies))
         # lengths that tokens with a given ending have, longest first
         sizes: dict[str, set[int]] = {}
         for body in bodies:
             sizes.setdefault(body[-3:], set()).add(len(body))
-        self.sizes = {ending: sorted(s, reverse=True) for ending, s in sizes.items() if len(ending) == 3}
+        self.sizes = {end: tuple(sorted(s.union(SHORT), reverse=True)) for end, s in sizes.items() if len(end) == 3}
+        split = self.library.pre_tokenizer.pre_tokenize_str
+        # letters beyond ASCII as the symbols of their bytes
+        self.symbol_of = {k: split(chr(k))[0][0] for k in range(0xDF, 0x180) if self.plain and chr(k).isalpha()}
         self.most = most
         self.known: dict[str, bytes] = {}  # chunk between blanks -> its ids, 4 bytes each
-        self.words: dict[str, bytes] = {}  # word -> its ids
         self.fits: dict[tuple[str, str], bool] = {}  # may the second token stand after the first
         self.parts = {a + b: (a, b) for a, b in reversed(pairs)}
         self.wholes: dict[str, bool] = {}
@@ -114,7 +120,7 @@ class TrieBpe:
         """
         known = self.fits.get((before, token))
         if known is None:
-            if len(self.fits) >= 4 * self.most:
+            if len(self.fits) >= self.most:
                 self.fits.clear()
             known = self.whole(token) and not any(
                 rank < left_until and rank <= right_until
@@ -125,15 +131,6 @@ class TrieBpe:
             self.fits[before, token] = known
         return known
 
-    def last_token(self, word: str, end: int, states: list[str], tail: str) -> str:
-        """Last token of the encoding of word[:end]; states[i] is that of its first i symbols."""
-        for size in (*self.sizes.get(word[max(0, end - 3) : end], ()), 2, 1):
-            if size <= end:
-                token = word[end - size : end] + tail
-                if token in self.ids and self.follows(states[end - size], token):
-                    return token
-        raise ValueError(f"no token ends the symbols {word[:end]!r}")
-
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each distinct word, a string of byte-level symbols.
 
@@ -141,20 +138,30 @@ class TrieBpe:
         and a word leaves the path of the one before it where they differ.
         """
         out: dict[str, list[int]] = {}
-        states = [""]  # last token of each prefix on the path from the root
+        ids, sizes, fits, follows = self.ids, self.sizes, self.fits, self.follows
+        states = [""]  # last token of the encoding of each prefix on the path from the root
         before = ""
         for word in sorted(words):
-            shared, most = 0, min(len(states) - 1, len(word) - 1)
+            shared, length = 0, len(word)
+            most = min(len(states), length) - 1
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del states[shared + 1 :]
-            for end in range(shared + 1, len(word)):
-                states.append(self.last_token(word, end, states, ""))
-            token = self.last_token(word, len(word), states, self.end)
-            found, at = [self.ids[token]], len(word) - len(token.removesuffix(self.end))
+            for end in range(shared + 1, length + 1):
+                tail = self.end if end == length else ""
+                for size in sizes.get(word[end - 3 : end], SHORT) if end > 2 else SHORT:
+                    if size <= end and (token := word[end - size : end] + tail) in ids:
+                        fit = fits.get((states[end - size], token))
+                        if fit or fit is None and follows(states[end - size], token):
+                            states.append(token)
+                            break
+                else:
+                    raise ValueError(f"no token ends the symbols {word[:end]!r}")
+            token = states.pop()  # with the mark of a word's end: no prefix of another word
+            found, at = [ids[token]], length - len(token.removesuffix(self.end))
             while at > 0:
                 token = states[at]
-                found.append(self.ids[token])
+                found.append(ids[token])
                 at -= len(token)
             out[word] = found[::-1]
             before = word
@@ -162,20 +169,19 @@ class TrieBpe:
 
     def split(self, chunk: str) -> list[str]:
         """The words of a chunk as the tokenizer splits it, in byte-level symbols."""
-        if self.plain and chunk.isascii() and chunk.isprintable():
-            return ASCII_RULE.findall(chunk.lower())
+        if self.plain and PLAIN.fullmatch(chunk):
+            words = PLAIN_RULE.findall(chunk.lower())
+            return words if chunk.isascii() else [word.translate(self.symbol_of) for word in words]
         clean = self.library.normalizer.normalize_str(chunk) if self.library.normalizer else chunk
         return [word for word, _ in self.library.pre_tokenizer.pre_tokenize_str(clean)]
 
     def learn(self, chunks: set[str]) -> None:
-        """Remember the ids of chunks not seen before; their distinct new words share one trie."""
+        """Remember the ids of chunks not seen before; their distinct words share one trie."""
         split = {chunk: self.split(chunk) for chunk in chunks}
-        if len(self.words) > self.most:
-            self.words.clear()
-        new = {w for words in split.values() for w in words} - self.words.keys()
-        self.words.update((w, np.array(ids, "<u4").tobytes()) for w, ids in self.encode_words(new).items())
-        for chunk, words in split.items():
-            self.known[chunk] = b"".join([self.words[w] for w in words])
+        words = self.encode_words({w for words in split.values() for w in words})
+        words = {w: struct.pack(f"<{len(ids)}I", *ids) for w, ids in words.items()}
+        for chunk, parts in split.items():
+            self.known[chunk] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
 
     def chunks(self, text: str) -> list[str]:
         if ODD.search(text):
@@ -188,7 +194,9 @@ class TrieBpe:
         for start in range(0, len(batch), TEXTS):
             parted = [self.cut.split(t) if self.special and any(s in t for s in self.special) else [t] for t in batch[start : start + TEXTS]]
             pieces = [[self.chunks(p) if k % 2 == 0 else p for k, p in enumerate(parts)] for parts in parted]
-            seen = {c for parts in pieces for p in parts if isinstance(p, list) for c in p}
+            seen: set[str] = set()
+            for parts in pieces:
+                seen.update(*(p for p in parts if isinstance(p, list)))
             if len(self.known) > self.most:
                 self.known.clear()
             self.learn(seen - self.known.keys())
