@@ -28,7 +28,7 @@ from .common import column, map_texts, table, texts
 TEXTS = 1024
 
 # Characters at which the tokenizer's normalizer splits (Unicode White_Space).
-BLANK = "\t-\r \x85\xa0  -     　"
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # White space of str.split() alone.
 ODD = re.compile("[\x1c-\x1f]")
 # The splitting rule of the file, and what it is for chunks of printable ASCII and

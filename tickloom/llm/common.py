@@ -91,15 +91,20 @@ def map_texts(
     return rows.select("id", "text").mapInArrow(run, schema)
 
 
+def numbered_columns(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1, ...: whatever they are called, Python functions can be given all of them."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+
 def keep_rows(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """Rows of docs, with all their columns, for whose text the function of make() says True."""
-
     ship(docs.sparkSession)
+    at, rows = docs.columns.index(text_col), numbered_columns(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = make()
         for batch in slices(batches):
-            said = judge([x or "" for x in batch.column(text_col).to_pylist()])
+            said = judge([x or "" for x in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(said, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, map_texts, saved, ship, slices, table, texts
+from .common import map_texts, numbered_columns, saved, ship, slices, table, texts
 
 BITS = 64
 
@@ -254,19 +254,20 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         joined.filter("component_id IS NULL").select("component_id", "fp").distinct()
     )
     ship(docs.sparkSession)
-    mark = [T.StructField("__fp", T.LongType())]
-    schema = T.StructType([*docs.schema.fields, *mark])
+    rows = numbered_columns(docs)
+    at, own = docs.columns.index(text_col), f"c{docs.columns.index(id_col)}"
+    schema = T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps = pa.array([signed(fingerprint(t or "", words)) for t in batch.column(text_col).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, "__fp"])
+            fps = pa.array([signed(fingerprint(t or "", words)) for t in batch.column(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, "fp"])
 
-    marked = docs.mapInArrow(run, schema)
-    one = chosen.select(F.col("component_id").alias("__id"), F.col("fp").alias("__first"))
-    same = column(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__first"))
+    marked = rows.mapInArrow(run, schema)
+    one = chosen.select("component_id", F.col("fp").alias("first"))
+    same = F.col(own).eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("first"))
     kept = marked.join(one, same, "left_semi")
-    return kept.dropDuplicates([id_col, "__fp"]).drop("__fp")
+    return kept.dropDuplicates([own, "fp"]).drop("fp").toDF(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
