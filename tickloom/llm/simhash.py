@@ -247,12 +247,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component has an id, one row of each of its fingerprints stays.
     """
     prints = saved(fingerprints(texts(docs, id_col, text_col), words), "simhash-prints")
-    joined = prints.join(components(prints, radius, blocks), "fp", "left")
-    chosen = joined.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("fp"))
+    found = components(prints, radius, blocks)
+    own_ids = prints.join(found, "fp").filter(F.col("id") == F.col("component_id"))
+    chosen = own_ids.groupBy("component_id").agg(F.min("fp").alias("fp"))
     # components without an id share the NULL: each of their fingerprints decides alone
-    chosen = chosen.filter("component_id IS NOT NULL").union(
-        joined.filter("component_id IS NULL").select("component_id", "fp").distinct()
-    )
+    chosen = chosen.union(found.filter("component_id IS NULL").select("component_id", "fp"))
     ship(docs.sparkSession)
     rows = numbered_columns(docs)
     at, own = docs.columns.index(text_col), f"c{docs.columns.index(id_col)}"
