@@ -152,6 +152,12 @@ def test_bk_tree_links_what_brute_force_links():
     assert len(links) == len(values) - len(set(roots))
 
 
+def test_one_id_in_two_components(spark):
+    rows = [(1, "a b c d e f"), (1, "quite another text with other words"), (2, "A B c d  e f"), (1, "a b c d e f")]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted(rows[:2])
+
+
 def test_near_duplicate_cases(odd, no_rows):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()

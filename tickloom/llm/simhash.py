@@ -216,14 +216,15 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def components(prints: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
-    """(fp, component_id) of (id, fp) rows: the smallest id among all that are linked to fp, in any number of steps."""
+    """(fp, root, component_id) of (id, fp) rows: root, a fingerprint, names all that is linked in any number of
+    steps; component_id is the smallest id there."""
     first = saved(prints.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
     roots = stars(links(first, radius, blocks))
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # only members of components with links need a look at others
     rooted = saved(rooted, "simhash-roots")
     best = saved(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-best")
-    return saved(rooted.join(best, "root").select("fp", "component_id"), "simhash-components")
+    return saved(rooted.join(best, "root").select("fp", "root", "component_id"), "simhash-components")
 
 
 def near_duplicates(
@@ -249,7 +250,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = saved(fingerprints(texts(docs, id_col, text_col), words), "simhash-prints")
     found = components(prints, radius, blocks)
     own_ids = prints.join(found, "fp").filter(F.col("id") == F.col("component_id"))
-    chosen = own_ids.groupBy("component_id").agg(F.min("fp").alias("fp"))
+    # by root: an id that rows of different texts share can be the smallest of several components
+    chosen = own_ids.groupBy("root", "component_id").agg(F.min("fp").alias("fp")).drop("root")
     # components without an id share the NULL: each of their fingerprints decides alone
     chosen = chosen.union(found.filter("component_id IS NULL").select("component_id", "fp"))
     ship(docs.sparkSession)
