@@ -11,7 +11,7 @@ from .decontam import op7_decontamination
 from .lengths import op4_lengths
 from .licenses import OP10_SQL, op10_licenses
 from .quality import op5_quality
-from .secrets import op1_secrets
+from .secrets import OP1_SQL, op1_secrets
 from .shards import op3_shards
 from .simhash import op6_simhash
 from .toxicity import op8_toxicity
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLES: dict[str, str] = {"op2_urls": OP2_SQL, "op10_licenses": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_secrets": OP1_SQL, "op2_urls": OP2_SQL, "op10_licenses": OP10_SQL}

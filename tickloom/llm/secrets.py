@@ -176,3 +176,53 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
         F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"),
     ).drop("copy")
+
+
+def _op1_sql() -> str:
+    """The same span by span: starts are sums of the lengths before them, owners are counted by value."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    # a run of 24 and more characters that none precedes is a whole run
+    owned = (OWNED[0], "[A-Za-z0-9+/_-]+", *OWNED[2:])
+    kinds = ", ".join(
+        f"({quoted(kind)}, {k}, {quoted(pattern)}, {group}, {least})" for k, (kind, pattern, group, least) in enumerate((*BASE, owned))
+    )
+    return rf"""
+WITH kinds(kind, rank, pattern, grp, least) AS (VALUES {kinds}
+), parts AS (
+  SELECT doc_id, source, kind, rank, pattern, grp, least, regexp_extract_all(text, pattern) AS ms, string_split_regex(text, pattern) AS gaps
+  FROM documents, kinds WHERE text IS NOT NULL AND regexp_matches(text, pattern)
+), numbered AS (
+  SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM parts
+  WHERE rank < {len(BASE)} OR len(list_filter(ms, lambda m: length(m) >= least)) > 0
+), placed AS (
+  SELECT doc_id, source, kind, rank, least,
+         list_sum(list_transform(gaps[1 : i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda m: length(m))), 0) AS begins,
+         ms[i] AS m, CASE WHEN kind = 'assign' THEN regexp_extract(ms[i], pattern, 2) ELSE ms[i] END AS value
+  FROM numbered
+), spans AS (
+  SELECT *, begins + length(m) AS ends FROM placed WHERE length(value) >= least
+), owners AS (
+  SELECT value, count(DISTINCT source) AS n FROM spans GROUP BY value
+), judged AS (
+  SELECT s.*, n BETWEEN 1 AND {MOST_OWNERS} AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]')
+         AND len(list_distinct(string_split(value, ''))) >= {LEAST_VARIETY}
+         AND NOT regexp_matches(value, {quoted(PLACEHOLDER)}) AS live
+  FROM spans s JOIN owners USING (value)
+), kept AS (
+  SELECT doc_id, kind, rank, begins, ends, live, kind || ':' || begins::BIGINT || ':' || ends::BIGINT AS shown FROM judged j
+  WHERE rank < {len(BASE)} OR live AND NOT EXISTS (
+    FROM judged b WHERE b.doc_id = j.doc_id AND b.rank < {len(BASE)} AND b.begins < j.ends AND j.begins < b.ends)
+), found AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live,
+         string_agg(shown, ',' ORDER BY begins, rank, ends) FILTER (rank < {len(BASE)}) AS base,
+         string_agg(shown, ',' ORDER BY begins, rank, ends) AS spans
+  FROM kept GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM documents d LEFT JOIN found USING (doc_id)
+"""
+
+
+OP1_SQL = _op1_sql()
