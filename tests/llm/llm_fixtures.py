@@ -1,11 +1,8 @@
-import os
-import sys
+"""Tables for the tests of the text operators."""
 
 import pytest
 from pyspark.sql import functions as F
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
 SF = "/root/testdata/sf0.001"
 
 

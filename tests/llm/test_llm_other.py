@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from llm_fixtures import benchmark, documents, labels, no_rows, odd  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from llm_fixtures import benchmark, documents, labels, no_rows, odd  # noqa: F401
 
 from tickloom.llm import decontam, quality, simhash, toxicity
 
