@@ -147,6 +147,57 @@ def test_license_lines(spark, odd, no_rows):
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(no_rows).count() == 0
 
 
+def plain_license_labels(text):
+    """Labels and best score of templates by trying every line and every run of a paragraph's words."""
+    gap = re.compile(licenses.GAP)
+    lines, paragraphs, words = [], [], []
+    for line in [*text.lower().split("\n"), ""]:
+        own = [w for w in gap.split(line) if w]
+        lines.append(own)
+        if not own:
+            paragraphs.append(words)
+        words = words + own if own else []
+    labels, best = set(), 0.0
+    for label, template in licenses.TEMPLATES:
+        need = set(template.split())
+        width = len(template.split()) * 3 // 2
+        runs = [p[k : k + width] for p in paragraphs for k in range(len(p))]
+        most = max(len(need.intersection(block)) for block in lines + runs)
+        if most >= np.ceil(licenses.THRESHOLD * len(need) - 1e-9):
+            labels.add(label)
+            best = max(best, most / len(need))
+    return labels, best
+
+
+def test_wrapped_license_notices(spark):
+    texts = {
+        "bsd": "All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "mpl-2.0": "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy",
+        "gpl,gpl-3.0": " * You should have received a copy of the GNU General Public License\n * along with this program.  If not",
+        "mit": "Permission is hereby granted, free of\ncharge, to any person obtaining\r\na copy of this\nsoftware",
+        "agpl,lgpl": "licensed under the terms of the\nGNU Lesser General\n// Public License",
+        "": "modification\n" + "x " * 20 + "\nredistribution and use in source\nand binary forms",
+        "apache-2.0": "was released\n \t\nLicensed under the Apache\nLicence, version 2.0",
+    }
+    pieces = " ".join(t for _, t in licenses.TEMPLATES[8:]).split() + ["x", "y"]
+    rng = np.random.default_rng(5)
+    mixed = []
+    for k in range(200):
+        words = licenses.TEMPLATES[k % len(licenses.TEMPLATES)][1].split()
+        words = [w for w in words if rng.random() > 0.1]
+        around = [str(w) for w in rng.choice(pieces, 12)]
+        mixed.append("".join(w + str(rng.choice([" ", " ", "\n", "\n// ", "\n\n" if k % 4 == 0 else "\r\n"])) for w in around[:6] + words + around[6:]))
+    every = [*texts.values(), *mixed]
+    found = licenses.scan_licenses(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string"))
+    rows = {r.id: r for r in found.collect()}
+    assert [rows[k].labels for k in range(len(texts))] == list(texts)
+    for k, text in enumerate(every):
+        labels, best = plain_license_labels(text)
+        base = set(filter(None, rows[k].base_labels.split(",")))
+        assert rows[k].labels == ",".join(sorted(labels | base)), text
+        assert rows[k].score == (1.0 if base else best), text
+
+
 # --- tokens ----------------------------------------------------------------
 
 

@@ -1,7 +1,11 @@
-"""License scans: phrases by their words, and lines by a set-similarity join with license templates.
+"""License scans: phrases by their words, and blocks by a set-similarity join with license templates.
 
-A line of a text states a license if it holds at least ``threshold`` of the
-distinct words of one of its templates.  The join finds all such lines:
+A block of a text states a license if it holds at least ``threshold`` of the
+distinct words of one of its templates.  Blocks are lines and, as notices are
+wrapped, all runs of consecutive words of a paragraph that are half as long again
+as the template (in longer runs, words of other sentences would make up a short
+one); lines without words end a paragraph.  The join finds all such blocks,
+called lines below:
 
 * words are ordered by how many texts of the corpus hold them, rarest first;
 * *prefix filter*: a line that holds need = ceil(threshold * n) of a template's
@@ -91,6 +95,52 @@ def starts_of(words: Column, phrase: str) -> Column:
     return F.filter(places, here)
 
 
+def run_width(template: str) -> int:
+    """Words of the runs across line breaks in which a template is looked for."""
+    return len(template.split()) * 3 // 2
+
+
+def wrapped(low: str, fewest: dict[int, int], vocabulary: list[str], prefix: list[str]) -> Column:
+    """(words, width) of every run across line breaks that holds a prefix word and as many template words as its width asks for.
+
+    ``fewest`` has the widths; words are the template words.  A run begins with a template word: a run with others before it holds no
+    more.  Most breaks are settled by one look at all the runs across them.
+    No run holds words of two paragraphs: empty words keep them apart.
+    """
+    widest, least = max(fewest, default=1), min(fewest.values(), default=1)
+    apart = F.array_repeat(F.lit(""), widest)
+    split = F.transform(F.split(low, "\n"), lambda line: F.filter(F.split(line, GAP), lambda w: w != ""))
+    split = F.transform(split, lambda line: F.when(F.size(line) > 0, line).otherwise(apart))
+    none = F.array().cast("array<int>")
+    begin = F.struct(split.alias("split"), F.flatten(split).alias("words"))
+
+    def meets(words, n):
+        return (F.size(words) >= n) & F.arrays_overlap(words, strings(prefix))
+
+    def known(words, start, n):
+        return F.array_intersect(F.slice(words, start + 1, n), strings(vocabulary))
+
+    def step(acc, line):
+        words = F.get(line, F.lit(0)) != ""
+        found = F.when(acc["on"] & words, F.concat(acc["all"], F.array(acc["n"]))).otherwise(acc["all"])
+        return F.struct((acc["n"] + F.size(line)).alias("n"), words.alias("on"), found.alias("all"))
+
+    def runs(text):
+        words = text["words"]
+        # how many words stand before each line that goes on a paragraph
+        breaks = F.aggregate(text["split"], F.struct(F.lit(0).alias("n"), F.lit(False).alias("on"), none.alias("all")), step, lambda acc: acc["all"])
+        first = lambda n: F.greatest(n - (widest - 1), F.lit(0))
+        near = F.filter(breaks, lambda n: meets(known(words, first(n), n - first(n) + widest - 1), least))
+        starts = F.array_distinct(F.flatten(F.transform(near, lambda n: F.sequence(first(n), n - 1))))
+        starts = F.filter(starts, lambda at: F.get(words, at).isin(vocabulary))
+        each = lambda at: F.array(*(F.struct(known(words, at, F.lit(w)).alias("words"), F.lit(w).alias("width")) for w in fewest))
+        need = F.create_map(*(F.lit(x) for pair in fewest.items() for x in pair))
+        return F.filter(F.flatten(F.transform(starts, each)), lambda run: meets(run["words"], need[run["width"]]))
+
+    # an array of one, so that the words are split once
+    return F.flatten(F.transform(F.array(begin), runs))
+
+
 def scan_licenses(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -100,27 +150,29 @@ def scan_licenses(
 ) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
-    labels joins the phrases' labels and those of templates that a line
-    contains; score is the largest containment of a template that reaches the
+    labels joins the phrases' labels and those of templates that a line or a
+    run of words across its breaks contains; score is the largest containment of a template that reaches the
     threshold, 1 where a phrase stands, else 0.  A NULL text counts as empty
     and has no words, places or labels.  Repeated rows and rows without an id
     each keep their row.  Other columns are ignored.
     """
     low = lowered(F.coalesce(column(text_col).cast("string"), F.lit("")))
     rows = docs.select(column(id_col).alias("id"), low.alias("low"))
-    sets = [(label, sorted(set(text.split()))) for label, text in templates]
-    vocabulary = sorted({w for _, s in sets for w in s})
+    sets = [(label, sorted(set(text.split())), run_width(text)) for label, text in templates]
+    vocabulary = sorted({w for _, s, _ in sets for w in s})
     order = word_order(rows, vocabulary)
     rank = {w: k for k, w in enumerate(order)}
     index: dict[str, list] = {}  # prefix word -> templates filed under it
-    for k, (label, words) in enumerate(sets):
+    fewest: dict[int, int] = {}  # width of runs -> words that one of its templates asks for
+    for label, words, width in sets:
         words = sorted(words, key=rank.__getitem__)
         need = ceil(threshold * len(words) - 1e-9)
         for i, word in enumerate(words[: len(words) - need + 1]):
-            index.setdefault(word, []).append((k, label, i, need, words))
+            index.setdefault(word, []).append((label, i, need, width, words))
+        fewest[width] = min(need, fewest.get(width, need))
     prefix = sorted(index)
 
-    # each row by itself: base scan, and the lines of texts that hold a prefix word
+    # each row by itself: base scan, and the lines and runs of texts that hold a prefix word
     rows = rows.select("id", "low", F.split("low", GAP).alias("words"))
     edges = F.when(F.get("words", F.lit(0)) == "", 1).otherwise(0) + F.when(
         (F.size("words") > 1) & (F.element_at("words", -1) == ""), 1
@@ -131,13 +183,16 @@ def scan_licenses(
         F.transform(F.split("low", "\n"), lambda line: F.array_intersect(F.split(line, GAP), strings(vocabulary))),
         lambda ws: F.arrays_overlap(ws, strings(prefix)),
     )
+    lines = F.transform(lines, lambda ws: F.struct(ws.alias("words"), F.lit(0).alias("width")))  # of any width
     rows = rows.select(
         "id",
         F.xxhash64("low").alias("print"),
         F.length("low").alias("size"),
         (F.size("words") - edges).cast("long").alias("n_words"),
         words.alias("base_words"),
-        F.when(F.arrays_overlap("words", strings(prefix)), lines).otherwise(F.array().cast("array<array<string>>")).alias("lines"),
+        F.when(F.arrays_overlap("words", strings(prefix)), F.array_distinct(F.concat(lines, wrapped("low", fewest, vocabulary, prefix))))
+        .otherwise(F.array().cast("array<struct<words:array<string>,width:int>>"))
+        .alias("lines"),
     )
     places = F.array(*(starts_of(F.col("base_words"), phrase) for phrase, _ in PHRASES))
     rows = saved(rows.select("id", "print", "size", "n_words", places.alias("places"), "lines"), "license-lines")
@@ -155,9 +210,10 @@ def scan_licenses(
                                     F.lit(label).alias("label"),
                                     F.lit(i).alias("i"),
                                     F.lit(need).alias("need"),
+                                    F.lit(width).alias("width"),
                                     F.array(*map(F.lit, words)).alias("words"),
                                 )
-                                for _, label, i, need, words in of
+                                for label, i, need, width, words in of
                             )
                         ).alias("templates"),
                     )
@@ -166,12 +222,12 @@ def scan_licenses(
             )
         )
     )
-    ordered = F.filter(F.array(*map(F.lit, order)), lambda w: F.array_contains("line", w))
-    found = rows.withColumn("line", F.explode("lines")).select("id", "print", "size", ordered.alias("line"))
+    ordered = F.filter(F.array(*map(F.lit, order)), lambda w: F.array_contains("line.words", w))
+    found = rows.withColumn("line", F.explode("lines")).select("id", "print", "size", "line.width", ordered.alias("line"))
     found = found.select("*", F.posexplode("line").alias("j", "word")).filter(F.col("word").isin(prefix))
     found = found.join(F.broadcast(filed), "word").withColumn("t", F.explode("templates"))  # a row for each word of the templates
     n_line, n_template, i, j = F.size("line"), F.size("t.words"), F.col("t.i"), F.col("j")
-    found = found.filter(n_line >= F.col("t.need"))
+    found = found.filter(F.col("width").isin(0, F.col("t.width")) & (n_line >= F.col("t.need")))
     found = found.filter(F.least(i, j) + 1 + F.least(n_template - i - 1, n_line - j - 1) >= F.col("t.need"))
     common = F.size(F.array_intersect("line", "t.words"))
     found = found.filter(common >= F.col("t.need"))
