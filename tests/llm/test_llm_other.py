@@ -86,6 +86,17 @@ def test_ownership_tells_examples_from_live_values(spark):
     assert all(clean[k] == t for k, t, _ in rows if k in (3, 4, 5, 6, 7))
 
 
+def test_unknown_owners_do_not_make_an_example(spark):
+    rows = [(1, f"key {KEY}", None), (2, f"again {KEY}", None), (3, f"token={OTHER}", None), (4, "password: changeme123", None)]
+    rows += [(5, "token=Zq8Wn4Rt6Yp2", None), (6, "secret=Zq8Wn4Rt6Yp2", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.id: [(s.kind, s.live, s.n_owners) for s in r.spans] for r in secrets.scan_secrets(docs).collect()}
+    assert found[1] == found[2] == [("owned", True, 0)] and found[3] == [("assign", True, 0)]
+    assert found[4] == [("assign", False, 0)] and found[5] == found[6] == [("assign", True, 1)]
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert clean == {1: "key [SECRET]", 2: "again [SECRET]", 3: "[SECRET]", 4: rows[3][1], 5: "[SECRET]", 6: "[SECRET]"}
+
+
 def test_secret_cases(odd, no_rows):
     found = {r.id: r for r in secrets.scan_secrets(odd).collect()}
     assert found[2].copies == 2 and found[1].spans == [] and len(found) == 6

@@ -103,11 +103,12 @@ def scan_secrets(
     spans: array of (start, rank, end, kind, live, n_repos, n_owners) by start,
     then kind; start and end count code points, end exclusive.  A NULL text
     counts as empty and has no spans.  A NULL owner or repository counts as
-    none, so that a value that only such rows hold has no owner and is not
-    live.  Rows without an id are scanned like any other.
+    none; an unknown owner does not make a value a copied example, so that one
+    that only such rows hold can be live.  Rows without an id are scanned like
+    any other.
     """
     rows = find_spans(docs, id_col, text_col, owner_col, repo_col)
-    live = F.col("real") & F.col("n_owners").between(1, MOST_OWNERS)
+    live = F.col("real") & (F.col("n_owners") <= MOST_OWNERS)
     span = F.struct("start", "rank", "end", "kind", live.alias("live"), "n_repos", "n_owners")
     found = rows.groupBy("id", "print").agg(
         F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, 1).otherwise(0)).alias("copies"),
