@@ -97,6 +97,15 @@ def test_unknown_owners_do_not_make_an_example(spark):
     assert clean == {1: "key [SECRET]", 2: "again [SECRET]", 3: "[SECRET]", 4: rows[3][1], 5: "[SECRET]", 6: "[SECRET]"}
 
 
+def test_copies_of_a_document_count_once(spark):
+    rows = [(1, f"key {KEY}", "a"), (2, f"key {KEY}", "b"), (3, f"token={OTHER}", "a"), (4, f"token={OTHER}", "b"), (5, f"the token={OTHER}", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.id: [(s.kind, s.live, s.n_repos, s.n_owners) for s in r.spans] for r in secrets.scan_secrets(docs, copies_once=True).collect()}
+    assert found == {1: [("owned", True, 1, 1)], 2: [("owned", True, 1, 1)]} | dict.fromkeys((3, 4, 5), [("assign", False, 2, 2)])
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, copies_once=True).collect()}
+    assert clean == {k: "key [SECRET]" if k < 3 else t for k, t, _ in rows}
+
+
 def test_secret_cases(odd, no_rows):
     found = {r.id: r for r in secrets.scan_secrets(odd).collect()}
     assert found[2].copies == 2 and found[1].spans == [] and len(found) == 6

@@ -64,7 +64,7 @@ def looks_real(value: Column) -> Column:
     return value.rlike("[A-Za-z]") & value.rlike("[0-9]") & (variety >= LEAST_VARIETY) & ~value.rlike(PLACEHOLDER)
 
 
-def find_spans(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
+def find_spans(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str, copies_once: bool = False) -> DataFrame:
     """One row for each candidate, and one for each text without any, all without their texts.
 
     (id, print, pos, start, rank, end, kind, value, real, n_repos, n_owners); print is a hash of the text,
@@ -86,7 +86,10 @@ def find_spans(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
     )
     held = rows.filter("value IS NOT NULL")
     # two steps: a value copied into many rows shrinks before it is counted
-    by_repo = held.select("value", "owner", "repo").distinct()
+    if copies_once:  # whoever holds copies of a text, it counts for one of them
+        by_repo = held.groupBy("value", "print").agg(F.min("owner").alias("owner"), F.min("repo").alias("repo"))
+    else:
+        by_repo = held.select("value", "owner", "repo").distinct()
     owned = by_repo.groupBy("value").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repo").alias("n_repos"))
     owned = saved(owned, "secret-owners")
     # both sides are plain tables here, so that AQE splits a value that many rows share
@@ -96,7 +99,12 @@ def find_spans(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
 
 
 def scan_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id"
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    owner_col: str = "source",
+    repo_col: str = "doc_id",
+    copies_once: bool = False,
 ) -> DataFrame:
     """(id, print, copies, spans) of every different (id, text); print is a hash of the text, copies how often the row occurs.
 
@@ -104,10 +112,12 @@ def scan_secrets(
     then kind; start and end count code points, end exclusive.  A NULL text
     counts as empty and has no spans.  A NULL owner or repository counts as
     none; an unknown owner does not make a value a copied example, so that one
-    that only such rows hold can be live.  Rows without an id are scanned like
-    any other.
+    that only such rows hold can be live.  With copies_once, equal texts count
+    for one owner and one repository, so that a document crawled under two
+    owners does not turn its own credential into a copied example.  Rows
+    without an id are scanned like any other.
     """
-    rows = find_spans(docs, id_col, text_col, owner_col, repo_col)
+    rows = find_spans(docs, id_col, text_col, owner_col, repo_col, copies_once)
     live = F.col("real") & (F.col("n_owners") <= MOST_OWNERS)
     span = F.struct("start", "rank", "end", "kind", live.alias("live"), "n_repos", "n_owners")
     found = rows.groupBy("id", "print").agg(
@@ -138,13 +148,15 @@ def redact(
     owner_col: str = "source",
     repo_col: str = "doc_id",
     mark: str = "[SECRET]",
+    copies_once: bool = False,
 ) -> DataFrame:
     """All rows and columns of docs, live secrets in the text replaced by a mark; copied examples stay.
 
+    copies_once is that of scan_secrets.
     Spans that overlap become one mark.  A text without live secrets stays as
     it is, NULL too.
     """
-    found = scan_secrets(docs, id_col, text_col, owner_col, repo_col)
+    found = scan_secrets(docs, id_col, text_col, owner_col, repo_col, copies_once)
     live = F.filter("spans", lambda s: s["live"])
     # few texts hold live secrets: their spans are a small table, whose size decides how it is joined
     hits = saved(found.select(F.col("id").alias("__id"), F.col("print").alias("__print"), live.alias("__spans")).filter(F.size("__spans") > 0), "secret-live")
