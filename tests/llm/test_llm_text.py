@@ -159,6 +159,19 @@ def test_one_id_in_two_components(spark):
     assert sorted((r.doc_id, r.text) for r in kept) == sorted(rows[:2])
 
 
+def test_near_copies_without_ids(spark):
+    words = [f"w{k}" for k in range(100)]
+    near = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join(["y", *words[1:]])]
+    prints = [simhash.fingerprint(t) for t in near]
+    assert len(set(prints)) == 3 and all((prints[0] ^ p).bit_count() <= 4 for p in prints)
+    other = "quite another text with other words"
+    rows = [(None, t) for t in [*near, near[0], other, other]]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 2 and sum(r.text == other for r in kept) == 1 and all(r.doc_id is None for r in kept)
+    named = simhash.deduplicate(spark.createDataFrame([*rows, (7, near[1])], "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in named) == [("7", near[1]), ("None", other)]
+
+
 def test_near_duplicate_cases(odd, no_rows):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()

@@ -245,15 +245,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of each component, with all columns of docs: that of the smallest id.
 
     Of rows equal in id and fingerprint any one stays.  Where no row of a
-    component has an id, one row of each of its fingerprints stays.
+    component has an id, one row of its smallest fingerprint stays.
     """
     prints = saved(fingerprints(texts(docs, id_col, text_col), words), "simhash-prints")
     found = components(prints, radius, blocks)
     own_ids = prints.join(found, "fp").filter(F.col("id") == F.col("component_id"))
     # by root: an id that rows of different texts share can be the smallest of several components
     chosen = own_ids.groupBy("root", "component_id").agg(F.min("fp").alias("fp")).drop("root")
-    # components without an id share the NULL: each of their fingerprints decides alone
-    chosen = chosen.union(found.filter("component_id IS NULL").select("component_id", "fp"))
+    # components without an id share the NULL, and all their rows are without one
+    unnamed = found.filter("component_id IS NULL").groupBy("root", "component_id").agg(F.min("fp").alias("fp")).drop("root")
+    chosen = chosen.union(unnamed)
     ship(docs.sparkSession)
     rows = numbered_columns(docs)
     at, own = docs.columns.index(text_col), f"c{docs.columns.index(id_col)}"
