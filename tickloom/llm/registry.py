@@ -14,6 +14,7 @@ from .quality import op5_quality
 from .secrets import OP1_SQL, op1_secrets
 from .shards import op3_shards
 from .simhash import op6_simhash
+from .spelling import op11_spelling
 from .toxicity import op8_toxicity
 from .urls import OP2_SQL, op2_urls
 
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
+    "op11_spelling": op11_spelling,
 }
 
 ORACLES: dict[str, str] = {"op1_secrets": OP1_SQL, "op2_urls": OP2_SQL, "op10_licenses": OP10_SQL}
