@@ -10,6 +10,7 @@ from .bpe import op9_bpe
 from .decontam import op7_decontamination
 from .lengths import op4_lengths
 from .licenses import OP10_SQL, op10_licenses
+from .prefixes import op12_prefixes
 from .quality import op5_quality
 from .secrets import OP1_SQL, op1_secrets
 from .shards import op3_shards
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
     "op11_spelling": op11_spelling,
+    "op12_prefixes": op12_prefixes,
 }
 
 ORACLES: dict[str, str] = {"op1_secrets": OP1_SQL, "op2_urls": OP2_SQL, "op10_licenses": OP10_SQL}
