@@ -47,11 +47,15 @@ class Model:
     dictionaries: list[bytes]
 
 
+def encoded(text: str) -> bytes:
+    """What is compressed: the text in lower case, so that capitals match."""
+    return text.lower().encode("utf-8", "replace")
+
+
 def dictionary(passages: list[str]) -> bytes:
     """Passages joined, up to DICTIONARY bytes; which ones, and their order, a hash of each decides."""
     out, size = [], 0
-    for passage in sorted(set(passages), key=lambda p: (xxhash.xxh64_intdigest(p.encode("utf-8", "replace")), p)):
-        data = passage.encode("utf-8", "replace") + b"\n"
+    for data in sorted({encoded(p) + b"\n" for p in passages}, key=lambda d: (xxhash.xxh64_intdigest(d), d)):
         if size + len(data) > DICTIONARY:
             break
         out.append(data)
@@ -69,7 +73,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     rows = labelled.select(column(lang_col).cast("string").alias("lang"), column(text_col).cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & has_letter(F.col("text")))
     hashed = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    found = rows.groupBy("lang").agg(F.count_distinct(hashed).alias("n"))
+    found = rows.groupBy("lang").agg(F.approx_count_distinct(hashed).alias("n"))
     found = found.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not found:
         return Model([], [])
@@ -80,12 +84,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     some = saved(some.groupBy("lang", "hash").agg(F.first("text").alias("text")), "language-sample")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
     some = some.withColumn("place", first).filter(F.col("place") <= ROWS).select("lang", "text")
-    # an even share of each text's passages: PASSAGES of all, whatever their lengths
+    # of each text as many passages at most, so that long ones do not fill the dictionary
     passages: dict[str, list[str]] = {lang: [] for lang, _ in found}
     most = 8 * DICTIONARY // (PASSAGE * ROWS) + 1
     pieces = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0))
     spread = F.expr(f"slice(array_sort(transform(pieces, p -> struct(xxhash64(p) AS h, p AS p))), 1, {most})")
-    for lang, piece in some.select("lang", pieces.alias("pieces")).select("lang", F.explode(spread)["p"]).collect():
+    some = some.select("lang", pieces.alias("pieces")).select("lang", F.explode(spread).alias("piece"))
+    for lang, piece in some.select("lang", "piece.p").collect():
         passages[lang].append(piece)
     return Model([lang for lang, _ in found], [dictionary(passages[lang]) for lang, _ in found])
 
@@ -108,7 +113,7 @@ class Judge:
         """Bytes of the text under each language; equal blocks are compressed once."""
         blocks: dict[bytes, int] = {}
         for at in range(0, len(text), BLOCK):
-            data = text[at : at + BLOCK].encode("utf-8", "replace")
+            data = encoded(text[at : at + BLOCK])
             blocks[data] = blocks.get(data, 0) + 1
         return [sum(n * len(encoder.compress(data)) for data, n in blocks.items()) for encoder in self.encoders]
 
@@ -124,9 +129,6 @@ class Judge:
         return self.languages[best], score, ahead >= max(LEAST_BYTES, MARGIN * sizes[best])
 
 
-_JUDGES: dict[int, Judge] = {}
-
-
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, accepted) of every row.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_bpe
 from .decontam import op7_decontamination
+from .languages import op13_languages
 from .lengths import op4_lengths
 from .licenses import OP10_SQL, op10_licenses
 from .prefixes import op12_prefixes
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
     "op11_spelling": op11_spelling,
     "op12_prefixes": op12_prefixes,
+    "op13_languages": op13_languages,
 }
 
 ORACLES: dict[str, str] = {"op1_secrets": OP1_SQL, "op2_urls": OP2_SQL, "op10_licenses": OP10_SQL}
