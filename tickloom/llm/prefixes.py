@@ -391,27 +391,16 @@ def prefix_trie(convs: DataFrame, turns: DataFrame, local: int = LOCAL) -> DataF
     ends = rows.filter(F.col("depth") == F.col("n")).select("conv_id", "depth", "x1", "x2")
     turnless = convs.filter("n = 0").select("conv_id", nought.alias("depth"), nought.alias("x1"), nought.alias("x2"))
     ends = saved(end_hashes(ends.unionByName(turnless)), "ends")
-    top = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).filter("n_convs > 0")
-    first = nodes.filter("depth = 1").agg(F.count("*").alias("n_children"))
+    smallest, n_convs = convs.agg(F.min("conv_id"), F.count("*")).first()
     # totals of the trees below the root
-    below = totals.filter("depth = 1").agg(
-        F.coalesce(F.sum("n_leaves"), F.lit(1)).alias("n_leaves"), F.coalesce(F.sum("saved_tokens"), F.lit(0)).alias("saved_tokens")
-    )
-    root = top.join(first).join(below).select(
-        "conv_id",
-        nought.alias("depth"),
-        F.lit(None).cast("long").alias("parent_conv_id"),
-        "n_convs",
-        "n_children",
-        "n_leaves",
-        "saved_tokens",
-        nought.alias("x1"),
-        nought.alias("x2"),
-    )
-    at_root = F.broadcast(top.select(F.col("conv_id").alias("of_root")))
-    rest = nodes.join(totals, ["conv_id", "depth"]).join(at_root)
-    rest = rest.withColumn("parent_conv_id", F.coalesce("parent_conv_id", "of_root"))
-    every = rest.select(*root.columns).unionByName(root)
+    trees = totals.filter("depth = 1").agg(F.count("*"), F.sum("n_leaves"), F.sum("saved_tokens")).first()
+    n_children, n_leaves, tokens = trees[0], trees[1] or 1, trees[2] or 0
+    rest = nodes.join(totals, ["conv_id", "depth"])
+    rest = rest.withColumn("parent_conv_id", F.coalesce("parent_conv_id", F.lit(smallest).cast("long")))
+    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "x1", "x2"]
+    root = [(smallest, 0, None, n_convs, n_children, n_leaves, tokens, 0, 0)] if n_convs else []
+    root = convs.sparkSession.createDataFrame(root, ", ".join(f"{name} long" for name in names))
+    every = rest.select(*names).unionByName(root)
     return every.join(ends, ["depth", "x1", "x2"], "left").select(
         "conv_id",
         "depth",
