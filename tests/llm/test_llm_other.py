@@ -273,6 +273,32 @@ def test_limits_from_the_histogram(spark, documents, odd, no_rows):
     assert lengths.limit_table(lengths.length_histogram(lengths.token_counts(no_rows, RANKS))).count() == 0
 
 
+def test_ids_around_long_runs_are_the_librarys():
+    """Around runs that the library survives; one of a million signs of any class does not end the worker."""
+    ids, library = lengths.rank_ids(RANKS), lengths.rank_encoder(RANKS)
+    runs = [" " * 5000, "\n" * 4096, " \t\u3000\x85" * 2000, "\x1c" * 5000, " " * 4095]
+    around = ["", "a", "é ", "'s", "12", "!?", "\u2028"]
+    for run in runs:
+        for a in around:
+            for b in around:
+                text = a + run + b + run + a
+                assert ids(text) == library.encode_ordinary(text)
+    for n in (1_000_000, 5_000_000):
+        for c in " \n\u3000a7-":
+            # whole runs are single pieces of the splitting rule, whose ids the merges give
+            assert ids(c * n) == library._encode_single_piece(c * n)
+    assert ids("x" + " " * 10**6 + "y") == [*ids("x"), *library._encode_single_piece(" " * (10**6 - 1)), *ids(" y")]
+
+
+def test_long_runs_pass_through_spark(spark):
+    rows = [(k, c * 1_000_000 + end) for k, (c, end) in enumerate([(" ", ""), ("\n", "x"), ("\u3000", " "), ("-", "")])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = {r.id: r.n_tokens for r in lengths.token_counts(frame, RANKS).collect()}
+    assert counts[0] == 1_000_000 and all(counts.values())
+    total = shards.shard_blocks(frame, RANKS, 50256).agg(F.sum("n_sequences")).first()[0]
+    assert total == sum(-(-(n + 1) // shards.LENGTH) for n in counts.values())
+
+
 # --- shards ----------------------------------------------------------------
 
 
@@ -298,7 +324,13 @@ def test_shards_hold_every_sequence_once(spark, documents, odd, no_rows, tmp_pat
     part = sorted(shards.read_slots(spark, path, 995, 1010, 32, 1000).collect())
     assert [r.slot for r in part] == list(range(995, 1010))
     assert all(shards.records(r.ids, 32) == [got[r.slot]] for r in part)
+    assert shards.layout(spark, path) == (len(want), size, 1000) and shards.read_slots(spark, path, len(want), 10**9, 32, 1000).count() == 0
+    for other in ((31, 1000), (32, 999)):
+        with pytest.raises(ValueError):
+            shards.read_slots(spark, path, 0, 10, *other)
     assert shards.shard_blocks(no_rows, RANKS, 50256).count() == 0
+    shards.write_shards(shards.shard_blocks(no_rows, RANKS, 50256), path + "-empty")
+    assert shards.read_slots(spark, path + "-empty", 0, 10).collect() == []
     assert shards.shard_blocks(odd, RANKS, 50256).agg(F.sum("n_sequences")).first()[0] > 7
 
 

@@ -13,17 +13,22 @@ that no task orders the whole histogram.
 from __future__ import annotations
 
 import base64
+import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import tokenizer_file
+from .bpe import BLANK, tokenizer_file
 from .common import map_texts, saved, table, texts
 
 #: Lengths in a block of the histogram.
 BLOCK = 4096
 
+#: Runs of white space from this length on are encoded apart: the library's own splitting needs a stack as deep as a run.
+LONG_RUN = re.compile(f"[{BLANK}]{{4096,}}")
+
 _LOADED: dict[str, object] = {}
 
 
@@ -40,11 +45,35 @@ def rank_encoder(path: str):
     return _LOADED[path]
 
 
+def rank_ids(path: str) -> Callable[[str], list[int]]:
+    """The function from a text to its ids under a rank file; the ids are the library's, and no text is too long for it.
+
+    The splitting rule gives a run of white space one piece, without its last
+    character if something follows; that character goes with what follows, or
+    is a piece of its own.  Nothing before the run depends on the run's length.
+    """
+    encoding = rank_encoder(path)
+
+    def ids(text: str) -> list[int]:
+        if len(text) < 4096 or not (run := LONG_RUN.search(text)):
+            return encoding.encode_ordinary(text)
+        out, at = [], 0
+        while run:
+            start, end = run.span()
+            end -= end < len(text)
+            out += encoding.encode_ordinary(text[at:start])
+            out += encoding._encode_single_piece(text[start:end])
+            at, run = end, LONG_RUN.search(text, end + 1)
+        return out + encoding.encode_ordinary(text[at:])
+
+    return ids
+
+
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens) of every row; a NULL text counts as empty and has no tokens."""
 
     def make():
-        encode = rank_encoder(tokenizer).encode_ordinary
+        encode = rank_ids(tokenizer)
         return lambda batch: [[len(encode(t)) for t in batch]]
 
     return map_texts(texts(docs, id_col, text_col), make, [T.StructField("n_tokens", T.LongType())])

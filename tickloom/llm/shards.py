@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bpe import tokenizer_file
 from .common import saved, ship, table, texts
-from .lengths import rank_encoder
+from .lengths import rank_ids
 
 LENGTH = 256  # ids of a sequence
 SHARD = 1 << 16  # sequences of a shard
@@ -88,7 +88,7 @@ def sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int, id_col:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = rank_encoder(tokenizer).encode_ordinary
+        encode = rank_ids(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -180,14 +180,40 @@ def shard_blocks(
     return ranged.mapInArrow(pack, "shard long, first_slot long, n_sequences int, bytes binary")
 
 
+BLOCKS = "first_slot long, n_sequences int, bytes binary, shard long"
+
+
 def write_shards(blocks: DataFrame, path: str) -> None:
-    """Blocks as a folder for each shard; blocks lie in slot order in its file."""
+    """Blocks as a folder for each shard, and what they are in path/_layout (see layout()); blocks lie in slot order in their file."""
+    spark = blocks.sparkSession
     blocks.write.partitionBy("shard").parquet(path)
+    rows = spark.read.schema(BLOCKS).parquet(path)
+    of_block = F.octet_length("bytes") / F.col("n_sequences")
+    found = rows.agg(
+        F.coalesce(F.sum("n_sequences"), F.lit(0)).alias("n"),
+        F.max(of_block).cast("int").alias("stride"),
+        # the first slot of the second shard; NULL if one shard holds all
+        F.min(F.when(F.col("shard") == 1, F.col("first_slot"))).alias("shard_size"),
+    )
+    found.coalesce(1).write.parquet(f"{path}/_layout")
+
+
+def layout(spark: SparkSession, path: str) -> tuple[int, int | None, int | None]:
+    """(sequences, bytes of a record, sequences of a shard) of a written output; None where nothing shows them."""
+    return tuple(spark.read.parquet(f"{path}/_layout").first())
 
 
 def read_slots(spark: SparkSession, path: str, start: int, stop: int, length: int = LENGTH, shard_size: int = SHARD) -> DataFrame:
-    """(slot, ids) of the slots from start to before stop; only their shards and blocks are read."""
-    rows = spark.read.parquet(path).filter(F.col("shard").between(start // shard_size, max(start, stop - 1) // shard_size))
+    """(slot, ids) of the slots from start to before stop; only their shards and blocks are read.
+
+    Slots outside the output are no rows; an empty output has none.  A length or
+    shard size other than that of the output is an error.
+    """
+    _, of_record, of_shard = layout(spark, path)
+    if of_record not in (None, stride(length)) or of_shard not in (None, shard_size):
+        raise ValueError(f"{path} has records of {of_record} bytes and shards of {of_shard} sequences")
+    rows = spark.read.schema(BLOCKS).parquet(path)
+    rows = rows.filter(F.col("shard").between(start // shard_size, max(start, stop - 1) // shard_size))
     rows = rows.filter((F.col("first_slot") < stop) & (F.col("first_slot") + F.col("n_sequences") > start))
     ship(spark)
 
