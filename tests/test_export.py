@@ -36,6 +36,32 @@ def test_export_reads_back_and_repeats(spark, ticks, tmp_path):
     assert tick_source.scan_exports(spark, root, date="2024-01-05").count() == of_day(ticks).count()
 
 
+@pytest.mark.parametrize("symbol", [None, "S00007"])
+def test_a_range_within_slots_leaves_the_rest_of_them(spark, ticks, tmp_path, symbol):
+    """Against plain Python: after any exports every slot holds the newest rows of each instant that an export gave it."""
+    root, at = str(tmp_path / "out"), clock.as_ns
+    rows_of = [dict(ts_event_ns=at("2024-01-05") + k * 60 * 10**9, order_id=k, symbol="S00007") for k in range(180)]
+    minutes = rows.ticks(spark, *rows_of)
+
+    def run(first, last, mark):
+        begin, end = (None if m is None else at("2024-01-05") + m * 60 * 10**9 for m in (first, last))
+        export.export_slots(minutes.withColumn("flags", F.lit(mark)), root, begin, end, symbol)
+        for k in range(first or 0, 180 if last is None else last):
+            want[k] = mark
+
+    def check():
+        scan = tick_source.scan_exports(spark, root) if symbol is None else tick_source.read_symbol_exports(spark, root, symbol)
+        assert {r.order_id: r.flags for r in scan.collect()} == want and scan.count() == len(want)
+
+    want = {}
+    for mark, (first, last) in enumerate([(0, 100), (7, 8), (40, 75), (44, 46), (90, 130), (None, 3), (127, None), (60, 60)]):
+        run(first, last, mark)
+        check()
+    # the slot is touched only if the range has ticks for it
+    export.export_slots(minutes.where("order_id > 1000"), root, at("2024-01-05") + 10**9, at("2024-01-05T01:01:01Z"), symbol)
+    check()
+
+
 def test_export_layout(spark, ticks, tmp_path):
     root = tmp_path / "out"
     export.export_slots(ticks, str(root), "2024-01-05", "2024-01-06")

@@ -89,6 +89,27 @@ def test_repeated_mappings_count_once_and_overlaps_are_an_error(spark):
         lookup.map_symbols(records, clash)
 
 
+def test_maps_of_several_files_are_united(spark):
+    """Intervals that meet, overlap or lie within each other; against every day of every interval."""
+    day = lambda n: JAN + dt.timedelta(days=n)
+    spans = [(1, "AA", 0, 5), (1, "AA", 3, 8), (1, "AA", 8, 9), (1, "AA", 1, 2), (1, "BB", 9, 12), (1, "AA", 12, 15), (1, "BB", 10, 11)]
+    spans += [(2, "CC", 0, 4), (2, "CC", 6, 9), (2, "DD", 4, 6), (3, "EE", 5, 5), (3, "EE", 9, 2)]
+    mapping = rows.symbol_map(spark, *((i, s, day(a), day(b)) for i, s, a, b in spans))
+    united, small = lookup.prepared_map(mapping)
+    days = {(i, s, day(n)) for i, s, a, b in spans for n in range(a, b)}
+    found = [(r.instrument_id, r.symbol, r.start_date + dt.timedelta(days=n)) for r in united.collect() for n in range((r.end_date - r.start_date).days)]
+    assert small and sorted(found) == sorted(days)
+    records = rows.raw(spark, *(dict(order_id=n, instrument_id=i, ts_recv_ns=clock.as_ns(day(n))) for i in (1, 2, 3) for n in range(16)))
+    for max_bytes in (0, 10_000):
+        got = lookup.map_symbols(records, mapping, max_bytes=max_bytes)
+        assert sorted((r.instrument_id, r.symbol, day(r.order_id)) for r in got.collect()) == sorted(days)
+    # what comes along must agree, too
+    told = mapping.withColumn("keep", F.col("start_date") == day(3))
+    with pytest.raises(ValueError, match="instrument 1 overlap"):
+        lookup.prepared_map(told)
+    assert lookup.prepared_map(mapping.limit(0))[1]
+
+
 def test_allowlist_keeps_case_and_absent_list_keeps_all(spark):
     ticks = rows.ticks(spark, dict(symbol="aBc"), dict(symbol="XYZ"))
     allow = spark.createDataFrame([("ABC",)], "symbol string")

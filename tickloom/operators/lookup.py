@@ -37,18 +37,42 @@ def fits(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     return table.agg(_size(table)).first()[0] <= max_bytes
 
 
-def fits_map(symbol_map: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """The same of a symbol map, which must not give an instrument two symbols on one day."""
+def prepared_map(symbol_map: DataFrame, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """The map with disjoint intervals, and whether it takes at most ``max_bytes``.
+
+    Intervals of an instrument that meet or overlap and give the same symbol (and
+    the same of all other columns) become one, as when the maps of several raw
+    files are united.  Intervals that overlap and differ are an error.  One job
+    checks all; a map of disjoint intervals is used as it is.
+    """
     keys = [name for name in ("source_file", "instrument_id") if name in symbol_map.columns]
-    rows = symbol_map.select(*keys, "symbol", "start_date", "end_date").where(F.col("start_date") < F.col("end_date"))
-    until = F.max("end_date").over(
-        Window.partitionBy(*keys).orderBy("start_date", "end_date", "symbol").rowsBetween(Window.unboundedPreceding, -1)
+    said = [name for name in symbol_map.columns if name not in (*keys, "start_date", "end_date")]
+    # one exchange, by the instrument, serves all that follows
+    rows = symbol_map.where(F.col("start_date") < F.col("end_date")).repartition(*keys).distinct()
+    so_far = Window.partitionBy(*keys, *said).orderBy("start_date", "end_date")
+    reached = F.max("end_date").over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reached >= F.col("start_date"), 0).otherwise(1)
+    runs = rows.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(so_far))
+    united = runs.groupBy(*keys, *said, "_run").agg(
+        F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"), F.count("*").alias("_n")
+    )
+    before = Window.partitionBy(*keys).orderBy("start_date", "end_date").rowsBetween(Window.unboundedPreceding, -1)
+    clashes = F.max("end_date").over(before) > F.col("start_date")
+    found = (
+        united.withColumn("_clash", clashes)
+        .agg(
+            F.count_if("_clash").alias("n"),
+            F.min(F.when(F.col("_clash"), F.col("instrument_id"))).alias("at"),
+            F.max("_n").alias("joined"),
+            _size(united.drop("_n", "_run")).alias("bytes"),
+        )
+        .first()
     )
-    clash = rows.distinct().withColumn("_until", until).where(F.col("_until") > F.col("start_date"))
-    found = clash.agg(F.count("*").alias("n"), F.min("instrument_id").alias("at")).first()
     if found.n:
         raise ValueError(f"mappings of instrument {found.at} overlap, {found.n} in all")
-    return fits(symbol_map, max_bytes)
+    if (found.joined or 1) > 1:
+        symbol_map = united.select(*symbol_map.columns)
+    return symbol_map, found.bytes <= max_bytes
 
 
 def lookup(
@@ -85,14 +109,15 @@ def map_symbols(
 
     The date is that of ``at``, the receive time, by which the feed indexes its
     order-book records.  Records without a valid mapping are dropped (``how`` =
-    "left" keeps them with a NULL symbol).  Repeated rows of the map count once;
-    intervals of an instrument that overlap are an error.  A map with a ``source_file`` column holds the mappings of each
-    raw file and applies to the records of that file only.  Other columns of the
-    map come along.  A caller that has checked the map (:func:`fits_map`) may
-    pass what that said as ``small``.
+    "left" keeps them with a NULL symbol).  Repeated rows of the map count once,
+    intervals of one symbol are united, and those of an instrument that overlap
+    otherwise are an error.  A map with a ``source_file`` column holds the mappings
+    of each raw file and applies to the records of that file only.  Other columns
+    of the map come along.  A caller that has a :func:`prepared_map` may pass it
+    with what was said of its size as ``small``.
     """
     if small is None:
-        small = fits_map(symbol_map, max_bytes)
+        symbol_map, small = prepared_map(symbol_map, max_bytes)
     keys = [name for name in ("source_file", "instrument_id") if name in symbol_map.columns]
     table = symbol_map.dropDuplicates([*keys, "start_date", "end_date"]).withColumnsRenamed(
         {"instrument_id": "_instrument", "start_date": "_start", "end_date": "_end", "source_file": "_file"}

@@ -369,6 +369,10 @@ FROM ticks WHERE ts >= TIMESTAMP '2024-01-10 06:15:00' AND ts < TIMESTAMP '2024-
     "sql_latest": f"""WITH {_TICKS} SELECT symbol, action, price, ts AS ts_event, make_timestamp(ts_recv_ns // 1000) AS ts_recv
 FROM ticks WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
     "map_symbols_overlap": ORACLES["map_symbols"],
+    "map_symbols_extended": ORACLES["map_symbols"],
+    "export_partial_slot": f"""WITH {_TICKS} SELECT {_DATE} AS date, {_SLOT} AS slot,
+       {_COLUMNS.replace(" flags,", f" CASE WHEN {_between(f'{DAY}T10:05:00Z', f'{DAY}T13:20:00Z')} THEN 999 ELSE flags END AS flags,")}
+FROM ticks WHERE {_between(DAY, '2024-01-11')}""",
     "load_two_folders": ORACLES["normalize_ticks"],
     "load_again_fewer_hours": f"""WITH {_TICKS} SELECT {_DATE} AS date, CAST(hour(ts) AS INTEGER) AS hour, {_COLUMNS}
 FROM ticks WHERE hour(ts) < 12""",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, text
 from ..operators.filters import of_rtypes
-from ..operators.lookup import BROADCAST_BYTES, fits_map, flag_allowed, map_symbols
+from ..operators.lookup import BROADCAST_BYTES, flag_allowed, map_symbols, prepared_map
 from ..schema import TABLE_PARTITIONS, TICK, TICK_COLUMNS, TIME_FIELDS, TIMES
 from ..sources import folders
 from ..sources.raw import read_raw_files
@@ -42,7 +42,7 @@ def _flagged(
 ) -> DataFrame:
     if small is None:
         # flagging adds no rows to the map, so the plain one is checked
-        small = fits_map(symbol_map, max_bytes)
+        symbol_map, small = prepared_map(symbol_map, max_bytes)
     return map_symbols(records, flag_allowed(symbol_map, allowlist), how=how, small=small)
 
 
@@ -244,7 +244,7 @@ def load_file(
     seen = Observation()
     try:
         if small is None:
-            small = fits_map(symbol_map)
+            symbol_map, small = prepared_map(symbol_map)
         records = mapped(read_raw_files(spark, [path]), symbol_map, allowlist, small=small)
         kept = records.observe(seen, *counts).where(F.col("keep"))
         # a salted mapping loses the order of the file
@@ -276,7 +276,7 @@ def load_files(
     """
     if len({load_name(spark, path) for path in paths}) < len(paths):
         raise ValueError("a file is listed twice")
-    small = fits_map(symbol_map)
+    symbol_map, small = prepared_map(symbol_map)
 
     def one(path: str) -> FileLoad:
         return load_file(spark, path, root, symbol_map, allowlist, hourly, time_ordered, small)

@@ -395,6 +395,31 @@ def map_symbols_overlap(spark, sf_dir):
     return mapped.select("source_file", "rtype", "ts_event_ns", "instrument_id", "order_id", "symbol")
 
 
+@query
+def map_symbols_extended(spark, sf_dir):
+    # another file's map has longer intervals of the same symbols, or goes on where they end
+    symbol_map = samples.symbol_map(spark, sf_dir)
+    longer = symbol_map.withColumn(
+        "start_date", F.when(F.col("symbol").startswith("S"), F.date_sub("start_date", 40)).otherwise(F.col("start_date"))
+    ).withColumn("end_date", F.when(F.col("symbol").startswith("T"), F.date_add("end_date", 40)).otherwise(F.col("end_date")))
+    cut = F.to_date(F.lit("2024-01-05"))
+    halves = symbol_map.withColumn("end_date", cut).union(symbol_map.withColumn("start_date", F.greatest("start_date", cut)))
+    mapped = lookup.map_symbols(samples.raw_records(spark, sf_dir), symbol_map.union(longer).union(halves))
+    return mapped.select("source_file", "rtype", "ts_event_ns", "instrument_id", "order_id", "symbol")
+
+
+@query
+def export_partial_slot(spark, sf_dir):
+    """Two days exported, then part of one again, bounds within slots; the second export is told apart by its flags."""
+
+    def write(ticks: DataFrame, root: str) -> None:
+        export.export_slots(ticks, root, DAY, "2024-01-11")
+        export.export_slots(ticks.withColumn("flags", F.lit(999)), root, f"{DAY}T10:05:00Z", f"{DAY}T13:20:00Z")
+
+    root = _written(spark, sf_dir, "partial-exports", write)
+    return tick_source.scan_exports(spark, root).select("date", "slot", *TICK_COLUMNS)
+
+
 @query
 def load_two_folders(spark, sf_dir):
     """Two raw files of one name, in different folders."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.lookup import fits_map
+from ..operators.lookup import prepared_map
 from ..plans.load import append_ticks, as_ticks, mapped
 from ..sources import folders
 from ..sources.raw import RAW_FILES, raw_columns, with_source_file
@@ -38,7 +38,7 @@ def ingest_stream(
     or ``max_bytes`` bounds a batch; ``time_ordered`` is for files in feed order.
     A file that cannot be read stops the load unless ``ignore_corrupt`` skips it.
     """
-    small = fits_map(symbol_map)
+    symbol_map, small = prepared_map(symbol_map)
     # streams with another checkpoint number their batches anew: they must not share names
     where = hashlib.sha256(folders.qualified(spark, checkpoint).encode()).hexdigest()[:12]
 
