@@ -373,6 +373,12 @@ FROM ticks WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
     "export_partial_slot": f"""WITH {_TICKS} SELECT {_DATE} AS date, {_SLOT} AS slot,
        {_COLUMNS.replace(" flags,", f" CASE WHEN {_between(f'{DAY}T10:05:00Z', f'{DAY}T13:20:00Z')} THEN 999 ELSE flags END AS flags,")}
 FROM ticks WHERE {_between(DAY, '2024-01-11')}""",
+    "facts_data_range": ORACLES["data_range"],
+    "facts_data_range_all": ORACLES["data_range_all"],
+    "facts_count_by_date": ORACLES["count_by_date"],
+    "facts_count_by_symbol": ORACLES["count_by_symbol"],
+    "pending_in_log": f"""WITH {_FILES} SELECT file_name FROM files
+WHERE file_name NOT IN ('feed-20240103.mbo.parquet', 'feed-20240109.mbo.parquet')""",
     "load_two_folders": ORACLES["normalize_ticks"],
     "load_again_fewer_hours": f"""WITH {_TICKS} SELECT {_DATE} AS date, CAST(hour(ts) AS INTEGER) AS hour, {_COLUMNS}
 FROM ticks WHERE hour(ts) < 12""",

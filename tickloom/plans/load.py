@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -15,8 +16,9 @@ from ..functions import clock, text
 from ..operators.filters import of_rtypes
 from ..operators.lookup import BROADCAST_BYTES, flag_allowed, map_symbols, prepared_map
 from ..schema import TABLE_PARTITIONS, TICK, TICK_COLUMNS, TIME_FIELDS, TIMES
-from ..sources import folders
+from ..sources import commits, folders
 from ..sources.raw import read_raw_files
+from . import facts
 
 CONCURRENT_FILES = 2
 
@@ -132,6 +134,21 @@ def pending_loads(files: DataFrame, table: DataFrame) -> DataFrame:
     return named.join(loaded, named["_name"] == loaded["_load"], "left_anti").drop("_name")
 
 
+def pending_in_log(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
+    """Files (with their full ``path``) that no committed load of the table has loaded; no tick is read.
+
+    A file of which nothing was kept is loaded too.  A table that is not there
+    yet has loaded nothing.
+    """
+    names = [
+        (folders.plain_name(name),) for name, kinds in (commits.entries(spark, root) or {}).items() if kinds["version"]
+    ]
+    loaded = spark.createDataFrame(names, "_load string")
+    path = F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, _PATH_DIGITS)
+    named = files.withColumn("_name", F.concat("file_name", F.lit("-"), path))
+    return named.join(loaded, named["_name"] == loaded["_load"], "left_anti").drop("_name")
+
+
 def with_partitions(ticks: DataFrame) -> DataFrame:
     """Tick columns, the times as timestamps, and the table's ``date`` and ``hour``."""
     ns = F.col("ts_event_ns")
@@ -139,6 +156,11 @@ def with_partitions(ticks: DataFrame) -> DataFrame:
     return ticks.select(*TICK_COLUMNS, *times, clock.date_of(ns).alias("date"), clock.hour_of(ns).alias("hour"))
 
 
+# Hours since the epoch, modulo the bits of one of Spark's bitmaps, mark what a load has written.
+_BITS = 32_768
+_NO_PART = "__HIVE_DEFAULT_PARTITION__"
+
+
 def append_ticks(
     ticks: DataFrame,
     root: str,
@@ -147,17 +169,22 @@ def append_ticks(
     max_records_per_file: int = 0,
     time_ordered: bool = False,
     table: str | None = None,
+    with_facts: bool = False,
 ) -> None:
     """Append ticks to the table under ``root`` as the load named ``load``.
 
     Rows go to ``date=/hour=/load=`` folders; unless ``hourly``, to
     ``date=/load=`` folders, which suits tables of few rows a day.  A table keeps
-    to one of the two.  A load that is run again, after a lost driver say,
-    replaces its own folders, also those that it gives no rows any more, and
-    nothing else: an append never doubles rows and leaves none behind.  Rows are
-    sorted by symbol and time inside each file, so the column index finds a
-    symbol's pages.  A ``table`` of the catalog over this root (see
-    :func:`ensure_table`) learns of the new folders.
+    to one of the two.  The load counts from its commit on (see
+    :mod:`..sources.commits`): scans see all of it or nothing, whenever its job
+    dies.  A load that is run again replaces what it gave before, also in folders
+    that it gives no rows any more, and nothing else.  Of two attempts at one
+    load that run at the same time the second to finish is an error, and leaves
+    nothing behind.  Rows are sorted by symbol and time inside each file, so the
+    column index finds a symbol's pages.  A ``table`` of the catalog over this
+    root (see :func:`ensure_table`) learns of the load's own folders.
+    ``with_facts`` reads the written symbols and times once more, to note what
+    the load holds (see :mod:`.facts`).
 
     The rebalance lets AQE cut a hot hour into several tasks and merge thin ones.
     If the rows come in feed order, each task holds a short stretch of time
@@ -168,17 +195,26 @@ def append_ticks(
     spark = ticks.sparkSession
     parts = ["date", "hour"] if hourly else ["date"]
     base = root.rstrip("/")
-    wrong = f"{base}/date=*/load=*" if hourly else f"{base}/date=*/hour=*"
-    if folders.children(spark, base) and folders.matching(spark, wrong):
-        raise ValueError(f"the table under {root} is {'not ' if hourly else ''}cut into hours")
-    rows = with_partitions(ticks)
+    _check_layout(spark, base, hourly)
+    attempt, version = commits.begin(spark, base, load)
+    value = commits.value_of(load, attempt)
+    ns = F.col("ts_event_ns")
+    hour = F.pmod(clock.floor_div(ns, clock.HOUR), F.lit(_BITS)) + 1
+    seen = Observation()
+    rows = with_partitions(ticks).observe(
+        seen,
+        F.count("*").alias("rows"),
+        F.count_if(ns.isNull()).alias("untimed"),
+        F.min(ns).alias("first_ns"),
+        F.max(ns).alias("last_ns"),
+        F.hex(F.bitmap_construct_agg(F.bitmap_bit_position(hour))).alias("hours"),
+    )
     if not hourly:
         rows = rows.drop("hour")
-    rows = rows.withColumn("load", F.lit(load))
+    rows = rows.withColumn("load", F.lit(value))
     if not time_ordered:
         rows = rows.hint("rebalance", *(F.col(name) for name in parts))
-    own = "/".join([base, *(f"{name}=*" for name in parts), f"load={folders.folder_name(load)}"])
-    before = {path: set(folders.children(spark, path) or ()) for path in folders.matching(spark, own)}
+    # the folders are the attempt's own; this mode also keeps what several writers have not put in place yet apart
     (
         rows.sortWithinPartitions(*parts, "load", "symbol", "ts_event_ns", "sequence")
         .write.mode("overwrite")
@@ -188,12 +224,94 @@ def append_ticks(
         .partitionBy(*parts, "load")
         .parquet(root)
     )
-    for path, files in before.items():
-        # a folder that was written again holds new files only
-        if files.intersection(folders.children(spark, path) or ()):
-            folders.delete(spark, path)
+    done = commits.Commit(load, version, attempt, **_written(seen, hourly))
+    if with_facts and done.rows:
+        facts.write(spark, base, done)
+        done = replace(done, facts=True)
+    try:
+        commits.commit(spark, base, done)
+    except RuntimeError:
+        _remove(spark, base, done, hourly)
+        raise
+    earlier = {c.attempt: c for c in commits.versions(spark, base, load)} if version else {}
+    stale = commits.unremoved(spark, base, done)
     if table is not None:
-        spark.catalog.recoverPartitions(table)
+        register(spark, table, [done], [earlier.get(k, commits.Commit(load, -1, k, None)) for k in stale], hourly)
+    for k in stale:
+        _remove(spark, base, earlier.get(k, commits.Commit(load, -1, k, None)), hourly)
+        commits.removed(spark, base, load, k)
+
+
+def _check_layout(spark: SparkSession, base: str, hourly: bool) -> None:
+    """An error if the table has the other layout; a table without a log gets one."""
+    names = folders.children(spark, base) or ()
+    days = [name for name in names if name.startswith("date=")]
+    if not days:
+        return
+    inside = folders.children(spark, f"{base}/{days[0]}") or ()
+    if any(name.startswith("load=" if hourly else "hour=") for name in inside):
+        raise ValueError(f"the table under {base} is {'not ' if hourly else ''}cut into hours")
+    if commits.LOG not in names:
+        there = folders.matching(spark, f"{base}/date=*/{'hour=*/' if hourly else ''}load=*")
+        commits.adopt(spark, base, sorted({folders.plain_name(path.rpartition("/load=")[2]) for path in there}))
+
+
+def _written(seen: Observation, hourly: bool) -> dict:
+    """What a write was observed to hold, and the (date, hour) folders it may have made."""
+    try:
+        found = seen.get
+    except Py4JJavaError:  # nothing was left to write, and the observed plan was dropped with it
+        return {"parts": [], "rows": 0}
+    spans: list[tuple[str | None, int | None]] = []
+    if found["first_ns"] is not None:
+        bits = bytes.fromhex(found["hours"])
+        first, last = found["first_ns"] // clock.HOUR, found["last_ns"] // clock.HOUR
+        for n in range(first, last + 1):
+            place = n % _BITS
+            if bits[place // 8] >> place % 8 & 1:
+                spans.append((clock.date_of_ns(n * clock.HOUR).isoformat(), n % 24 if hourly else None))
+    if found["untimed"]:
+        spans.append((None, None))
+    parts = list(dict.fromkeys(spans))
+    return {"parts": parts, "rows": found["rows"], "first_ns": found["first_ns"], "last_ns": found["last_ns"]}
+
+
+def _folders(spark: SparkSession, base: str, done: commits.Commit, hourly: bool) -> list[str]:
+    """The folders that an attempt wrote; of one whose folders are not known, those that a search of the table finds."""
+    own = f"load={folders.folder_name(done.value)}"
+    if done.parts is None:
+        return folders.matching(spark, f"{base}/date=*/{'hour=*/' if hourly else ''}{own}")
+    return [f"{base}/{_part(date, hour, hourly)}/{own}" for date, hour in done.parts]
+
+
+def _part(date: str | None, hour: int | None, hourly: bool) -> str:
+    day = f"date={date or _NO_PART}"
+    return f"{day}/hour={_NO_PART if hour is None else hour}" if hourly else day
+
+
+def _remove(spark: SparkSession, base: str, done: commits.Commit, hourly: bool) -> None:
+    for path in [*_folders(spark, base, done, hourly), facts.path_of(base, done)]:
+        folders.delete(spark, path)
+
+
+def register(
+    spark: SparkSession, table: str, new: Sequence[commits.Commit], old: Sequence[commits.Commit], hourly: bool
+) -> None:
+    """Add the folders of new versions to a catalog table, and take out those of attempts that no longer count."""
+
+    def text(value: object) -> str:
+        return "null" if value is None else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    for done in old:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (load={text(done.value)})")
+    for done in new:
+        specs = [
+            ", ".join([f"date={text(date)}", *([f"hour={text(hour)}"] if hourly else []), f"load={text(done.value)}"])
+            for date, hour in done.parts or ()
+        ]
+        for at in range(0, len(specs), 100):
+            some = " ".join(f"PARTITION ({spec})" for spec in specs[at : at + 100])
+            spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {some}")
 
 
 def ensure_table(spark: SparkSession, name: str, root: str, hourly: bool = True) -> None:
@@ -208,6 +326,12 @@ def ensure_table(spark: SparkSession, name: str, root: str, hourly: bool = True)
         args={"root": root},
     )
     spark.catalog.recoverPartitions(name)
+    for value in commits.hidden(spark, root.rstrip("/"))[0]:
+        register(spark, name, [], [commits.Commit(re.sub(commits.NUMBERED, "", value), -1, _attempt(value), None)], hourly)
+
+
+def _attempt(value: str) -> int:
+    return int(value.rpartition(commits.AGAIN)[2]) if re.search(commits.NUMBERED, value) else 0
 
 
 @dataclass(frozen=True)
@@ -230,14 +354,14 @@ def load_file(
     time_ordered: bool = False,
     small: bool | None = None,
     table: str | None = None,
+    with_facts: bool = False,
 ) -> FileLoad:
     """Load one raw file (or folder of part files) in one pass.
 
     Kept and skipped rows are counted while the file is written, not by a
-    second read.  A load that fails before its commit leaves no rows behind; one
-    that dies while its folders are put in place is made whole by running it
-    again.  ``time_ordered`` says that the file is in feed order (see
-    :func:`append_ticks`).
+    second read.  A load counts once it is committed; one that dies before is
+    as if it had not been, and is run again.  ``time_ordered`` says that the file
+    is in feed order (see :func:`append_ticks`).
     """
     name = path.rstrip("/").rsplit("/", 1)[-1]
     counts = [F.count_if(F.col("keep")).alias("kept"), F.count_if(~F.col("keep")).alias("skipped")]
@@ -249,7 +373,9 @@ def load_file(
         kept = records.observe(seen, *counts).where(F.col("keep"))
         # a salted mapping loses the order of the file
         load = load_name(spark, path)
-        append_ticks(as_ticks(kept), root, load, hourly, time_ordered=time_ordered and small, table=table)
+        append_ticks(
+            as_ticks(kept), root, load, hourly, time_ordered=time_ordered and small, table=table, with_facts=with_facts
+        )
         try:
             found = seen.get
         except Py4JJavaError:  # nothing was kept, and the observed plan was dropped with it
@@ -269,6 +395,7 @@ def load_files(
     time_ordered: bool = False,
     concurrency: int = CONCURRENT_FILES,
     table: str | None = None,
+    with_facts: bool = False,
 ) -> list[FileLoad]:
     """Load files as separate Spark jobs, a few at a time, and report on each.
 
@@ -279,13 +406,10 @@ def load_files(
     symbol_map, small = prepared_map(symbol_map)
 
     def one(path: str) -> FileLoad:
-        return load_file(spark, path, root, symbol_map, allowlist, hourly, time_ordered, small)
+        return load_file(spark, path, root, symbol_map, allowlist, hourly, time_ordered, small, table, with_facts)
 
     with ThreadPoolExecutor(max_workers=concurrency) as jobs:
-        loads = list(jobs.map(one, paths))
-    if table is not None:
-        spark.catalog.recoverPartitions(table)
-    return loads
+        return list(jobs.map(one, paths))
 
 
 def load_totals(loads: Sequence[FileLoad]) -> dict[str, int]:

@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 from .functions import clock, text
 from .operators import bars as bar_ops
 from .operators import catalog, filters, lookup, pages
-from .plans import adhoc, export, load, outputs
+from .plans import adhoc, export, facts, load, outputs
 from .schema import RAW_ORDER, RAW_RTYPES, TICK_COLUMNS
 from .session import work_dir
+from .sources import folders, samples
 from .sources import raw as raw_source
-from .sources import samples
 from .sources import ticks as tick_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -420,6 +420,58 @@ def export_partial_slot(spark, sf_dir):
     return tick_source.scan_exports(spark, root).select("date", "slot", *TICK_COLUMNS)
 
 
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of a table of two loads, one of which was run again with fewer rows."""
+
+    def write(ticks: DataFrame, root: str) -> None:
+        morning = clock.hour_of(F.col("ts_event_ns")) < 12
+        load.append_ticks(ticks, root, load="feed", hourly=False, with_facts=True)
+        load.append_ticks(ticks.where(morning), root, load="feed", hourly=False, with_facts=True)
+        load.append_ticks(ticks.where(~morning), root, load="late", hourly=False, with_facts=True)
+
+    return facts.table_facts(spark, _written(spark, sf_dir, "facts", write))
+
+
+@query
+def facts_data_range(spark, sf_dir):
+    return facts.data_range(_facts(spark, sf_dir), SYMBOL)
+
+
+@query
+def facts_data_range_all(spark, sf_dir):
+    return facts.data_ranges(_facts(spark, sf_dir))
+
+
+@query
+def facts_count_by_date(spark, sf_dir):
+    return facts.count_by_date(_facts(spark, sf_dir))
+
+
+@query
+def facts_count_by_symbol(spark, sf_dir):
+    return facts.count_by_symbol(_facts(spark, sf_dir))
+
+
+@query
+def pending_in_log(spark, sf_dir):
+    """Candidate files that no load of the table's log has loaded: here the feed's days up to the middle of the month."""
+
+    def write(_, root):
+        raw, symbol_map, _ = _load_inputs(spark, sf_dir)
+        folder = work_dir(spark, "raw")
+        for day in (f"202401{n:02d}" for n in (3, 9)):
+            path = f"{folder}/feed-{day}.mbo.parquet"
+            raw.where(F.col("source_file").contains(day)).drop("source_file").coalesce(1).write.parquet(path)
+            load.load_file(spark, path, root, symbol_map, hourly=False)
+        spark.createDataFrame([(folder,)], "folder string").write.parquet(f"{root}-folder")
+
+    root = _written(spark, sf_dir, "logged", write)
+    folder = spark.read.parquet(f"{root}-folder").first()[0]
+    full = folders.qualified(spark, folder)
+    files = samples.candidate_files(spark, sf_dir).withColumn("path", F.concat(F.lit(f"{full}/"), "file_name"))
+    return load.pending_in_log(spark, files, root).select("file_name")
+
+
 @query
 def load_two_folders(spark, sf_dir):
     """Two raw files of one name, in different folders."""

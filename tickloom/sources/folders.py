@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 # Fixed value: characters Spark escapes in the folder name of a partition value.
@@ -15,6 +18,11 @@ def folder_name(value: str) -> str:
     return re.sub(_ESCAPED, lambda char: f"%{ord(char[0]):02X}", value)
 
 
+def plain_name(name: str) -> str:
+    """The partition value of a folder's name."""
+    return unquote(name)
+
+
 def _located(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
@@ -38,6 +46,44 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
     return [entry.getPath().toString() for entry in files.globStatus(where) or ()]
 
 
+def content(spark: SparkSession, path: str) -> str:
+    """Text of a small file."""
+    files, where = _located(spark, path)
+    stream = files.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file, whole or not at all; False, and nothing written, if there is one of that name.
+
+    The text goes to a file of another name first, which is renamed without overwriting.
+    """
+    files, where = _located(spark, path)
+    if files.exists(where):
+        return False
+    draft = spark._jvm.org.apache.hadoop.fs.Path(where.getParent(), f".draft-{uuid.uuid4().hex}")
+    stream = files.create(draft, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    way = getattr(hadoop, "Options$Rename")
+    ways = spark.sparkContext._gateway.new_array(way, 1)
+    ways[0] = way.NONE
+    try:
+        hadoop.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(draft, where, ways)
+    except Py4JJavaError as failure:
+        files.delete(draft, False)
+        if files.exists(where):
+            return False
+        raise failure
+    return True
+
+
 def delete(spark: SparkSession, path: str) -> None:
     files, where = _located(spark, path)
     files.delete(where, True)

@@ -14,7 +14,7 @@ from ..functions import clock
 from ..functions.clock import as_date
 from ..operators.filters import for_symbol
 from ..schema import EXPORT_PARTITIONS, TABLE_PARTITIONS, TICK, TICK_COLUMNS, TIME_FIELDS, TIMES
-from . import folders
+from . import commits, folders
 
 Day = str | dt.date
 
@@ -34,7 +34,8 @@ def read_ticks(
     than a day costs to read.  Dates without a folder are skipped, a missing
     root is an error.  ``below`` leads to folders above the dates.  Tables in
     daily folders have no ``hour``.  ``ts_event`` and ``ts_recv`` are the times
-    as timestamps, cut to microseconds.
+    as timestamps, cut to microseconds.  Of a table with a log only committed
+    loads are read (see :mod:`.commits`).
     """
     names = folders.require(spark, root)
     path = root.rstrip("/")
@@ -56,12 +57,24 @@ def read_ticks(
     schema = T.StructType([*TICK.fields, *(TIME_FIELDS if timed else ()), *fields])
     reader = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").option("basePath", root)
     rows = reader.parquet(*paths) if paths else spark.createDataFrame([], schema)
+    if paths and commits.LOG in names:
+        rows = _counting(spark, root, rows)
     if timed:
         return rows
     derived = [clock.timestamp_of(F.col(f"{name}_ns")).alias(name) for name in TIMES]
     return rows.select(*TICK_COLUMNS, *derived, *(f.name for f in fields))
 
 
+def _counting(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
+    """Rows of the loads that count, by their folders; ``load`` without the number of the attempt."""
+    hidden, numbered = commits.hidden(spark, root)
+    if hidden:
+        rows = rows.where(~F.col("load").isin(hidden))
+    if numbered:
+        rows = rows.withColumn("load", F.regexp_replace("load", commits.NUMBERED, ""))
+    return rows
+
+
 def _hourly(spark: SparkSession, path: str, names: list[str]) -> bool:
     """Whether the dates of a table are cut into hours; of an empty one, yes."""
     days = [name for name in names if name.startswith("date=")]
