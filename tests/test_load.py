@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import os
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import clock
 from tickloom.operators import catalog, filters, lookup
 from tickloom.plans import load
-from tickloom.schema import RAW, TICK_COLUMNS
+from tickloom.schema import BAR, FAMILY_PAYLOADS, RAW, TICK_COLUMNS
 from tickloom.sources import raw as raw_source
 from tickloom.sources import samples, ticks as tick_source
 from tickloom.streaming.load import ingest_stream
@@ -266,6 +267,49 @@ def test_read_raw(spark, raw_folder):
     assert names == [(f"feed-2024010{i}.mbo.parquet",) for i in (5, 6, 7)]
 
 
+def test_records_of_every_family_are_whole(spark, tmp_path):
+    """What raw files hold of each family comes back; other columns, and files without them, are NULL."""
+    folder = str(tmp_path / "raw")
+    records = samples.raw_families(spark, SF)
+    records.drop("source_file").write.parquet(f"{folder}/feed.mbo.parquet")
+    samples.raw_records(spark, SF).limit(5).drop("source_file").write.parquet(f"{folder}/old.mbo.parquet")
+    got = raw_source.read_raw(spark, folder, payloads=True)
+    assert raw_source.read_raw(spark, folder).columns == RAW.fieldNames()
+    assert got.where("source_file LIKE 'old%' AND coalesce(depth, size(levels), bar.open) IS NOT NULL").count() == 0
+    whole = {r.order_id: json.loads(r.value) for r in got.where("source_file LIKE 'feed%'").select("order_id", F.to_json(F.struct("*")).alias("value")).collect()}
+    kinds = {"levels": set(), "bar": set(), "definition": set(), "depth": set()}
+    for r in records.select("order_id", "rtype", "price_raw", "size", "instrument_id").collect():
+        record = whole[r.order_id]
+        for name, found in kinds.items():
+            if name in record:
+                found.add(record["rtype"])
+        if r.rtype == "mbp10":
+            assert [x["bid_px"] for x in record["levels"]] == [r.price_raw - k * 10**7 for k in range(1, 11)]
+        if r.rtype == "instrument_def":
+            assert record["definition"]["min_price_increment"] == r.size
+    assert kinds == {name: set(of) & set(samples.FAMILIES) for name, of in FAMILY_PAYLOADS.items()}
+    # a decoder may fill what a family does not have
+    mixed = records.withColumn("bar", F.struct(*(F.lit(1).cast("long").alias(f.name) for f in BAR.fields)))
+    mixed.drop("source_file").write.parquet(str(tmp_path / "mixed" / "x.mbo.parquet"))
+    kept = raw_source.read_raw(spark, str(tmp_path / "mixed"), payloads=True).where("bar IS NOT NULL")
+    assert {r.rtype for r in kept.select("rtype").distinct().collect()} == {"ohlcv_1s", "ohlcv_1d", "ohlcv_eod"}
+    lines = raw_source.record_json(kept.limit(3)).collect()
+    assert all("levels" not in json.loads(line.value) and json.loads(line.value)["bar"]["open"] == 1 for line in lines)
+
+
+def test_scans_start_no_job(spark, tmp_path):
+    root = str(tmp_path / "table")
+    load.append_ticks(samples.event_ticks(spark, SF), root, load="a", hourly=False)
+    jobs = lambda: spark.sparkContext.statusTracker().getJobIdsForGroup("scan-only")
+    spark.sparkContext.setJobGroup("scan-only", "scans")
+    try:
+        table = tick_source.scan_table(spark, root, date="2024-01-05")
+        assert list(jobs()) == []
+        assert table.count() > 0 and len(jobs()) > 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_load_files_isolates_failures(spark, raw_folder, tmp_path):
     (raw_folder / "feed-20240106.mbo.parquet").write_bytes(b"not parquet at all")
     root = str(tmp_path / "table")

@@ -140,19 +140,25 @@ def _nanos(text: Column) -> Column:
     return F.rpad(F.regexp_extract(text, _FRACTION, 1), 9, "0").try_cast("bigint")
 
 
-def to_epoch_ns(text: Column) -> Column:
+def seconds_of(text: Column) -> Column:
+    """Whole seconds of a text's time, NULL when no form fits; as a column of its own it serves several results."""
+    return F.unix_seconds(_instant(text))
+
+
+def to_epoch_ns(text: Column, seconds: Column | None = None) -> Column:
     """Nanoseconds of a text: with offset, then plain UTC, then date only.
 
     NULL when no form fits, 0 when the time lies outside the 64-bit range.
+    ``seconds`` are those of the text, if the caller has them (:func:`seconds_of`).
     """
-    seconds = F.unix_seconds(_instant(text))
+    seconds = seconds_of(text) if seconds is None else seconds
     exact = F.try_add(F.try_multiply(seconds, F.lit(SECOND)), _nanos(text))
     return F.when(seconds.isNotNull(), F.coalesce(exact, F.lit(0).cast("bigint")))
 
 
-def to_utc_text(text: Column) -> Column:
+def to_utc_text(text: Column, seconds: Column | None = None) -> Column:
     """``yyyy-MM-dd HH:mm:ss UTC`` of the same texts."""
-    seconds = F.unix_seconds(_instant(text))
+    seconds = seconds_of(text) if seconds is None else seconds
     days = F.date_from_unix_date(floor_div(seconds, DAY // SECOND).cast("int"))
     # the years reach beyond 64-bit nanoseconds: date and time of day apart
     time = _clock_text(F.pmod(seconds, F.lit(DAY // SECOND)) * F.lit(SECOND))

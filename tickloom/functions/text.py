@@ -91,6 +91,6 @@ def line_protocol(symbol: Column) -> Column:
         *(whole(name) for name in ("size", "flags", "channel_id", "ts_in_delta", "sequence")),
         whole("ts_recv", "ts_recv_ns"),
     )
-    some = F.when(F.concat_ws(",", *fields) != "", F.concat_ws(",", *fields))
-    # concat_ws leaves out what is NULL
+    # concat_ws leaves out what is NULL, and an array without elements
+    some = F.array_remove(F.array(F.concat_ws(",", *fields)), "")
     return F.concat_ws(" ", F.concat_ws(",", F.lit(MEASUREMENT), *tags), some, F.col("ts_event_ns").cast("string"))

@@ -373,6 +373,31 @@ FROM ticks WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
     "export_partial_slot": f"""WITH {_TICKS} SELECT {_DATE} AS date, {_SLOT} AS slot,
        {_COLUMNS.replace(" flags,", f" CASE WHEN {_between(f'{DAY}T10:05:00Z', f'{DAY}T13:20:00Z')} THEN 999 ELSE flags END AS flags,")}
 FROM ticks WHERE {_between(DAY, '2024-01-11')}""",
+    "raw_range_payloads": f"""WITH {_RAW}, families AS (
+  SELECT * REPLACE ('feed.mbo.parquet' AS source_file,
+         CASE order_id % 10 WHEN 0 THEN 'mbp1' WHEN 1 THEN 'mbp0' WHEN 2 THEN 'mbp10' WHEN 3 THEN 'ohlcv_1s'
+              WHEN 4 THEN 'ohlcv_1d' WHEN 5 THEN 'ohlcv_eod' WHEN 6 THEN 'instrument_def' WHEN 7 THEN 'status'
+              ELSE 'mbo' END AS rtype)
+  FROM raw),
+books AS (SELECT *, CASE rtype WHEN 'mbp1' THEN 1 WHEN 'mbp10' THEN 10 END AS n,
+                 rtype LIKE 'ohlcv%' AS is_bar, rtype = 'instrument_def' AS is_definition
+          FROM families)
+SELECT source_file, rtype, ts_event_ns, order_id, price_raw,
+       CASE WHEN rtype LIKE 'mbp%' THEN CAST(order_id % 7 AS INTEGER) END AS depth,
+       CAST(n AS INTEGER) AS n_levels,
+       CASE WHEN n > 0 THEN price_raw - 10000000 END AS best_bid,
+       CASE WHEN n > 0 THEN price_raw + 10000001 END AS best_ask,
+       CASE WHEN n > 0 THEN price_raw + n * 10000000 + 1 END AS last_ask,
+       CASE WHEN n > 0 THEN CAST(size AS BIGINT) + n END AS last_size,
+       CASE WHEN is_bar THEN price_raw END AS open,
+       CASE WHEN is_bar THEN price_raw + size END AS high,
+       CASE WHEN is_bar THEN price_raw - size END AS low,
+       CASE WHEN is_bar THEN price_raw + 1 END AS close,
+       CASE WHEN is_bar THEN CAST(size AS BIGINT) END AS volume,
+       CASE WHEN is_definition THEN {_symbol("S", "instrument_id")} END AS raw_symbol,
+       CASE WHEN is_definition THEN CAST(size AS BIGINT) END AS min_price_increment
+FROM books
+WHERE rtype <> 'status' AND ts_event_ns BETWEEN {_ns("2024-01-10T06:00:00Z")} AND {_ns("2024-01-12T18:00:00Z")}""",
     "facts_data_range": ORACLES["data_range"],
     "facts_data_range_all": ORACLES["data_range_all"],
     "facts_count_by_date": ORACLES["count_by_date"],

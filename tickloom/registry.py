@@ -160,6 +160,37 @@ def raw_range_read(spark, sf_dir):
     return filters.raw_range(samples.raw_records(spark, sf_dir), start, end, RAW_RTYPES, RAW_ORDER)
 
 
+@query
+def raw_range_payloads(spark, sf_dir):
+    """Records of all families in a range, read from raw files with what each family says."""
+    key = (spark.sparkContext.applicationId, sf_dir, "families")
+    if key not in _WRITTEN:
+        folder = work_dir(spark, "families")
+        records = samples.raw_families(spark, sf_dir).drop("source_file")
+        records.write.parquet(f"{folder}/feed.mbo.parquet")
+        _WRITTEN[key] = folder
+    raw = raw_source.read_raw(spark, _WRITTEN[key], payloads=True)
+    start, end = clock.as_ns("2024-01-10T06:00:00Z"), clock.as_ns("2024-01-12T18:00:00Z")
+    rows = filters.raw_range(raw, start, end, RAW_RTYPES, RAW_ORDER)
+    level, last = F.col("levels")[0], F.element_at("levels", -1)
+    return rows.select(
+        "source_file",
+        "rtype",
+        "ts_event_ns",
+        "order_id",
+        "price_raw",
+        "depth",
+        F.when(F.col("levels").isNotNull(), F.size("levels")).alias("n_levels"),
+        level["bid_px"].alias("best_bid"),
+        level["ask_px"].alias("best_ask"),
+        last["ask_px"].alias("last_ask"),
+        last["bid_sz"].alias("last_size"),
+        *(F.col(f"bar.{name}").alias(name) for name in ("open", "high", "low", "close", "volume")),
+        F.variant_get("definition", "$.raw_symbol", "string").alias("raw_symbol"),
+        F.variant_get("definition", "$.min_price_increment", "bigint").alias("min_price_increment"),
+    )
+
+
 @query
 def load_allowlist(spark, sf_dir):
     return _allowlist(spark, sf_dir)
@@ -611,11 +642,11 @@ def line_protocol(spark, sf_dir):
 
 @query
 def to_epoch_ns(spark, sf_dir):
-    texts = samples.time_texts(spark, sf_dir)
+    texts = samples.time_texts(spark, sf_dir).withColumn("seconds", clock.seconds_of(F.col("text")))
     return texts.select(
         "event_id",
-        clock.to_epoch_ns(F.col("text")).alias("timestamp_ns"),
-        clock.to_utc_text(F.col("text")).alias("datetime_utc"),
+        clock.to_epoch_ns(F.col("text"), F.col("seconds")).alias("timestamp_ns"),
+        clock.to_utc_text(F.col("text"), F.col("seconds")).alias("datetime_utc"),
     )
 
 

@@ -51,6 +51,25 @@ RAW = T.StructType(
     ]
 )
 
+# What records say beyond the common columns; prices are unscaled.  A record has
+# what its family has, the rest is NULL.
+LEVEL = T.StructType(
+    [
+        *(T.StructField(name, T.LongType()) for name in ("bid_px", "ask_px", "bid_sz", "ask_sz")),
+        *(T.StructField(name, T.IntegerType()) for name in ("bid_ct", "ask_ct")),
+    ]
+)
+BAR = T.StructType([T.StructField(name, T.LongType()) for name in ("open", "high", "low", "close", "volume")])
+PAYLOADS = T.StructType(
+    [
+        T.StructField("depth", T.IntegerType()),
+        T.StructField("levels", T.ArrayType(LEVEL)),
+        T.StructField("bar", BAR),
+        # dozens of attributes that differ by kind of instrument and by version of the feed
+        T.StructField("definition", T.VariantType()),
+    ]
+)
+
 # Half-open validity [start_date, end_date) of a symbol for an instrument.
 SYMBOL_MAP = T.StructType(
     [
@@ -75,6 +94,14 @@ RAW_RTYPES = (
     "instrument_def",
 )
 
+# Which payload the families have; an order event has none.
+FAMILY_PAYLOADS = {
+    "depth": ("mbp0", "mbp1", "mbp10"),
+    "levels": ("mbp1", "mbp10"),
+    "bar": ("ohlcv_1s", "ohlcv_1m", "ohlcv_1h", "ohlcv_1d", "ohlcv_eod"),
+    "definition": ("instrument_def",),
+}
+
 TRADE = "T"
 
 # Storage order alone would leave open, close and page edges to chance when

@@ -111,7 +111,16 @@ def require(spark: SparkSession, path: str) -> list[str]:
 
 
 def columns_of(spark: SparkSession, path: str) -> list[str] | None:
-    """Columns stored in one file below a folder, from its footer; None for no file."""
+    """Columns stored in one file below a folder, from its footer, which the driver reads; None for no file."""
     file = first_file(spark, path)
-    return None if file is None else spark.read.parquet(file).columns
-
+    if file is None:
+        return None
+    parquet = spark._jvm.org.apache.parquet.hadoop
+    where = spark._jvm.org.apache.hadoop.fs.Path(file)
+    reader = parquet.ParquetFileReader.open(
+        parquet.util.HadoopInputFile.fromPath(where, spark._jsc.hadoopConfiguration())
+    )
+    try:
+        return [field.getName() for field in reader.getFooter().getFileMetaData().getSchema().getFields()]
+    finally:
+        reader.close()

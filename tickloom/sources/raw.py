@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_symbols
-from ..schema import RAW
+from ..schema import FAMILY_PAYLOADS, PAYLOADS, RAW
 
 RAW_FILES = "*.mbo.parquet"
 
@@ -17,25 +17,41 @@ _RAW_NAME = r"([^/]+\.mbo\.parquet)(/[^/]+)?$"
 _RAW_PATH = r"^(.*/[^/]+\.mbo\.parquet)(/[^/]+)?$"
 
 
-def raw_columns() -> T.StructType:
+def raw_columns(payloads: bool = False) -> T.StructType:
     """Columns stored in raw files; ``source_file`` is the name of the file itself."""
-    return T.StructType([field for field in RAW.fields if field.name != "source_file"])
+    common = [field for field in RAW.fields if field.name != "source_file"]
+    return T.StructType(common + (PAYLOADS.fields if payloads else []))
 
 
-def with_source_file(rows: DataFrame) -> DataFrame:
+def with_source_file(rows: DataFrame, payloads: bool = False) -> DataFrame:
     name = F.regexp_extract(F.col("_metadata.file_path"), _RAW_NAME, 1)
-    return rows.select(name.alias("source_file"), *raw_columns().fieldNames())
+    return rows.select(name.alias("source_file"), *raw_columns(payloads).fieldNames())
 
 
-def read_raw(spark: SparkSession, folder: str, ignore_corrupt: bool = False) -> DataFrame:
+def read_raw(spark: SparkSession, folder: str, ignore_corrupt: bool = False, payloads: bool = False) -> DataFrame:
     """Decoded records of the raw files directly in a folder."""
-    return read_raw_files(spark, [f"{folder.rstrip('/')}/{RAW_FILES}"], ignore_corrupt)
+    return read_raw_files(spark, [f"{folder.rstrip('/')}/{RAW_FILES}"], ignore_corrupt, payloads)
 
 
-def read_raw_files(spark: SparkSession, paths: list[str], ignore_corrupt: bool = False) -> DataFrame:
-    """Decoded records of given raw files."""
-    reader = spark.read.schema(raw_columns()).option("ignoreCorruptFiles", str(ignore_corrupt).lower())
-    return with_source_file(reader.parquet(*paths))
+def read_raw_files(
+    spark: SparkSession, paths: list[str], ignore_corrupt: bool = False, payloads: bool = False
+) -> DataFrame:
+    """Decoded records of given raw files, with ``payloads`` whole ones (see ``schema.PAYLOADS``).
+
+    A file without a payload's column has it as NULL, as has a record of another
+    family, whatever its decoder put there.
+    """
+    reader = spark.read.schema(raw_columns(payloads)).option("ignoreCorruptFiles", str(ignore_corrupt).lower())
+    rows = with_source_file(reader.parquet(*paths), payloads)
+    if not payloads:
+        return rows
+    own = {name: F.when(F.col("rtype").isin(*of), F.col(name)) for name, of in FAMILY_PAYLOADS.items()}
+    return rows.withColumns(own)
+
+
+def record_json(rows: DataFrame) -> DataFrame:
+    """Each record as a JSON object, under ``value``: what its family has, and no more."""
+    return rows.select(F.to_json(F.struct("*")).alias("value"))
 
 
 def raw_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clock
-from ..schema import TICK
+from ..schema import BAR, LEVEL, TICK
 
 # The timestamp is declared with zone, so time filters on it reach the scan.
 EVENTS = T.StructType(
@@ -165,6 +165,35 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed values of the stand-in view: families by the last digit of the event.
+FAMILIES = ("mbp1", "mbp0", "mbp10", "ohlcv_1s", "ohlcv_1d", "ohlcv_eod", "instrument_def", "status", "mbo", "mbo")
+
+
+def raw_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as decoded raw records of every family, with their payloads."""
+    records = raw_records(spark, sf_dir)
+    event, price, size = F.col("order_id"), F.col("price_raw"), F.col("size").cast("long")
+    rtype = _choose(F.pmod(event, F.lit(len(FAMILIES))), *map(F.lit, FAMILIES))
+    books = F.when(rtype == "mbp1", 1).when(rtype == "mbp10", 10).otherwise(0)
+
+    def level(k: Column) -> Column:
+        step = k * F.lit(10_000_000).cast("long")
+        values = (price - step, price + step + 1, size + k, size + 2 * k, k.cast("int"), (k + 1).cast("int"))
+        return F.struct(*(v.alias(f.name) for v, f in zip(values, LEVEL.fields)))
+
+    levels = F.transform(F.sequence(F.lit(1).cast("long"), books.cast("long")), level)
+    bar = F.struct(*(v.alias(f.name) for v, f in zip((price, price + size, price - size, price + 1, size), BAR.fields)))
+    named = F.to_json(F.struct(user_symbol(F.col("instrument_id")).alias("raw_symbol"), size.alias("min_price_increment")))
+    columns = {
+        "rtype": rtype,
+        "depth": F.when(rtype.startswith("mbp"), F.pmod(event, F.lit(7)).cast("int")),
+        "levels": F.when(books > 0, levels),
+        "bar": F.when(rtype.startswith("ohlcv"), bar),
+        "definition": F.when(rtype == "instrument_def", F.parse_json(named)),
+    }
+    return records.withColumns(columns)
+
+
 def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("user_id").distinct()
 
