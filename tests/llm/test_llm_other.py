@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import compare
 import numpy as np
@@ -61,49 +62,83 @@ def test_ownership_tells_examples_from_live_values(spark):
     rows = [
         (1, f"key {KEY} here", "a"),
         (2, f"again {KEY}", "a"),  # one owner: live, and not a base span
-        (3, f"key {OTHER}", "a"),
-        (4, f"key {OTHER}", "b"),  # copied
-        (5, f"token={KEY}z", "a"),
-        (6, f"token={KEY}z", "c"),
+        *((10 + k, f"key {OTHER} in {k}", owner) for k, owner in enumerate("abc")),  # three owners: copied
+        *((20 + k, f"token={KEY}z, text {k}", "a") for k in range(9)),  # one owner, in many repositories: its own
+        *((30 + k, f"token={OTHER}y, text {k}", "ab"[k % 2]) for k in range(3)),  # two owners, three repositories: live
+        *((40 + k, f"token={OTHER}x, text {k}", "ab"[k % 2]) for k in range(4)),  # two owners, four: copied
         (7, "password: changeme123", "a"),  # a placeholder
         (8, "token=Zq8Wn4Rt6Yp2", "b"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = {r.id: r.spans for r in secrets.scan_secrets(docs).collect()}
-    kinds = {k: [(s.kind, s.live, s.n_owners) for s in spans] for k, spans in found.items()}
+    kinds = {k: [(s.kind, s.live, s.n_owners, s.n_repos) for s in spans] for k, spans in found.items()}
     assert kinds == {
-        1: [("owned", True, 1)],
-        2: [("owned", True, 1)],
-        3: [],
-        4: [],
-        5: [("assign", False, 2)],
-        6: [("assign", False, 2)],
-        7: [("assign", False, 1)],
-        8: [("assign", True, 1)],
+        1: [("owned", True, 1, 2)],
+        2: [("owned", True, 1, 2)],
+        **dict.fromkeys(range(10, 13), []),
+        **dict.fromkeys(range(20, 29), [("assign", True, 1, 9)]),
+        **dict.fromkeys(range(30, 33), [("assign", True, 2, 3)]),
+        **dict.fromkeys(range(40, 44), [("assign", False, 2, 4)]),
+        7: [("assign", False, 1, 1)],
+        8: [("assign", True, 1, 1)],
     }
     clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
-    assert clean[1] == "key [SECRET] here" and clean[8] == "[SECRET]"
-    assert all(clean[k] == t for k, t, _ in rows if k in (3, 4, 5, 6, 7))
+    assert clean[1] == "key [SECRET] here" and clean[8] == "[SECRET]" and clean[22] == "[SECRET], text 2"
+    assert all(clean[k] == t for k, t, _ in rows if k == 7 or 10 <= k < 13 or k >= 40)
 
 
 def test_unknown_owners_do_not_make_an_example(spark):
     rows = [(1, f"key {KEY}", None), (2, f"again {KEY}", None), (3, f"token={OTHER}", None), (4, "password: changeme123", None)]
     rows += [(5, "token=Zq8Wn4Rt6Yp2", None), (6, "secret=Zq8Wn4Rt6Yp2", "a")]
+    rows += [(10 + k, f"token=Bq8Wn4Rt6Yp2 {k}", None) for k in range(4)]  # many repositories, no known owner: copied
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = {r.id: [(s.kind, s.live, s.n_owners) for s in r.spans] for r in secrets.scan_secrets(docs).collect()}
     assert found[1] == found[2] == [("owned", True, 0)] and found[3] == [("assign", True, 0)]
     assert found[4] == [("assign", False, 0)] and found[5] == found[6] == [("assign", True, 1)]
-    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert [found[k] for k in range(10, 14)] == [[("assign", False, 0)]] * 4
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect() if r.doc_id < 10}
     assert clean == {1: "key [SECRET]", 2: "again [SECRET]", 3: "[SECRET]", 4: rows[3][1], 5: "[SECRET]", 6: "[SECRET]"}
 
 
 def test_copies_of_a_document_count_once(spark):
-    rows = [(1, f"key {KEY}", "a"), (2, f"key {KEY}", "b"), (3, f"token={OTHER}", "a"), (4, f"token={OTHER}", "b"), (5, f"the token={OTHER}", "c")]
+    """A credential in two copies of a text, under two owners, is live; one in different texts of many owners is not."""
+    rows = [(1, f"key {KEY}", "a"), (2, f"key {KEY}", "b"), (3, f"token={OTHER}", "a"), (4, f"token={OTHER}", "b")]
+    rows += [(5, f"the token={OTHER}", "c"), (6, f"a token={OTHER}", "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    found = {r.id: [(s.kind, s.live, s.n_repos, s.n_owners) for s in r.spans] for r in secrets.scan_secrets(docs, copies_once=True).collect()}
-    assert found == {1: [("owned", True, 1, 1)], 2: [("owned", True, 1, 1)]} | dict.fromkeys((3, 4, 5), [("assign", False, 2, 2)])
-    clean = {r.doc_id: r.text for r in secrets.redact(docs, copies_once=True).collect()}
+    found = {r.id: [(s.kind, s.live, s.n_repos, s.n_owners) for s in r.spans] for r in secrets.scan_secrets(docs).collect()}
+    assert found == {1: [("owned", True, 1, 1)], 2: [("owned", True, 1, 1)]} | dict.fromkeys((3, 4, 5, 6), [("assign", False, 3, 3)])
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert clean == {k: "key [SECRET]" if k < 3 else t for k, t, _ in rows}
+    every = {r.id: [(s.live, s.n_repos, s.n_owners) for s in r.spans] for r in secrets.scan_secrets(docs, copies_once=False).collect()}
+    assert every[1] == [(True, 2, 2)] and every[3] == [(False, 4, 4)]
+
+
+def plain_redacted(text, spans):
+    out, at = "", 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += text[at:start] + "[SECRET]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_many_matches_in_a_text(spark):
+    """100,000 values in one text, kinds that overlap and short ones between: in seconds, and as plain Python has it."""
+    rng = np.random.default_rng(1)
+    value = lambda: rng.bytes(16).hex()
+    small = " ".join(f"é token={value()} x={value()}" + (" token: short" if k % 3 else "") for k in range(60))
+    large = "\n".join(f"{k}: {value()} 🙂" if k % 2 else f"secret={value()}" for k in range(100_000))
+    docs = spark.createDataFrame([(1, small, "a"), (2, large, "b"), (2, large, "b")], "doc_id long, text string, source string")
+    start = time.monotonic()
+    found = {r.id: r for r in secrets.scan_secrets(docs).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert time.monotonic() - start < 60
+    assert (found[1].copies, found[2].copies) == (1, 2)
+    for k, text in ((1, small), (2, large)):
+        spans = found[k].spans
+        assert [(s.start, s.rank, s.end, s.kind) for s in spans if s.rank < 3] == plain_spans(text)
+        assert clean[k] == plain_redacted(text, [(s.start, s.end) for s in spans if s.live])
+    assert clean[2].count("[SECRET]") > 90_000
 
 
 def test_secret_cases(odd, no_rows):
