@@ -1,5 +1,6 @@
 """Quality, toxicity, decontamination and near-duplicates against plain Python."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -218,6 +219,41 @@ def test_decontamination_finds_all_windows(spark, documents, benchmark):
     assert {r.doc_id for r in decontam.keep_clean(docs, benchmark).collect()} == {r.doc_id for r in docs.collect()} - set(want)
 
 
+def test_many_items_of_one_length(spark):
+    """The index against a search of all windows, where items share shingles; and its memory with 100,000 items of a length."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{k}" for k in range(400)]
+    common = "at the end of the day it is".split()
+    items = [(k, " ".join([*rng.choice(vocabulary, 12), *common, *rng.choice(vocabulary, 12)])) for k in range(60)]
+    texts = []
+    for k in range(40):
+        words = [*rng.choice(vocabulary, 30), *items[k][1].split(), *common, *rng.choice(vocabulary, 20), *items[-k - 1][1].split()]
+        for at in rng.integers(0, len(words), k % 4):
+            words[at] = "other"
+        texts.append(" ".join(words))
+    index = decontam.Items(items, 18, 0.8)
+    total = 0
+    for text in texts:
+        got = {item: (same, first) for item, first, _, same in index.passages(text)}
+        assert got == plain_passages(text, items)
+        total += len(got)
+    assert total > 40
+    many = [(k, " ".join(f"x{v}" for v in rng.integers(0, 10**6, 8))) for k in range(100_000)]
+    tracemalloc.start()
+    index = decontam.Items(many, 18, 0.8)
+    text = " ".join(rng.choice(vocabulary, 5000).tolist() + [many[7][1], many[99_999][1]])
+    assert [p[0] for p in index.passages(text)] == [7, 99_999]
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+
+def test_decontamination_in_blocks(spark, monkeypatch, documents, benchmark):
+    whole = sorted(decontam.contaminated(documents, benchmark).collect())
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 3_000)
+    assert len(list(decontam.item_blocks(benchmark, "item_id", "text"))) > 1
+    assert sorted(decontam.contaminated(documents, benchmark).collect()) == whole
+
+
 def test_decontamination_cases(spark, odd, no_rows, benchmark):
     assert decontam.contaminated(no_rows, benchmark).count() == 0
     assert decontam.keep_clean(odd, benchmark).count() == odd.count()

@@ -14,7 +14,9 @@ At a similarity of 0.8 at most about one word in fifteen differs, which turns
 
 *Places.*  Passages that share no shingle have similarity 0.  Windows are
 therefore fingerprinted only where a shingle of an item occurs, and there all
-windows of the item's size that hold it.
+windows of the item's size that hold it; and they are compared with those items
+alone, of that size, that a shingle there belongs to.  Blocks of three or four
+bits would let most pairs pass; sharing a shingle is what leaves few.
 
 Words are runs of letters, digits and characters beyond ASCII, A-Z in lower
 case, so that punctuation, case and spacing do not hide a copy.
@@ -22,6 +24,7 @@ case, so that punctuation, case and spacing do not hide a copy.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -34,7 +37,8 @@ from pyspark.sql import types as T
 from .common import column, keep_rows, map_texts, table, texts
 
 SHINGLE = 5
-BLOCK_BYTES = 64 << 20  # most benchmark text held by a task at a time
+BLOCK_BYTES = 16 << 20  # most benchmark text held by a task at a time
+PAIRS = 1 << 21  # windows and items that are compared at a time
 
 # Bytes of words as they are (A-Z in lower case), all other ASCII as blanks.
 FOLD = bytes(
@@ -80,13 +84,14 @@ class Items:
         words = [words_of(t) for _, t in items]
         self.sizes = [len(w) for w in words]
         self.weights = [Counter(shingles(w)) for w in words]
-        self.places: dict[tuple[bytes, ...], set[int]] = defaultdict(set)  # shingle -> lengths of items with it
+        # shingle -> length -> which items of that length have it
+        self.places: dict[tuple[bytes, ...], dict[int, list[int]]] = {}
         self.lengths: dict[int, list[int]] = defaultdict(list)
         for k, w in enumerate(words):
+            for s in self.weights[k]:
+                self.places.setdefault(s, {}).setdefault(len(w), []).append(len(self.lengths[len(w)]))
             if w:
                 self.lengths[len(w)].append(k)
-            for s in self.weights[k]:
-                self.places[s].add(len(w))
         self.short = sorted({len(s) for s in self.places if len(s) < SHINGLE})
         self.cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
         self.prints, self.blocks = {}, {}
@@ -104,16 +109,18 @@ class Items:
     def block(prints: np.ndarray, a: int, b: int) -> np.ndarray:
         return ((prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
 
-    def near(self, prints: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-        """(window, item) of all windows within the radius of an item of this length."""
-        for at in range(0, len(prints), 1 << 14):
-            part = prints[at : at + (1 << 14)]
-            found = np.zeros((len(part), len(self.prints[size])), bool)
-            for block, a, b in zip(self.blocks[size], self.cuts, self.cuts[1:]):
+    def near(self, prints: np.ndarray, size: int, items: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, item) of all windows within the radius of one of these items of this length."""
+        step = max(1, PAIRS // len(items))
+        own = [block[:, items] for block in self.blocks[size]]
+        for at in range(0, len(prints), step):
+            part = prints[at : at + step]
+            found = np.zeros((len(part), len(items)), bool)
+            for block, a, b in zip(own, self.cuts, self.cuts[1:]):
                 found |= block[self.block(part, a, b)]
             window, item = np.nonzero(found)
-            close = np.bitwise_count(part[window] ^ self.prints[size][item]) <= self.radius
-            yield from zip((window[close] + at).tolist(), (self.lengths[size][k] for k in item[close].tolist()))
+            close = np.bitwise_count(part[window] ^ self.prints[size][items[item]]) <= self.radius
+            yield from zip((window[close] + at).tolist(), (self.lengths[size][k] for k in items[item[close]].tolist()))
 
     def passages(self, text: str) -> list[tuple[object, int, int, float]]:
         """(item id, first word, words, similarity) of the best window for each item found in a text."""
@@ -121,17 +128,21 @@ class Items:
         runs = shingles(words)
         if len(words) >= SHINGLE and not self.short and self.places.keys().isdisjoint(runs):
             return []
-        spots: dict[int, list[int]] = defaultdict(list)  # item length -> first words of shared shingles
-        for size in {SHINGLE if len(words) >= SHINGLE else len(words), *self.short}:
+        spots: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)  # item length -> first words of shared shingles, whose they are
+        for size in sorted({SHINGLE if len(words) >= SHINGLE else len(words), *self.short}):
             for at, run in enumerate(zip(*(words[k:] for k in range(size))) if size else ()):
-                for length in self.places.get(run, ()):
-                    spots[length].append(at)
+                for length, items in self.places.get(run, {}).items():
+                    spots[length].append((at, items))
         best: dict[int, tuple[float, int, int]] = {}
         for length, places in spots.items():
             size = min(length, len(words))  # a text shorter than the item is one window
-            for first, last in self.stretches(places, size, len(words)):
+            places.sort(key=lambda place: place[0])
+            starts = [at for at, _ in places]
+            for first, last in self.stretches(starts, size, len(words)):
+                here = places[bisect_left(starts, first) : bisect_left(starts, last + size)]
+                items = np.array(sorted({k for _, of in here for k in of}), np.int64)
                 hashes = np.array([word_bits(w) for w in words[first : last + size]], np.uint64)
-                for at, k in self.near(window_prints(hashes, size), length):
+                for at, k in self.near(window_prints(hashes, size), length, items):
                     start = first + at
                     same = weighted_similarity(Counter(shingles(words[start : start + size])), self.weights[k])
                     if same >= self.similarity and (k not in best or same > best[k][0]):
@@ -154,17 +165,18 @@ class Items:
             yield first, last
 
 
-def item_blocks(items: DataFrame, item_col: str, text_col: str) -> list[list[tuple[object, str]]]:
-    """The benchmark in blocks of bounded size, each small enough to be sent to every task.
+def item_blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
+    """The benchmark in blocks of bounded size, one at a time, each small enough to be sent to every task.
 
     One block for usual benchmarks; a larger one makes more passes over the
-    documents and never more memory.
+    documents and never more memory, of the driver or of a task.
     """
     rows = items.select(column(item_col).alias("id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     n = max(1, -(-size // BLOCK_BYTES))
     part = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    return [[(r.id, r.text) for r in rows.filter(part == k).orderBy("id", "text").collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r.id, r.text) for r in rows.filter(part == k).orderBy("id", "text").collect()]
 
 
 def contaminated(
