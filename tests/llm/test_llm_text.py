@@ -306,6 +306,18 @@ def test_scores_do_not_see_labels_of_the_held_out(spark, documents, labels):
     assert sorted(first.collect()) == sorted(toxicity.toxicity(documents, flipped).collect())
 
 
+def test_the_toxicity_sample_is_bounded(spark, monkeypatch):
+    """Ids that repeat: the driver gets SAMPLE rows at most, of different texts."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 10)
+    rows = [(1, f"you are a moron {k % 50}") for k in range(2000)] + [(2, "fine words")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "logistic", lambda x, y: seen.append(len(y)) or np.array([-4.0, 1.0, 1.0]))
+    toxicity.fit(docs, marks)
+    assert len(seen) <= 1 and all(n <= 10 for n in seen)
+
+
 def test_toxicity_cases(spark, odd, no_rows, labels):
     rows = toxicity.toxicity(odd, labels).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
