@@ -39,6 +39,8 @@ from pyspark.sql import types as T
 from .common import map_texts, numbered_columns, saved, ship, slices, table, texts
 
 BITS = 64
+#: Rows to drop that are sent to every task: a file name and a place, some 100 bytes each.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -246,15 +248,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows equal in id and fingerprint any one stays.  Where no row of a
     component has an id, one row of its smallest fingerprint stays.
+
+    Rows are fingerprinted once and written with their fingerprints; from then on
+    a row is its place in its file.  Only places are joined and shuffled, and the
+    rows to drop are broadcast as far as their number allows.
     """
-    prints = saved(fingerprints(texts(docs, id_col, text_col), words), "simhash-prints")
-    found = components(prints, radius, blocks)
-    own_ids = prints.join(found, "fp").filter(F.col("id") == F.col("component_id"))
-    # by root: an id that rows of different texts share can be the smallest of several components
-    chosen = own_ids.groupBy("root", "component_id").agg(F.min("fp").alias("fp")).drop("root")
-    # components without an id share the NULL, and all their rows are without one
-    unnamed = found.filter("component_id IS NULL").groupBy("root", "component_id").agg(F.min("fp").alias("fp")).drop("root")
-    chosen = chosen.union(unnamed)
     ship(docs.sparkSession)
     rows = numbered_columns(docs)
     at, own = docs.columns.index(text_col), f"c{docs.columns.index(id_col)}"
@@ -265,11 +263,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = pa.array([signed(fingerprint(t or "", words)) for t in batch.column(at).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, "fp"])
 
-    marked = rows.mapInArrow(run, schema)
-    one = chosen.select("component_id", F.col("fp").alias("first"))
-    same = F.col(own).eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("first"))
-    kept = marked.join(one, same, "left_semi")
-    return kept.dropDuplicates([own, "fp"]).drop("fp").toDF(*docs.columns)
+    marked = saved(rows.mapInArrow(run, schema), "simhash-rows")
+    marked = marked.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place"))
+    prints = saved(marked.select(F.col(own).alias("id"), "fp", "file", "place"), "simhash-prints")
+    found = components(prints.select("id", "fp"), radius, blocks)
+    # by root: an id that rows of different texts share can be the smallest of several components
+    first = F.col("id").eqNullSafe(F.col("component_id"))
+    best = F.min(F.struct("fp", "file", "place")).alias("best")
+    chosen = prints.join(found, "fp").filter(first).groupBy("root", "component_id").agg(best)
+    chosen = chosen.select("best.file", "best.place")
+    gone = saved(prints.select("file", "place").join(chosen, ["file", "place"], "left_anti"), "simhash-dropped")
+    few = gone.count() <= BROADCAST_ROWS
+    kept = marked.join(F.broadcast(gone) if few else gone, ["file", "place"], "left_anti")
+    return kept.select(*rows.columns).toDF(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
