@@ -179,6 +179,45 @@ def test_rules_and_patterns(spark):
     assert urls.judge_urls(spark.createDataFrame([(1, "http://a/b")], "page_id long, url string"), []).first().verdict == "allow"
 
 
+@pytest.mark.parametrize("bound", [64 << 20, 0])
+def test_rules_are_fetched_as_if_all_were_tried(spark, monkeypatch, bound):
+    """Random rules, some without tokens, on random URLs; broadcast and shuffled."""
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", bound)
+    rng = np.random.default_rng(7)
+    word = lambda: str(rng.choice(["com", "spam", "shop", "ad", "en", "x1", "é", "pills"]))
+    addresses = [f"http://{word()}.{word()}/{word()}{rng.choice(['/', '-', '?', ''])}{word()}" for _ in range(300)] + ["", None]
+    names = {f"{rng.choice(['^', '*', ''])}{word()}{rng.choice(['^', '*^', ''])}{word()}{rng.choice(['^', ''])}" for _ in range(60)}
+    sites = {f"{word()}.{word()}/" for _ in range(20)} | {f"{word()}/{word()}" for _ in range(20)}
+    rules = [urls.url_pattern(name, str(rng.choice(["block", "allow"]))) for name in sorted(names)]
+    rules += [urls.site_rule(name, str(rng.choice(["block", "allow"]))) for name in sorted(sites)]
+    assert any(not r.tokens for r in rules) and len({r.name for r in rules}) == len(rules)
+    pages = spark.createDataFrame(list(enumerate(addresses)), "page_id long, url string")
+    found = {r.id: r for r in urls.judge_urls(pages, urls.rule_table(spark, rules)).collect()}
+    assert len(found) == len(addresses)
+    for k, address in enumerate(addresses):
+        got, low = found[k], (address or "").lower()
+        place = got.host + got.path
+        fits = [r for r in rules if re.search(r.pattern.replace("(?s)", ""), place if r.site else low, re.S)]
+        best = max(((len(r.name), r.name, r.verdict) for r in fits if r.site), default=None)
+        own = {r.verdict for r in fits if not r.site}
+        assert got.patterns == sorted(r.name for r in fits if not r.site)
+        assert (got.rule, got.verdict) == (best[1:] if best else (None, "block" if own == {"block"} else "allow"))
+
+
+def test_many_rules_are_planned_in_seconds(spark):
+    rules = urls.rule_table(spark, [urls.url_pattern(f"^host{k}^path{k % 977}^", "block") for k in range(100_000)])
+    rules = spark.createDataFrame(rules.collect(), urls.RULES)
+    pages = spark.createDataFrame([(k, f"http://host{k * 501}/path{k * 501 % 977}/") for k in range(300)], "page_id long, url string")
+    start = time.monotonic()
+    judged = urls.judge_urls(pages, rules)
+    judged._jdf.queryExecution().executedPlan()
+    assert time.monotonic() - start < 20  # with the count of the rarest tokens
+    assert sum(r.verdict == "block" for r in judged.collect()) == 200
+    twice = rules.limit(2).union(rules.limit(2))
+    with pytest.raises(ValueError):
+        urls.judge_urls(pages, twice)
+
+
 # --- licenses --------------------------------------------------------------
 
 

@@ -5,6 +5,10 @@ digits) that a fitting URL must hold whole.  The corpus tells how many URLs hold
 each of these tokens; a rule is filed under its rarest one.  A URL's own tokens
 fetch the rules filed under them, and only those expressions are run.  A rule
 without such a token is filed under the empty token, which every URL holds.
+
+Rules are a table, as large as it may be.  Within a bound of bytes it is sent to
+all tasks; beyond it URLs' tokens and rules meet by a shuffle, in which the empty
+token, and whoever is filed under it, is spread over SALTS keys.
 """
 
 from __future__ import annotations
@@ -15,13 +19,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, column, table
+from .common import ascii_lower, column, saved, table
 
 #: Runs of anything but ASCII letters and digits and characters beyond ASCII, in lower-cased text.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Rules up to this many are broadcast (some hundred bytes each); more are joined by a shuffle.
-BROADCAST_RULES = 50_000
+#: Rules of so many bytes are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+SALTS = 64
+
+RULES = "name string, verdict string, site boolean, pattern string, tokens array<string>"
 
 
 @dataclass(frozen=True)
@@ -63,25 +70,43 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), F.split(ascii_lower(url), GAP)))
 
 
-def rarest_tokens(pages: DataFrame, rules: list[Rule]) -> dict[str, str]:
-    """For each rule the token, of those it must hold, that the fewest of all URLs hold."""
-    wanted = sorted({t for r in rules for t in r.tokens})
-    held = pages.select(F.explode(F.filter(tokens_of(F.col("url")), lambda t: t.isin(wanted))).alias("token"))
-    counts = dict(held.groupBy("token").count().collect()) if wanted else {}  # at most one row for each token of the rules
-    return {r.name: min(r.tokens, key=lambda t: (counts.get(t, 0), t), default="") for r in rules}
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """Rules as a table; a large list is better read from one."""
+    return spark.createDataFrame([(r.name, r.verdict, r.site, r.pattern, list(r.tokens)) for r in rules], RULES)
+
+
+def checked(rules: DataFrame) -> bool:
+    """Whether the rules are few enough to be broadcast; an error if two have one name, or one has none."""
+    texts = sum((F.coalesce(F.octet_length(name), F.lit(0)) for name in ("name", "verdict", "pattern")), F.lit(64))
+    whole = F.aggregate("tokens", F.lit(0), lambda n, t: n + F.octet_length(t) + 16)
+    found = rules.agg(
+        F.count("*").alias("n"),
+        F.countDistinct("name").alias("names"),
+        F.coalesce(F.sum(texts + F.coalesce(whole, F.lit(0))), F.lit(0)).alias("bytes"),
+    ).first()
+    if found.names < found.n:
+        raise ValueError("rules need different names")
+    return found.bytes <= BROADCAST_BYTES
+
 
+def rule_index(pages: DataFrame, rules: DataFrame, small: bool) -> DataFrame:
+    """(token, salt, rule): each rule under the token, of those it must hold, that the fewest of all URLs of pages hold.
 
-def rule_index(spark: SparkSession, rules: list[Rule], filed: dict[str, str]) -> DataFrame:
-    """token -> the rules filed under it, one row for each token."""
-    entries = [
-        F.struct(
-            F.lit(filed[r.name]).alias("token"),
-            F.struct(F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.site).alias("site"), F.lit(r.pattern).alias("pattern")).alias("rule"),
-        )
-        for r in rules
-    ]
-    rows = spark.range(1).select(F.inline(F.array(*entries)))
-    return rows.groupBy("token").agg(F.collect_list("rule").alias("rules"))
+    Of equally rare tokens the first counts.  Rules without tokens come once for every salt.
+    """
+    wanted = rules.select(F.explode("tokens").alias("token")).distinct()
+    held = pages.select(F.explode(tokens_of(F.col("url"))).alias("token"))
+    # a few tokens are in most URLs: counted before anything is shuffled
+    counts = held.join(F.broadcast(wanted), "token", "left_semi") if small else held
+    counts = counts.groupBy("token").agg(F.count("*").alias("n"))
+    each = rules.select("name", F.explode("tokens").alias("token")).join(counts, "token", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"]
+    filed = each.groupBy("name").agg(rarest.alias("token"))
+    index = rules.join(filed, "name", "left").select(
+        F.coalesce("token", F.lit("")).alias("token"), F.struct("name", "verdict", "site", "pattern").alias("rule")
+    )
+    salts = F.when(F.col("token") == "", F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return saved(index.select("token", F.explode(salts).alias("salt"), "rule"), "url-rules")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -91,48 +116,51 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, patterns) of every row.
 
+    rules: a list, or a table with the columns of RULES; names are unique.
     The longest fitting site rule decides (of equally long ones the last in
     order); where none fits, a URL is blocked if a blocking pattern fits and no
     allowing one does.  ``patterns`` lists the patterns that fit.  A NULL url
     counts as empty; without "://" host and path are empty.  Repeated rows and
-    rows without an id each keep their row.  Other columns are ignored.
+    rows without an id each keep their row; without rules all are allowed.
+    Other columns are ignored.
     """
-    if len({r.name for r in rules}) < len(rules):
-        raise ValueError("rules need different names")
+    if isinstance(rules, list):
+        rules = rule_table(pages.sparkSession, rules)
+    small = checked(rules)
     rows = pages.select(column(id_col).alias("id"), F.coalesce(column(url_col).cast("string"), F.lit("")).alias("url"))
+    index = rule_index(rows, rules, small)
     host, path = host_and_path(F.col("url"))
-    if not rules:
-        none = F.lit(None).cast("string")
-        return rows.select("id", host.alias("host"), path.alias("path"), none.alias("rule"), F.lit("allow").alias("verdict"), F.array().cast("array<string>").alias("patterns"))
-    index = rule_index(pages.sparkSession, rules, rarest_tokens(rows, rules))
-    if len(rules) <= BROADCAST_RULES:
-        index = F.broadcast(index)
-    # equal rows become one with a count; all that follows stays in its partition
+    # equal rows become one with a count; where rules are broadcast, all that follows stays in its partition
     rows = rows.groupBy("id", "url").agg(F.count("*").alias("copies"))
     rows = rows.select("*", host.alias("host"), path.alias("path"), F.explode(tokens_of(F.col("url"))).alias("token"))
+    salt = F.when(F.col("token") == "", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).otherwise(0)
+    fetched = rows.withColumn("salt", salt).join(F.broadcast(index) if small else index, ["token", "salt"], "left")
+    # a URL's empty token stays in any case, and with it the URL
+    fetched = fetched.filter((F.col("token") == "") | F.col("rule").isNotNull())
     place, url = F.concat("host", "path"), ascii_lower(F.col("url"))
-    fetched = rows.join(index, "token", "left").withColumn(
-        "fit", F.filter("rules", lambda r: F.when(r["site"], F.rlike(place, r["pattern"])).otherwise(F.rlike(url, r["pattern"])))
+    pattern = F.col("rule.pattern")
+    fit = F.when(F.col("rule.site"), F.rlike(place, pattern)).otherwise(F.rlike(url, pattern))
+    fetched = fetched.withColumn("fit", fit)
+    site, own = F.col("fit") & F.col("rule.site"), F.col("fit") & ~F.col("rule.site")
+    longest = F.struct(F.length("rule.name").alias("n"), F.col("rule.name").alias("name"), F.col("rule.verdict").alias("verdict"))
+    says = lambda verdict: F.coalesce(F.bool_or(own & (F.col("rule.verdict") == verdict)), F.lit(False))
+    judged = fetched.groupBy("id", "url", "copies", "host", "path").agg(
+        F.max(F.when(site, longest)).alias("best"),
+        F.sort_array(F.collect_list(F.when(own, F.col("rule.name")))).alias("patterns"),
+        F.when(says("block") & ~says("allow"), "block").otherwise("allow").alias("own"),
     )
-    fits = fetched.groupBy("id", "url", "copies", "host", "path").agg(F.flatten(F.collect_list("fit")).alias("fit"))
-    sites = F.filter("fit", lambda r: r["site"])
-    best = F.array_max(F.transform(sites, lambda r: F.struct(F.length(r["name"]).alias("n"), r["name"].alias("name"), r["verdict"].alias("verdict"))))
-    patterns = F.filter("fit", lambda r: ~r["site"])
-    says = lambda verdict: F.exists(patterns, lambda r: r["verdict"] == verdict)
-    own = F.when(says("block") & ~says("allow"), "block").otherwise("allow")
-    judged = fits.select(
+    return judged.select(
         "id",
         "host",
         "path",
-        best["name"].alias("rule"),
-        F.coalesce(best["verdict"], own).alias("verdict"),
-        F.sort_array(F.transform(patterns, lambda r: r["name"])).alias("patterns"),
+        F.col("best.name").alias("rule"),
+        F.coalesce("best.verdict", "own").alias("verdict"),
+        "patterns",
         F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"),
-    )
-    return judged.drop("copy")
+    ).drop("copy")
 
 
 #: Site rules of the query, and its URL patterns.
