@@ -13,12 +13,15 @@ token, and whoever is filed under it, is spread over SALTS keys.
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import work_dir
+from ..sources import folders
 from .common import ascii_lower, column, saved, table
 
 #: Runs of anything but ASCII letters and digits and characters beyond ASCII, in lower-cased text.
@@ -71,8 +74,10 @@ def tokens_of(url: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """Rules as a table; a large list is better read from one."""
-    return spark.createDataFrame([(r.name, r.verdict, r.site, r.pattern, list(r.tokens)) for r in rules], RULES)
+    """Rules as a table, written as text by the driver and read by Spark; a large list is better kept as one."""
+    path = f"{work_dir(spark, 'url-rule-list')}/rules.json"
+    folders.put_if_absent(spark, path, "\n".join(json.dumps(asdict(rule)) for rule in rules))
+    return spark.read.schema(RULES).json(path)
 
 
 def checked(rules: DataFrame) -> bool:
