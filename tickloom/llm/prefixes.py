@@ -428,3 +428,45 @@ def conversation_trie(
 
 def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+#: The same with cumulated texts for prefixes and every node's ancestors for the totals; crc32 bit by bit.
+OP12_SQL = f'''
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS digits FROM turns
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(digits) + 1), lambda i: CAST(ascii(digits[i]) AS BIGINT))),
+             lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))),
+             CAST(4294967295 AS BIGINT)) % {HEAD} AS head
+  FROM ids
+), built AS (
+  SELECT c.conv_id, 0 AS own, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND place <= head
+  UNION ALL SELECT c.conv_id, 1, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND place > head
+), deep AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, place) AS depth, md5(role) || md5(text) AS said, strlen(text) AS bytes
+  FROM built
+), members AS (
+  SELECT conv_id, depth, md5(string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS name, bytes FROM deep
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+), linked AS (
+  SELECT *, lag(name) OVER (PARTITION BY conv_id ORDER BY depth) AS above, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM members
+), nodes AS (
+  SELECT depth, name, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM linked GROUP BY depth, name
+), counted AS (
+  SELECT n.*, p.conv_id AS parent_conv_id,
+         (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.above = n.name) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.name = n.above
+), totals AS (
+  SELECT m.depth, m.name, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM counted n JOIN members m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.depth, m.name
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM counted JOIN totals USING (depth, name)
+'''

@@ -11,12 +11,12 @@ from .decontam import op7_decontamination
 from .languages import op13_languages
 from .lengths import op4_lengths
 from .licenses import OP10_SQL, op10_licenses
-from .prefixes import op12_prefixes
+from .prefixes import OP12_SQL, op12_prefixes
 from .quality import op5_quality
 from .secrets import OP1_SQL, op1_secrets
 from .shards import op3_shards
 from .simhash import op6_simhash
-from .spelling import op11_spelling
+from .spelling import OP11_SQL, op11_spelling
 from .toxicity import op8_toxicity
 from .urls import OP2_SQL, op2_urls
 
@@ -36,4 +36,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_languages": op13_languages,
 }
 
-ORACLES: dict[str, str] = {"op1_secrets": OP1_SQL, "op2_urls": OP2_SQL, "op10_licenses": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_secrets": OP1_SQL, "op2_urls": OP2_SQL, "op10_licenses": OP10_SQL, "op11_spelling": OP11_SQL, "op12_prefixes": OP12_SQL}

