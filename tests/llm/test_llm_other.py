@@ -242,12 +242,11 @@ def test_license_lines(spark, odd, no_rows):
 
 
 def plain_license_labels(text):
-    """Labels and best score of templates by trying every line and every run of a paragraph's words."""
+    """Labels and best score of templates by trying every run of a paragraph's words."""
     gap = re.compile(licenses.GAP)
-    lines, paragraphs, words = [], [], []
+    paragraphs, words = [], []
     for line in [*text.lower().split("\n"), ""]:
         own = [w for w in gap.split(line) if w]
-        lines.append(own)
         if not own:
             paragraphs.append(words)
         words = words + own if own else []
@@ -256,7 +255,7 @@ def plain_license_labels(text):
         need = set(template.split())
         width = len(template.split()) * 3 // 2
         runs = [p[k : k + width] for p in paragraphs for k in range(len(p))]
-        most = max(len(need.intersection(block)) for block in lines + runs)
+        most = max((len(need.intersection(run)) for run in runs), default=0)
         if most >= np.ceil(licenses.THRESHOLD * len(need) - 1e-9):
             labels.add(label)
             best = max(best, most / len(need))
@@ -273,6 +272,9 @@ def test_wrapped_license_notices(spark):
         "": "modification\n" + "x " * 20 + "\nredistribution and use in source\nand binary forms",
         "apache-2.0": "was released\n \t\nLicensed under the Apache\nLicence, version 2.0",
     }
+    # a line is no wider than a paragraph: words strewn over it state nothing, a notice in its midst does
+    far = " word" * 300
+    strewn = [f"{far} released{far} under{far} mit{far} license{far}", f"{far} released under mit license{far}"]
     pieces = " ".join(t for _, t in licenses.TEMPLATES[8:]).split() + ["x", "y"]
     rng = np.random.default_rng(5)
     mixed = []
@@ -281,10 +283,10 @@ def test_wrapped_license_notices(spark):
         words = [w for w in words if rng.random() > 0.1]
         around = [str(w) for w in rng.choice(pieces, 12)]
         mixed.append("".join(w + str(rng.choice([" ", " ", "\n", "\n// ", "\n\n" if k % 4 == 0 else "\r\n"])) for w in around[:6] + words + around[6:]))
-    every = [*texts.values(), *mixed]
+    every = [*texts.values(), *strewn, *mixed]
     found = licenses.scan_licenses(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string"))
     rows = {r.id: r for r in found.collect()}
-    assert [rows[k].labels for k in range(len(texts))] == list(texts)
+    assert [rows[k].labels for k in range(len(texts) + 2)] == [*texts, "", "mit"]
     for k, text in enumerate(every):
         labels, best = plain_license_labels(text)
         base = set(filter(None, rows[k].base_labels.split(",")))

@@ -1,22 +1,22 @@
 """License scans: phrases by their words, and blocks by a set-similarity join with license templates.
 
 A block of a text states a license if it holds at least ``threshold`` of the
-distinct words of one of its templates.  Blocks are lines and, as notices are
-wrapped, all runs of consecutive words of a paragraph that are half as long again
-as the template (in longer runs, words of other sentences would make up a short
-one); lines without words end a paragraph.  The join finds all such blocks,
-called lines below:
+distinct words of one of its templates.  Blocks are all runs of consecutive words
+of a paragraph that are half as long again as the template: in longer runs, words
+of other sentences would make up a short one.  Line breaks within a paragraph
+count as blanks, as notices are wrapped; lines without words end a paragraph.
+The join finds all such blocks:
 
 * words are ordered by how many texts of the corpus hold them, rarest first;
-* *prefix filter*: a line that holds need = ceil(threshold * n) of a template's
-  n words holds one of its n - need + 1 rarest; only lines with such a word
+* *prefix filter*: a block that holds need = ceil(threshold * n) of a template's
+  n words holds one of its n - need + 1 rarest; only blocks with such a word
   meet the templates filed under it;
-* *length filter*: the line must have need words;
+* *length filter*: the block must have need words;
 * *positional filter*: a word that is the i-th of the template and the j-th of
-  the line leaves at most min(i, j) + 1 + min(words after both) in common;
+  the block leaves at most min(i, j) + 1 + min(words after both) in common;
 * what remains is verified by counting the common words.
 
-Words that no template has cannot be shared, so a line's order runs over its
+Words that no template has cannot be shared, so a block's order runs over its
 template words only.
 """
 
@@ -32,6 +32,9 @@ from .common import column, saved, table
 #: Anything but ASCII letters and digits and characters beyond ASCII, in lower-cased text.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: A gap with a line that has no words.
+PARAGRAPH = r"\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n"
+
 #: Phrases and labels of the base scan (fixed values).
 PHRASES = (
     ("gnu general public license", "gpl"),
@@ -96,49 +99,29 @@ def starts_of(words: Column, phrase: str) -> Column:
 
 
 def run_width(template: str) -> int:
-    """Words of the runs across line breaks in which a template is looked for."""
+    """Words of the runs in which a template is looked for."""
     return len(template.split()) * 3 // 2
 
 
-def wrapped(low: str, fewest: dict[int, int], vocabulary: list[str], prefix: list[str]) -> Column:
-    """(words, width) of every run across line breaks that holds a prefix word and as many template words as its width asks for.
+def stretches(low: Column, widest: int, least: int, vocabulary: list[str], prefix: list[str]) -> Column:
+    """The distinct runs of ``widest`` words that begin with a template word and hold a prefix word and ``least`` template words.
 
-    ``fewest`` has the widths; words are the template words.  A run begins with a template word: a run with others before it holds no
-    more.  Most breaks are settled by one look at all the runs across them.
-    No run holds words of two paragraphs: empty words keep them apart.
+    As texts, with single blanks, in which other words are empty.  A run that
+    begins with another word holds no more than one that begins later.
     """
-    widest, least = max(fewest, default=1), min(fewest.values(), default=1)
-    apart = F.array_repeat(F.lit(""), widest)
-    split = F.transform(F.split(low, "\n"), lambda line: F.filter(F.split(line, GAP), lambda w: w != ""))
-    split = F.transform(split, lambda line: F.when(F.size(line) > 0, line).otherwise(apart))
-    none = F.array().cast("array<int>")
-    begin = F.struct(split.alias("split"), F.flatten(split).alias("words"))
-
-    def meets(words, n):
-        return (F.size(words) >= n) & F.arrays_overlap(words, strings(prefix))
 
-    def known(words, start, n):
-        return F.array_intersect(F.slice(words, start + 1, n), strings(vocabulary))
+    def meets(words):
+        held = F.array_intersect(words, strings(vocabulary))
+        return (F.size(held) >= least) & F.arrays_overlap(held, strings(prefix))
 
-    def step(acc, line):
-        words = F.get(line, F.lit(0)) != ""
-        found = F.when(acc["on"] & words, F.concat(acc["all"], F.array(acc["n"]))).otherwise(acc["all"])
-        return F.struct((acc["n"] + F.size(line)).alias("n"), words.alias("on"), found.alias("all"))
+    def runs(words):
+        starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda at: F.get(words, at - 1) != "")
+        found = F.filter(F.transform(starts, lambda at: F.slice(words, at, widest)), meets)
+        return F.transform(found, lambda run: F.array_join(run, " "))
 
-    def runs(text):
-        words = text["words"]
-        # how many words stand before each line that goes on a paragraph
-        breaks = F.aggregate(text["split"], F.struct(F.lit(0).alias("n"), F.lit(False).alias("on"), none.alias("all")), step, lambda acc: acc["all"])
-        first = lambda n: F.greatest(n - (widest - 1), F.lit(0))
-        near = F.filter(breaks, lambda n: meets(known(words, first(n), n - first(n) + widest - 1), least))
-        starts = F.array_distinct(F.flatten(F.transform(near, lambda n: F.sequence(first(n), n - 1))))
-        starts = F.filter(starts, lambda at: F.get(words, at).isin(vocabulary))
-        each = lambda at: F.array(*(F.struct(known(words, at, F.lit(w)).alias("words"), F.lit(w).alias("width")) for w in fewest))
-        need = F.create_map(*(F.lit(x) for pair in fewest.items() for x in pair))
-        return F.filter(F.flatten(F.transform(starts, each)), lambda run: meets(run["words"], need[run["width"]]))
-
-    # an array of one, so that the words are split once
-    return F.flatten(F.transform(F.array(begin), runs))
+    known = lambda part: F.transform(F.split(part, GAP), lambda w: F.when(w.isin(vocabulary), w).otherwise(""))
+    paragraphs = F.filter(F.transform(F.split(low, PARAGRAPH), known), meets)
+    return F.array_distinct(F.flatten(F.transform(paragraphs, runs)))
 
 
 def scan_licenses(
@@ -150,8 +133,8 @@ def scan_licenses(
 ) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
-    labels joins the phrases' labels and those of templates that a line or a
-    run of words across its breaks contains; score is the largest containment of a template that reaches the
+    labels joins the phrases' labels and those of templates that a block
+    contains; score is the largest containment of a template that reaches the
     threshold, 1 where a phrase stands, else 0.  A NULL text counts as empty
     and has no words, places or labels.  Repeated rows and rows without an id
     each keep their row.  Other columns are ignored.
@@ -172,32 +155,28 @@ def scan_licenses(
         fewest[width] = min(need, fewest.get(width, need))
     prefix = sorted(index)
 
-    # each row by itself: base scan, and the lines and runs of texts that hold a prefix word
+    # each row by itself: base scan, and the stretches of texts that hold a prefix word
     rows = rows.select("id", "low", F.split("low", GAP).alias("words"))
     edges = F.when(F.get("words", F.lit(0)) == "", 1).otherwise(0) + F.when(
         (F.size("words") > 1) & (F.element_at("words", -1) == ""), 1
     ).otherwise(0)  # a gap at the start or the end of a text leaves an empty piece
     firsts = sorted({phrase.split()[0] for phrase, _ in PHRASES})
-    words = F.when(F.arrays_overlap("words", strings(firsts)), F.filter("words", lambda w: w != "")).otherwise(F.array().cast("array<string>"))
-    lines = F.filter(
-        F.transform(F.split("low", "\n"), lambda line: F.array_intersect(F.split(line, GAP), strings(vocabulary))),
-        lambda ws: F.arrays_overlap(ws, strings(prefix)),
-    )
-    lines = F.transform(lines, lambda ws: F.struct(ws.alias("words"), F.lit(0).alias("width")))  # of any width
+    none = F.array().cast("array<string>")
+    words = F.when(F.arrays_overlap("words", strings(firsts)), F.filter("words", lambda w: w != "")).otherwise(none)
+    widest, least = max(fewest, default=1), min(fewest.values(), default=1)
+    blocks = stretches("low", widest, least, vocabulary, prefix)
     rows = rows.select(
         "id",
         F.xxhash64("low").alias("print"),
         F.length("low").alias("size"),
         (F.size("words") - edges).cast("long").alias("n_words"),
         words.alias("base_words"),
-        F.when(F.arrays_overlap("words", strings(prefix)), F.array_distinct(F.concat(lines, wrapped("low", fewest, vocabulary, prefix))))
-        .otherwise(F.array().cast("array<struct<words:array<string>,width:int>>"))
-        .alias("lines"),
+        F.when(F.arrays_overlap("words", strings(prefix)), blocks).otherwise(none).alias("blocks"),
     )
     places = F.array(*(starts_of(F.col("base_words"), phrase) for phrase, _ in PHRASES))
-    rows = saved(rows.select("id", "print", "size", "n_words", places.alias("places"), "lines"), "license-lines")
+    rows = saved(rows.select("id", "print", "size", "n_words", places.alias("places"), "blocks"), "license-blocks")
 
-    # the join: lines meet the templates filed under their prefix words
+    # the join: blocks meet the templates filed under their prefix words
     filed = docs.sparkSession.range(1).select(
         F.inline(
             F.array(
@@ -222,20 +201,25 @@ def scan_licenses(
             )
         )
     )
-    ordered = F.filter(F.array(*map(F.lit, order)), lambda w: F.array_contains("line.words", w))
-    found = rows.withColumn("line", F.explode("lines")).select("id", "print", "size", "line.width", ordered.alias("line"))
-    found = found.select("*", F.posexplode("line").alias("j", "word")).filter(F.col("word").isin(prefix))
+    # of each stretch the first words, as many as some template's blocks have
+    found = rows.select("id", "print", "size", F.explode("blocks").alias("stretch")).withColumn("stretch", F.split("stretch", " "))
+    block = lambda w: F.struct(F.lit(w).alias("width"), F.array_intersect(F.slice("stretch", 1, w), strings(order)).alias("words"))
+    found = found.select("id", "print", "size", F.inline(F.array(*map(block, sorted(fewest)))))
+    need = F.element_at(F.create_map(*(F.lit(x) for pair in fewest.items() for x in pair)), F.col("width"))
+    ordered = F.filter(F.array(*map(F.lit, order)), lambda w: F.array_contains("words", w))
+    found = found.filter(F.size("words") >= need).select("id", "print", "size", "width", ordered.alias("block"))
+    found = found.select("*", F.posexplode("block").alias("j", "word")).filter(F.col("word").isin(prefix))
     found = found.join(F.broadcast(filed), "word").withColumn("t", F.explode("templates"))  # a row for each word of the templates
-    n_line, n_template, i, j = F.size("line"), F.size("t.words"), F.col("t.i"), F.col("j")
-    found = found.filter(F.col("width").isin(0, F.col("t.width")) & (n_line >= F.col("t.need")))
-    found = found.filter(F.least(i, j) + 1 + F.least(n_template - i - 1, n_line - j - 1) >= F.col("t.need"))
-    common = F.size(F.array_intersect("line", "t.words"))
+    n_block, n_template, i, j = F.size("block"), F.size("t.words"), F.col("t.i"), F.col("j")
+    found = found.filter((F.col("width") == F.col("t.width")) & (n_block >= F.col("t.need")))
+    found = found.filter(F.least(i, j) + 1 + F.least(n_template - i - 1, n_block - j - 1) >= F.col("t.need"))
+    common = F.size(F.array_intersect("block", "t.words"))
     found = found.filter(common >= F.col("t.need"))
     found = found.groupBy("id", "print", "size").agg(
         F.collect_set("t.label").alias("own"), F.max(common / n_template).alias("best")
     )
 
-    # equal rows have equal lines: the key is their id and text, and a row keeps its place
+    # equal rows have equal blocks: the key is their id and text, and a row keeps its place
     left, right = rows.alias("l"), found.alias("r")
     same = F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.print") == F.col("r.print")) & (F.col("l.size") == F.col("r.size"))
     joined = left.join(right, same, "left").select("l.*", "r.own", "r.best")
@@ -259,16 +243,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op10_sql() -> str:
-    """The same by comparing every line with every template."""
+    """The same by comparing every run of words with every template."""
     sets = ", ".join(
-        f"('{label}', [{', '.join(repr(w) for w in sorted(set(text.split())))}])" for label, text in TEMPLATES
+        f"('{label}', [{', '.join(repr(w) for w in sorted(set(text.split())))}], {run_width(text)})" for label, text in TEMPLATES
     )
     phrases = ", ".join(f"('{label}', [{', '.join(map(repr, p.split()))}])" for p, label in PHRASES)
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""
 WITH low AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
-), templates(label, words) AS (VALUES {sets}
+), templates(label, words, width) AS (VALUES {sets}
 ), phrases(label, words) AS (VALUES {phrases}
 ), worded AS (
   SELECT doc_id, list_filter(string_split_regex(low, '{gap}'), lambda w: w != '') AS words FROM low
@@ -278,15 +262,18 @@ WITH low AS (
         WHERE list_contains(worded.words, phrases.words[1]))
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id
-), lines AS (
-  SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM low
-), line_words AS (
-  SELECT doc_id, list_distinct(string_split_regex(line, '{gap}')) AS words FROM lines
-  WHERE regexp_matches(line, '(licen|permission|permitted|received|compliance)|cc|mit')
+), paragraphs AS (
+  SELECT doc_id, list_filter(string_split_regex(paragraph, '{gap}'), lambda w: w != '') AS words
+  FROM (SELECT doc_id, unnest(string_split_regex(low, '{PARAGRAPH}')) AS paragraph FROM low)
+), held AS (
+  SELECT doc_id, p.words AS words, t.label, t.words AS template, t.width, ceil({THRESHOLD} * len(t.words) - 1e-9) AS need
+  FROM paragraphs p, templates t WHERE len(list_intersect(p.words, t.words)) >= ceil({THRESHOLD} * len(t.words) - 1e-9)
+), runs AS (
+  SELECT doc_id, label, len(template) AS n, need,
+         list_max(list_transform(range(1, len(words) + 1), lambda i: len(list_intersect(words[i : i + width - 1], template)))) AS most
+  FROM held
 ), own AS (
-  SELECT doc_id, list(DISTINCT label) AS labels, max(len(list_intersect(l.words, t.words)) / len(t.words)) AS best
-  FROM line_words l, templates t
-  WHERE len(list_intersect(l.words, t.words)) >= ceil({THRESHOLD} * len(t.words) - 1e-9) GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT label) AS labels, max(most / n) AS best FROM runs WHERE most >= need GROUP BY doc_id
 )
 SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
        last_word::BIGINT AS last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
