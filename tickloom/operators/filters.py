@@ -18,6 +18,11 @@ def for_symbol(ticks: DataFrame, symbol: str) -> DataFrame:
     return ticks.where(F.col("symbol") == symbol)
 
 
+def for_order(ticks: DataFrame, *order_ids: int) -> DataFrame:
+    """Ticks of some orders; a table loaded with Bloom filters on ``order_id`` skips the row groups without them."""
+    return ticks.where(F.col("order_id").isin(*order_ids))
+
+
 def trades(ticks: DataFrame) -> DataFrame:
     return ticks.where(F.col("action") == TRADE)
 

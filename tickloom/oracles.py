@@ -398,6 +398,11 @@ SELECT source_file, rtype, ts_event_ns, order_id, price_raw,
        CASE WHEN is_definition THEN CAST(size AS BIGINT) END AS min_price_increment
 FROM books
 WHERE rtype <> 'status' AND ts_event_ns BETWEEN {_ns("2024-01-10T06:00:00Z")} AND {_ns("2024-01-12T18:00:00Z")}""",
+    "bars_rollup_1h": ORACLES["bars_1h"],
+    "bars_rollup_for_5m": ORACLES["bars_for_5m"],
+    "bars_rollup_merged": ORACLES["bars_all_symbols"],
+    "bars_rollup_merged_7m": ORACLES["bars_interval_7m"],
+    "lookup_order": f"WITH {_TICKS} SELECT {_COLUMNS} FROM ticks WHERE order_id IN (302, 555, 700)",
     "facts_data_range": ORACLES["data_range"],
     "facts_data_range_all": ORACLES["data_range_all"],
     "facts_count_by_date": ORACLES["count_by_date"],

@@ -33,8 +33,8 @@ def _of_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def _rows_of(spark: SparkSession, base: str, done: commits.Commit) -> DataFrame:
-    """Symbols and times of one attempt, from its own folders."""
+def rows_of(spark: SparkSession, base: str, done: commits.Commit) -> DataFrame:
+    """Ticks of one attempt, from its own folders."""
     own = f"load={folders.folder_name(done.value)}"
     if done.parts is None:
         paths = [*folders.matching(spark, f"{base}/date=*/{own}"), *folders.matching(spark, f"{base}/date=*/hour=*/{own}")]
@@ -42,7 +42,7 @@ def _rows_of(spark: SparkSession, base: str, done: commits.Commit) -> DataFrame:
         dates = sorted({date or "__HIVE_DEFAULT_PARTITION__" for date, _ in done.parts})
         paths = [path for date in dates for path in _below(spark, f"{base}/date={date}", own)]
     files = spark.read.schema(TICK).option("pathGlobFilter", "*.parquet")
-    return (files.parquet(*paths) if paths else spark.createDataFrame([], TICK)).select("symbol", "ts_event_ns")
+    return files.parquet(*paths) if paths else spark.createDataFrame([], TICK)
 
 
 def _below(spark: SparkSession, day: str, own: str) -> list[str]:
@@ -54,7 +54,7 @@ def _below(spark: SparkSession, day: str, own: str) -> list[str]:
 
 def write(spark: SparkSession, base: str, done: commits.Commit) -> None:
     """Note the facts of an attempt that has written its rows and is not committed yet."""
-    _of_rows(_rows_of(spark, base, done)).write.mode("overwrite").parquet(path_of(base, done))
+    _of_rows(rows_of(spark, base, done)).write.mode("overwrite").parquet(path_of(base, done))
 
 
 def table_facts(spark: SparkSession, root: str) -> DataFrame:
@@ -67,7 +67,7 @@ def table_facts(spark: SparkSession, root: str) -> DataFrame:
     loads = [done for done in commits.committed(spark, base) if done.rows != 0]
     noted = [path_of(base, done) for done in loads if done.facts]
     found = [spark.read.schema(FIELDS).parquet(*noted)] if noted else []
-    found += [_of_rows(_rows_of(spark, base, done)) for done in loads if not done.facts]
+    found += [_of_rows(rows_of(spark, base, done)) for done in loads if not done.facts]
     return reduce(DataFrame.unionByName, found, spark.createDataFrame([], FIELDS))
 
 

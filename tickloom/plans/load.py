@@ -18,7 +18,7 @@ from ..operators.lookup import BROADCAST_BYTES, flag_allowed, map_symbols, prepa
 from ..schema import TABLE_PARTITIONS, TICK, TICK_COLUMNS, TIME_FIELDS, TIMES
 from ..sources import commits, folders
 from ..sources.raw import read_raw_files
-from . import facts
+from . import facts, rollup
 
 CONCURRENT_FILES = 2
 
@@ -170,6 +170,8 @@ def append_ticks(
     time_ordered: bool = False,
     table: str | None = None,
     with_facts: bool = False,
+    bars_every: str | None = None,
+    bloom: Sequence[str] = (),
 ) -> None:
     """Append ticks to the table under ``root`` as the load named ``load``.
 
@@ -184,7 +186,11 @@ def append_ticks(
     column index finds a symbol's pages.  A ``table`` of the catalog over this
     root (see :func:`ensure_table`) learns of the load's own folders.
     ``with_facts`` reads the written symbols and times once more, to note what
-    the load holds (see :mod:`.facts`).
+    the load holds (see :mod:`.facts`); ``bars_every``, say ``1m``, reads the
+    trades for partial bars of that width (see :mod:`.rollup`).  Columns named by
+    ``bloom`` get Bloom filters, at most 1 MB for each column of a row group: a
+    search for one value (see :func:`..operators.filters.for_order`) skips row
+    groups whose values the files' order leaves mixed.
 
     The rebalance lets AQE cut a hot hour into several tasks and merge thin ones.
     If the rows come in feed order, each task holds a short stretch of time
@@ -214,6 +220,9 @@ def append_ticks(
     rows = rows.withColumn("load", F.lit(value))
     if not time_ordered:
         rows = rows.hint("rebalance", *(F.col(name) for name in parts))
+    blooms = {f"parquet.bloom.filter.enabled#{name}": "true" for name in bloom}
+    if blooms:
+        blooms["parquet.bloom.filter.adaptive.enabled"] = "true"
     # the folders are the attempt's own; this mode also keeps what several writers have not put in place yet apart
     (
         rows.sortWithinPartitions(*parts, "load", "symbol", "ts_event_ns", "sequence")
@@ -221,6 +230,7 @@ def append_ticks(
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .option("maxRecordsPerFile", max_records_per_file)
+        .options(**blooms)
         .partitionBy(*parts, "load")
         .parquet(root)
     )
@@ -228,6 +238,9 @@ def append_ticks(
     if with_facts and done.rows:
         facts.write(spark, base, done)
         done = replace(done, facts=True)
+    if bars_every and done.rows:
+        rollup.write(spark, base, done, bars_every)
+        done = replace(done, bars=bars_every)
     try:
         commits.commit(spark, base, done)
     except RuntimeError:
@@ -290,7 +303,7 @@ def _part(date: str | None, hour: int | None, hourly: bool) -> str:
 
 
 def _remove(spark: SparkSession, base: str, done: commits.Commit, hourly: bool) -> None:
-    for path in [*_folders(spark, base, done, hourly), facts.path_of(base, done)]:
+    for path in [*_folders(spark, base, done, hourly), facts.path_of(base, done), rollup.path_of(base, done)]:
         folders.delete(spark, path)
 
 
@@ -355,6 +368,8 @@ def load_file(
     small: bool | None = None,
     table: str | None = None,
     with_facts: bool = False,
+    bars_every: str | None = None,
+    bloom: Sequence[str] = (),
 ) -> FileLoad:
     """Load one raw file (or folder of part files) in one pass.
 
@@ -374,7 +389,15 @@ def load_file(
         # a salted mapping loses the order of the file
         load = load_name(spark, path)
         append_ticks(
-            as_ticks(kept), root, load, hourly, time_ordered=time_ordered and small, table=table, with_facts=with_facts
+            as_ticks(kept),
+            root,
+            load,
+            hourly,
+            time_ordered=time_ordered and small,
+            table=table,
+            with_facts=with_facts,
+            bars_every=bars_every,
+            bloom=bloom,
         )
         try:
             found = seen.get
@@ -396,6 +419,8 @@ def load_files(
     concurrency: int = CONCURRENT_FILES,
     table: str | None = None,
     with_facts: bool = False,
+    bars_every: str | None = None,
+    bloom: Sequence[str] = (),
 ) -> list[FileLoad]:
     """Load files as separate Spark jobs, a few at a time, and report on each.
 
@@ -406,7 +431,9 @@ def load_files(
     symbol_map, small = prepared_map(symbol_map)
 
     def one(path: str) -> FileLoad:
-        return load_file(spark, path, root, symbol_map, allowlist, hourly, time_ordered, small, table, with_facts)
+        return load_file(
+            spark, path, root, symbol_map, allowlist, hourly, time_ordered, small, table, with_facts, bars_every, bloom
+        )
 
     with ThreadPoolExecutor(max_workers=concurrency) as jobs:
         return list(jobs.map(one, paths))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .functions import clock, text
 from .operators import bars as bar_ops
 from .operators import catalog, filters, lookup, pages
-from .plans import adhoc, export, facts, load, outputs
+from .plans import adhoc, export, facts, load, outputs, rollup
 from .schema import RAW_ORDER, RAW_RTYPES, TICK_COLUMNS
 from .session import work_dir
 from .sources import folders, samples
@@ -483,6 +483,46 @@ def facts_count_by_symbol(spark, sf_dir):
     return facts.count_by_symbol(_facts(spark, sf_dir))
 
 
+def _rollup(spark: SparkSession, sf_dir: str) -> str:
+    """A table of three loads: one run again with fewer rows, two with partial bars of different widths, one with none."""
+
+    def write(ticks: DataFrame, root: str) -> None:
+        part = F.pmod("order_id", F.lit(3))
+        load.append_ticks(ticks, root, load="feed", hourly=False, bars_every="1m")
+        load.append_ticks(ticks.where(part == 0), root, load="feed", hourly=False, bars_every="1m")
+        load.append_ticks(ticks.where(part == 1), root, load="late", hourly=False, bars_every="5m", bloom=("order_id",))
+        load.append_ticks(ticks.where(part == 2), root, load="plain", hourly=False, bloom=("order_id",))
+
+    return _written(spark, sf_dir, "rollup", write)
+
+
+@query
+def bars_rollup_1h(spark, sf_dir):
+    return rollup.table_bars(spark, _rollup(spark, sf_dir), "1h")
+
+
+@query
+def bars_rollup_for_5m(spark, sf_dir):
+    return rollup.bars_for(spark, _rollup(spark, sf_dir), SYMBOL, START, END, "5m")
+
+
+@query
+def bars_rollup_merged(spark, sf_dir):
+    return rollup.merged_bars(spark, _rollup(spark, sf_dir), "1h")
+
+
+@query
+def bars_rollup_merged_7m(spark, sf_dir):
+    # no multiple of five minutes: those bars are made from ticks
+    return rollup.merged_bars(spark, _rollup(spark, sf_dir), "7m")
+
+
+@query
+def lookup_order(spark, sf_dir):
+    rows = tick_source.scan_table(spark, _rollup(spark, sf_dir))
+    return filters.for_order(rows, 302, 555, 700).select(*TICK_COLUMNS)
+
+
 @query
 def pending_in_log(spark, sf_dir):
     """Candidate files that no load of the table's log has loaded: here the feed's days up to the middle of the month."""
