@@ -1,6 +1,9 @@
 """Quality, toxicity, decontamination and near-duplicates against plain Python."""
 
+import itertools
+import re
 import tracemalloc
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -289,6 +292,61 @@ def test_negation_does_not_cross_clauses():
     assert toxicity.features("", INSULTS) == toxicity.features("nothing here", INSULTS) == (0.0, 0.0)
 
 
+def plain_weight(kinds, weights):
+    """The weight of a clause, by looking for each mark at the words around it."""
+    total = 0.0
+    for i, (kind, weight) in enumerate(zip(kinds, weights)):
+        aimed = "target" in kinds[i + 1 : i + 1 + toxicity.THREAT_REACH]
+        if kind == "insult" or (kind == "threat" and aimed):
+            negated = "negation" in kinds[max(0, i - toxicity.NEGATION_REACH) : i]
+            told = "report" in kinds[:i] or kinds[:i].count("quote") % 2 == 1
+            total += weight * (toxicity.NEGATED if negated else 1) * (toxicity.REPORTED if told else 1)
+    return total * (toxicity.TARGETED if "target" in kinds else 1)
+
+
+def test_the_composed_machine_against_every_short_clause():
+    for length in range(6):
+        for kinds in itertools.product(toxicity.CLASSES, repeat=length):
+            weights = [1.0 + k for k in range(length)]
+            assert toxicity.weigh(list(kinds), weights) == pytest.approx(plain_weight(kinds, weights))
+    rng = np.random.default_rng(8)
+    for _ in range(2000):
+        kinds = [str(k) for k in rng.choice(toxicity.CLASSES, rng.integers(6, 40))]
+        weights = list(rng.random(len(kinds)))
+        assert toxicity.weigh(kinds, weights) == pytest.approx(plain_weight(kinds, weights))
+    assert len(toxicity.GRAMMAR.ends) == 4 * 4 * 2 and len(toxicity.THREAT.ends) == toxicity.THREAT_REACH + 1
+
+
+@pytest.mark.parametrize(
+    "more, less",
+    [
+        ("du idiot", "der idiot kam"),
+        ("er ist ein idiot", "er ist kein idiot"),
+        ("tu es un idiot", "tu n'est pas un idiot"),
+        ("usted idiot", "dijo usted idiot"),
+        ("voy a matar a todos", "voy a matar el tiempo"),
+    ],
+)
+def test_grammar_of_other_languages(more, less):
+    assert sum(toxicity.features(more, INSULTS)) > sum(toxicity.features(less, INSULTS))
+
+
+def test_scores_against_plain_python(spark):
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    insults, beta = toxicity.fit(documents, labels)
+    assert insults
+    found = {r.id: (r.held_out, r.score, r.predicted) for r in toxicity.toxicity(documents, labels).collect()}
+    for row in documents.select("doc_id", "text").collect():
+        weights = [0.0]
+        for clause in re.split(r"[.!?;:\n]+", (row.text or "").lower()):
+            words = toxicity.WORD.findall(clause)
+            kinds = [toxicity.class_of(w, insults) for w in words]
+            weights.append(plain_weight(kinds, [insults.get(w, toxicity.THREAT_WEIGHT) for w in words]))
+        score = 1 / (1 + np.exp(-(beta[0] + beta[1] * np.log1p(max(weights)) + beta[2] * np.log1p(sum(weights)))))
+        held_out = zlib.crc32(str(row.doc_id).encode()) % 5 == 0
+        assert found[row.doc_id] == (held_out, pytest.approx(score), int(score >= 0.5))
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

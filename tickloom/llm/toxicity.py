@@ -1,25 +1,30 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words of a clause are read by five transducers in a row, each handing weighted
-symbols to the next:
-
-1. *lexicon*: a word becomes an insult (with its learned weight), a threat
-   verb, a target, a negation, a reporting verb, a mark of quotation, or nothing;
-2. *threat*: a threat verb counts only with a target among the next words, and
-   then as much as a strong insult;
-3. *negation*: after a negation the next words carry part of their weight;
-4. *reported speech*: after a reporting verb, or within quotation marks, the
+A lexicon makes each word of a clause an insult (with its learned weight), a
+threat verb, a target, a negation, a reporting verb, a mark of quotation, or
+nothing.  Four transducers, each a table of states and moves, read the classes:
+
+1. *threat*, from right to left: a threat verb counts only with a target among
+   the next words, and then as an insult of a fixed weight;
+2. *negation*: after a negation the next words carry part of their weight;
+3. *reported speech*: after a reporting verb, or within quotation marks, the
    rest of the clause carries part of its weight;
-5. *target*: insults aimed at someone named in the clause weigh more.
-
-The weight of a clause is the sum of what comes out; a text's features are its
-weightiest clause and the sum over its clauses.  The weights of insults and the
-logistic curve over the features are learned from labelled rows.
+4. *target*: insults aimed at someone named in the clause weigh more; this is
+   known at its end, as the weight of the state in which it ends.
+
+The three that read from left to right are composed once into one machine, so a
+clause is read twice, whatever its length.  Its weight is the sum of what comes
+out; a text's features are its weightiest clause and the sum over its clauses.
+The weights of insults and the logistic curve over the features are learned from
+labelled rows, insults of all languages alike; the small words of the grammar
+are those of English, German, French and Spanish, and are known in any text.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Hashable
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,11 +33,31 @@ from pyspark.sql import types as T
 
 from .common import column, map_texts, saved, table, texts
 
-# Word classes of the grammar (fixed values).
-TARGETS = frozenset("you your yours yourself u he she him her they them their we us everyone people guys".split())
-NEGATIONS = frozenset("not no never nor neither without isn't aren't wasn't don't doesn't didn't won't can't".split())
-REPORTS = frozenset("said says say told claimed claims wrote writes called calls quoted reported alleged".split())
-THREATS = frozenset("kill hurt destroy murder beat shoot stab burn strangle smash attack".split())
+# Word classes of the grammar (fixed values): English, German, French, Spanish.
+TARGETS = frozenset(
+    "you your yours yourself u he she him her you're they them their we us everyone people guys "
+    "du dich dir dein deine ihr euch euer eure er sie ihn ihm ihnen alle leute "
+    "tu toi ton ta tes vous votre vos il elle lui ils elles leur eux gens "
+    "tú tu ti usted ustedes vosotros él ella ellos ellas te todos gente".split()
+)
+NEGATIONS = frozenset(
+    "not no never nor neither without isn't aren't wasn't don't doesn't didn't won't can't "
+    "nicht kein keine keinen nie niemals weder ohne "
+    "pas jamais aucun aucune sans ni n'est n'a "
+    "nunca jamás tampoco sin ningún ninguna".split()
+)
+REPORTS = frozenset(
+    "said says say told claimed claims wrote writes called calls quoted reported alleged "
+    "sagte sagt schrieb schreibt nannte nennt behauptete behauptet berichtete "
+    "dit disait écrit écrivait appelle appelait affirme rapporte "
+    "dijo dice escribió escribe llamó llama afirma afirmó".split()
+)
+THREATS = frozenset(
+    "kill hurt destroy murder beat shoot stab burn strangle smash attack "
+    "töte töten umbringen verprügeln erschießen abstechen erwürgen verbrennen "
+    "tuer tuerai frapper poignarder étrangler brûler "
+    "matar mataré golpear apuñalar estrangular quemar".split()
+)
 QUOTES = frozenset("\"“”«»")
 
 NEGATED, REPORTED, TARGETED = 0.25, 0.5, 1.25  # factors on a weight
@@ -52,73 +77,88 @@ def spoken(text: str) -> list[list[str]]:
     return [WORD.findall(clause) for clause in CLAUSE_END.split(text.lower())]
 
 
-def lexicon_step(words, insults):
-    """(class, weight) of each word."""
-    for word in words:
-        if word in insults:
-            yield "insult", insults[word]
-        elif word in THREATS:
-            yield "threat", THREAT_WEIGHT
-        elif word in NEGATIONS:
-            yield "negation", 0.0
-        elif word in REPORTS:
-            yield "report", 0.0
-        elif word in QUOTES:
-            yield "quote", 0.0
-        elif word in TARGETS:
-            yield "target", 0.0
-        else:
-            yield "other", 0.0
-
-
-def threat_step(symbols):
-    """Threats become insults if a target follows within reach, else nothing; all else passes."""
-    held: list[tuple[str, float]] = []  # a threat and what came after it
-    for symbol in symbols:
-        if held:
-            held.append(symbol)
-            if symbol[0] == "target":
-                yield "insult", held[0][1]
-                yield from held[1:]
-                held = []
-            elif len(held) > THREAT_REACH:
-                yield "other", 0.0
-                yield from held[1:]
-                held = []
-        elif symbol[0] == "threat":
-            held = [symbol]
-        else:
-            yield symbol
-    if held:
-        yield "other", 0.0
-        yield from held[1:]
-
-
-def negation_step(symbols):
-    reach = 0
-    for kind, weight in symbols:
-        yield kind, weight * NEGATED if reach else weight
-        reach = NEGATION_REACH if kind == "negation" else max(0, reach - 1)
-
-
-def report_step(symbols):
-    told = quoted = False
-    for kind, weight in symbols:
-        if kind == "quote":
-            quoted = not quoted
-        yield kind, weight * REPORTED if told or quoted else weight
-        told = told or kind == "report"
-
-
-def target_step(symbols):
-    """The weights of insults, larger where the clause has a target."""
-    symbols = list(symbols)
-    factor = TARGETED if any(kind == "target" for kind, _ in symbols) else 1.0
-    return [weight * factor for kind, weight in symbols if kind in ("insult", "threat")]
+CLASSES = ("other", "insult", "threat", "target", "negation", "report", "quote")
+
+
+def class_of(word: str, insults: dict[str, float]) -> str:
+    if word in insults:
+        return "insult"
+    known = (("threat", THREATS), ("negation", NEGATIONS), ("report", REPORTS), ("quote", QUOTES), ("target", TARGETS))
+    return next((kind for kind, words in known if word in words), "other")
+
+
+class Machine(NamedTuple):
+    """A transducer of classes: ``moves`` gives the next state, the class put out and its factor; ``ends`` the factor of a final state."""
+
+    start: Hashable
+    moves: dict[tuple[Hashable, str], tuple[Hashable, str, float]]
+    ends: dict[Hashable, float]
+
+
+def machine(start: Hashable, step: Callable, end: Callable = lambda state: 1.0) -> Machine:
+    """The table of a step function, over the states that can be reached."""
+    moves, ends, ahead = {}, {}, [start]
+    while ahead:
+        state = ahead.pop()
+        if state in ends:
+            continue
+        ends[state] = end(state)
+        for kind in CLASSES:
+            moves[state, kind] = step(state, kind)
+            ahead.append(moves[state, kind][0])
+    return Machine(start, moves, ends)
+
+
+def composed(first: Machine, second: Machine) -> Machine:
+    """One machine that does what the second makes of the first's output."""
+
+    def step(state, kind):
+        left, between, factor = first.moves[state[0], kind]
+        right, out, more = second.moves[state[1], between]
+        return (left, right), out, factor * more
+
+    return machine((first.start, second.start), step, lambda state: first.ends[state[0]] * second.ends[state[1]])
+
+
+def _threat(reach, kind):
+    """Read from the right: the words left in which a threat has its target."""
+    put_out = kind if kind != "threat" else "insult" if reach else "other"
+    return (THREAT_REACH if kind == "target" else max(0, reach - 1)), put_out, 1.0
+
+
+def _negation(reach, kind):
+    return (NEGATION_REACH if kind == "negation" else max(0, reach - 1)), kind, NEGATED if reach else 1.0
+
+
+def _report(state, kind):
+    told, quoted = state
+    quoted = quoted != (kind == "quote")
+    return (told or kind == "report", quoted), kind, REPORTED if told or quoted else 1.0
+
+
+THREAT = machine(0, _threat)
+GRAMMAR = composed(
+    composed(machine(0, _negation), machine((False, False), _report)),
+    machine(False, lambda seen, kind: (seen or kind == "target", kind, 1.0), lambda seen: TARGETED if seen else 1.0),
+)
+
+
+def weigh(kinds: list[str], weights: list[float]) -> float:
+    """The weight of a clause of these classes, whose insults and threats have these weights."""
+    state, read = THREAT.start, []
+    for kind in reversed(kinds):
+        state, kind, _ = THREAT.moves[state, kind]
+        read.append(kind)
+    state, total = GRAMMAR.start, 0.0
+    for kind, weight in zip(reversed(read), weights, strict=True):
+        state, kind, factor = GRAMMAR.moves[state, kind]
+        if kind == "insult":
+            total += weight * factor
+    return total * GRAMMAR.ends[state]
 
 
 def clause_weight(words: list[str], insults: dict[str, float]) -> float:
-    return sum(target_step(report_step(negation_step(threat_step(lexicon_step(words, insults))))))
+    return weigh([class_of(word, insults) for word in words], [insults.get(word, THREAT_WEIGHT) for word in words])
 
 
 def features(text: str, insults: dict[str, float]) -> tuple[float, float]:
@@ -126,7 +166,7 @@ def features(text: str, insults: dict[str, float]) -> tuple[float, float]:
     marks = insults.keys() | THREATS
     if marks.isdisjoint(WORD.findall(text.lower())):
         return 0.0, 0.0
-    weights = [clause_weight(words, insults) for words in spoken(text)]
+    weights = [clause_weight(words, insults) for words in spoken(text) if not marks.isdisjoint(words)]
     return max(weights), sum(weights)
 
 
