@@ -10,7 +10,7 @@ from conftest import TESTDATA
 from pyspark.sql import functions as F
 
 from tickloom.functions import clock
-from tickloom.operators import catalog
+from tickloom.operators import catalog, pages
 from tickloom.plans import facts, load
 from tickloom.schema import TICK_COLUMNS
 from tickloom.sources import commits, folders, samples
@@ -191,6 +191,25 @@ def test_facts_answer_as_scans_do(spark, tmp_path):
     assert list(tick_source.scan_table(spark, root).select(*TICK_COLUMNS).columns) == TICK_COLUMNS
 
 
+def test_pages_by_the_counts_of_days(spark, tmp_path):
+    root = str(tmp_path / "table")
+    ticks = samples.event_ticks(spark, SF)
+    morning = clock.hour_of(F.col("ts_event_ns")) < 12
+    load.append_ticks(ticks, root, load="a", with_facts=True, hourly=False)
+    load.append_ticks(ticks.where(morning), root, load="a", with_facts=True, hourly=False)
+    load.append_ticks(ticks.where(~morning), root, load="b", with_facts=True, hourly=False)
+    scan = tick_source.scan_table(spark, root)
+    ranges = (("2024-01-05", "2024-01-20"), ("2024-01-05T11:30:00Z", "2024-01-20T12:00:00Z"), ("2024-01-09T03:00:00Z", "2024-01-09T21:00:00Z"))
+    for start, end in (*ranges, ("2023-01-01", "2025-01-01"), ("2025-01-01", "2025-01-02")):
+        for offset in (0, 1, 7, 20, 500):
+            wanted = pages.ticks_page(scan, "S00007", start, end, 5, offset).collect()
+            assert facts.ticks_page(spark, root, "S00007", start, end, 5, offset).collect() == wanted
+    # only the days of the page are read
+    days = {path.split("date=")[1][:10] for path in facts.ticks_page(spark, root, "S00007", "2023-01-01", "2025-01-01", 2, 30).inputFiles()}
+    assert 0 < len(days) <= 8
+    assert facts.ticks_page(spark, root, "none", "2023-01-01", "2025-01-01").count() == 0
+
+
 def test_pending_files_from_the_log(spark, tmp_path):
     raw, root = tmp_path / "raw", str(tmp_path / "table")
     mapping = rows.symbol_map(spark, (1, "AA", clock.as_date("2024-01-01"), clock.as_date("2100-01-01")))

@@ -403,6 +403,8 @@ WHERE rtype <> 'status' AND ts_event_ns BETWEEN {_ns("2024-01-10T06:00:00Z")} AN
     "bars_rollup_merged": ORACLES["bars_all_symbols"],
     "bars_rollup_merged_7m": ORACLES["bars_interval_7m"],
     "lookup_order": f"WITH {_TICKS} SELECT {_COLUMNS} FROM ticks WHERE order_id IN (302, 555, 700)",
+    "ticks_page_deep_indexed": f"WITH {_TICKS}, {_page('ticks', SYMBOL, START, END, 10, 12)}",
+    "ticks_page_cut_indexed": f"WITH {_TICKS}, {_page('ticks', SYMBOL, f'{START}T07:30:00Z', f'{END}T13:20:00Z', 10, 9)}",
     "facts_data_range": ORACLES["data_range"],
     "facts_data_range_all": ORACLES["data_range_all"],
     "facts_count_by_date": ORACLES["count_by_date"],

@@ -7,15 +7,19 @@ counts of whole tables then open no file of ticks.
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock
+from ..operators import pages
 from ..operators.catalog import DEFAULT_SYMBOL
+from ..operators.filters import When, time_range
 from ..schema import TICK
 from ..sources import commits, folders
+from ..sources import ticks as tick_source
 
 FACTS = "_facts"
 
@@ -104,3 +108,51 @@ def row_count(spark: SparkSession, root: str) -> int | None:
     """Rows of a table from its log alone; None if a load does not say."""
     counts = [done.rows for done in commits.committed(spark, root.rstrip("/"))]
     return None if None in counts else sum(counts)
+
+
+def ticks_page(
+    spark: SparkSession,
+    root: str,
+    symbol: str,
+    start: When,
+    end: When,
+    limit: int = pages.PAGE_DEFAULT,
+    offset: int = 0,
+) -> DataFrame:
+    """As :func:`..operators.pages.ticks_page`, of a table; the days before a deep page are skipped by their counts.
+
+    Only the days that hold the page are scanned, whatever the offset.  A first
+    day that the range cuts is counted, which reads that day of the symbol.
+    """
+    low, high, skip = _days_of_page(spark, root, symbol, clock.as_ns(start), clock.as_ns(end), offset, pages.clamp_limit(limit) + 1)
+    days = (clock.date_of_ns(low), clock.date_of_ns(max(low, high - 1)) + dt.timedelta(days=1))
+    rows = tick_source.scan_table(spark, root, start=days[0], end=days[1])
+    return pages.ticks_page(rows, symbol, low, high, limit, skip)
+
+
+def _days_of_page(
+    spark: SparkSession, root: str, symbol: str, start: int, end: int, skip: int, keep: int
+) -> tuple[int, int, int]:
+    """The times between which the rows from ``skip`` on lie, and how many rows to skip from there."""
+    rows = table_facts(spark, root).where((F.col("symbol") == symbol) & (F.col("last_ns") >= start) & (F.col("first_ns") < end))
+    days = rows.groupBy("date").agg(
+        F.sum("cnt").alias("cnt"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns")
+    )
+    low, found = None, 0
+    for day in days.orderBy("date").collect():  # one row for each day of the range
+        midnight = clock.as_ns(day["date"])
+        count, cut = day["cnt"], day["last_ns"] >= end
+        if day["first_ns"] < start and low is None and skip:
+            one = tick_source.scan_table(spark, root, date=day["date"], symbol=symbol)
+            count = time_range(one, start, end).count()
+        elif day["first_ns"] < start:
+            cut = True
+        if low is None and not cut and skip >= count:
+            skip -= count
+            continue
+        low = max(start, midnight) if low is None else low
+        # what a cut day holds is not known, and it may hold nothing
+        found += 0 if cut else count
+        if found >= skip + keep:
+            return low, min(end, midnight + clock.DAY), skip
+    return (end, end, 0) if low is None else (low, end, skip)

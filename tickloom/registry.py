@@ -451,8 +451,8 @@ def export_partial_slot(spark, sf_dir):
     return tick_source.scan_exports(spark, root).select("date", "slot", *TICK_COLUMNS)
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of a table of two loads, one of which was run again with fewer rows."""
+def _facts_root(spark: SparkSession, sf_dir: str) -> str:
+    """A table of two loads with facts, one of which was run again with fewer rows."""
 
     def write(ticks: DataFrame, root: str) -> None:
         morning = clock.hour_of(F.col("ts_event_ns")) < 12
@@ -460,7 +460,11 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         load.append_ticks(ticks.where(morning), root, load="feed", hourly=False, with_facts=True)
         load.append_ticks(ticks.where(~morning), root, load="late", hourly=False, with_facts=True)
 
-    return facts.table_facts(spark, _written(spark, sf_dir, "facts", write))
+    return _written(spark, sf_dir, "facts", write)
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.table_facts(spark, _facts_root(spark, sf_dir))
 
 
 @query
@@ -483,6 +487,18 @@ def facts_count_by_symbol(spark, sf_dir):
     return facts.count_by_symbol(_facts(spark, sf_dir))
 
 
+@query
+def ticks_page_deep_indexed(spark, sf_dir):
+    return facts.ticks_page(spark, _facts_root(spark, sf_dir), SYMBOL, START, END, limit=10, offset=12)
+
+
+@query
+def ticks_page_cut_indexed(spark, sf_dir):
+    # bounds within days
+    root = _facts_root(spark, sf_dir)
+    return facts.ticks_page(spark, root, SYMBOL, f"{START}T07:30:00Z", f"{END}T13:20:00Z", limit=10, offset=9)
+
+
 def _rollup(spark: SparkSession, sf_dir: str) -> str:
     """A table of three loads: one run again with fewer rows, two with partial bars of different widths, one with none."""
 
