@@ -12,9 +12,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_fixtures import benchmark, documents, labels, no_rows, odd  # noqa: F401
 from pyspark.sql import functions as F
+from test_llm_text import plain_passages
 from tokenizers import Tokenizer
 
-from tickloom.llm import bpe, decontam, lengths, licenses, quality, registry, secrets, shards, simhash, urls
+from tickloom.llm import bpe, lengths, licenses, quality, registry, secrets, shards, simhash, urls
 
 SF = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -417,7 +418,7 @@ def test_pipeline(spark, documents, labels, benchmark):
     import corpus_pipeline
 
     ratios = quality.fit(documents, labels)
-    index = decontam.Items([(r.item_id, r.text) for r in benchmark.collect()], 18, 0.8)
+    items = [(r.item_id, r.text) for r in benchmark.collect()]
     left = []
     for d in documents.orderBy("doc_id").collect():
         n, *_, repeats = quality.base_counts(d.text)
@@ -431,7 +432,7 @@ def test_pipeline(spark, documents, labels, benchmark):
             kept.append(d)
         group = [g for k, g in enumerate(group) if k not in near] + [merged]
     assert len(group) == len(kept)  # no group joined two others here
-    clean = [d for d in kept if not index.passages(d.text)]
+    clean = [d for d in kept if not plain_passages(d.text, items)]
     frame = spark.createDataFrame([(d.doc_id, d.text, d.source) for d in clean], "doc_id long, text string, source string")
     texts = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
     library = Tokenizer.from_file(WORDS)
