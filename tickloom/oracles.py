@@ -179,6 +179,37 @@ _RANGE = """make_timestamp(min(ts_event_ns) // 1000) AS start, make_timestamp(ma
 _MANIFEST = f"""{_TICKS}, manifest AS (
   SELECT {_DATE} AS date, {_SLOT} AS slot, count(*) AS cnt FROM ticks GROUP BY ALL)"""
 
+_LINE = """'mbo_ticks,symbol=' || symbol || ',action=' || action || ',side=' || side
+       || ' instrument_id=' || instrument_id || 'i,order_id=' || order_id || 'i,price_raw=' || price_raw
+       || 'i,price=' || regexp_replace(CAST(price_raw / 1e9 AS VARCHAR), '[.]0$', '')
+       || ',size=' || size || 'i,flags=' || flags || 'i,channel_id=' || channel_id
+       || 'i,ts_in_delta=' || ts_in_delta || 'i,sequence=' || sequence
+       || 'i,ts_recv=' || ts_recv_ns || 'i ' || ts_event_ns"""
+
+
+def _line_batches(file: str, max_bytes: int, max_rows: int) -> str:
+    """Batches one after another, each from the end of the one before."""
+    return f"""WITH RECURSIVE {_TICKS}, sized AS (
+  SELECT {file} AS file, {_LINE} AS value, ts_event_ns, sequence FROM ticks),
+running AS (
+  SELECT file, value,
+         row_number() OVER (PARTITION BY file ORDER BY ts_event_ns, sequence) AS place,
+         sum(octet_length(encode(value)) + 1) OVER (PARTITION BY file ORDER BY ts_event_ns, sequence) AS upto
+  FROM sized),
+ends AS (
+  SELECT DISTINCT file, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS place, CAST(0 AS HUGEINT) AS upto FROM running
+  UNION ALL
+  SELECT e.file, e.batch + 1, min(r.place), min(r.upto)
+  FROM ends e JOIN running r ON r.file = e.file AND r.place > e.place
+  WHERE r.upto - e.upto >= {max_bytes} OR r.place - e.place >= {max_rows}
+  GROUP BY e.file, e.batch),
+placed AS (
+  SELECT r.*, e.batch FROM running r ASOF JOIN ends e ON r.file = e.file AND r.place > e.place)
+SELECT file, batch, count(*) AS rows, CAST(sum(octet_length(encode(value)) + 1) AS BIGINT) AS bytes,
+       md5(string_agg(value || chr(10), '' ORDER BY place)) AS text_md5
+FROM placed GROUP BY file, batch"""
+
+
 ORACLES: dict[str, str] = {
     "scan_ticks": f"WITH {_TICKS} SELECT {_COLUMNS} FROM ticks",
     "scan_by_date": f"WITH {_TICKS} SELECT {_COLUMNS} FROM ticks WHERE CAST(ts AS DATE) = DATE '{DAY}'",
@@ -275,14 +306,9 @@ FROM ticks WHERE symbol = '{SYMBOL}' AND {_between("2024-01-07", "2024-01-12")}"
        1::BIGINT AS n_files, 'mbo_' || CAST(date AS VARCHAR) || '_' || slot || '.parquet' AS file_name FROM manifest""",
     "export_totals": f"""WITH {_MANIFEST} SELECT CAST(sum(cnt) AS BIGINT) AS total_rows, count(*) AS total_files
 FROM manifest""",
-    "line_protocol": f"""WITH {_TICKS} SELECT
-       'mbo_ticks,symbol=' || symbol || ',action=' || action || ',side=' || side
-       || ' instrument_id=' || instrument_id || 'i,order_id=' || order_id || 'i,price_raw=' || price_raw
-       || 'i,price=' || regexp_replace(CAST(price_raw / 1e9 AS VARCHAR), '[.]0$', '')
-       || ',size=' || size || 'i,flags=' || flags || 'i,channel_id=' || channel_id
-       || 'i,ts_in_delta=' || ts_in_delta || 'i,sequence=' || sequence
-       || 'i,ts_recv=' || ts_recv_ns || 'i ' || ts_event_ns AS value
-FROM ticks""",
+    "line_protocol": f"WITH {_TICKS} SELECT {_LINE} AS value FROM ticks",
+    "line_batches": _line_batches("'events'", 3_000_000, 50_000),
+    "line_batches_daily": _line_batches("CAST(CAST(ts AS DATE) AS VARCHAR)", 4_000, 21),
     "to_epoch_ns": f"""WITH {_TEXTS} SELECT event_id,
        CASE WHEN zoned OR plain THEN seconds * 1000000000 + coalesce(nanos, 0) END AS timestamp_ns,
        CASE WHEN zoned OR plain

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .functions import clock, text
 from .operators import bars as bar_ops
 from .operators import catalog, filters, lookup, pages
-from .plans import adhoc, export, facts, load, outputs, rollup
+from .plans import adhoc, batches, export, facts, load, outputs, rollup
 from .schema import RAW_ORDER, RAW_RTYPES, TICK_COLUMNS
 from .session import work_dir
 from .sources import folders, samples
@@ -693,6 +693,26 @@ def line_protocol(spark, sf_dir):
     return outputs.line_protocol_rows(_ticks(spark, sf_dir))
 
 
+def _line_batches(spark, sf_dir, file, **bounds):
+    order = [F.col(name) for name in EVENT_ORDER]
+    lines = batches.batched_lines(_ticks(spark, sf_dir), file, order, text.line_protocol(F.col("symbol")), **bounds)
+    whole = batches.batch_texts(lines)
+    return whole.select("file", "batch", "rows", "bytes", F.md5("text").alias("text_md5"))
+
+
+@query
+def line_batches(spark, sf_dir):
+    """All ticks as one file, in batches of the usual size."""
+    return _line_batches(spark, sf_dir, F.lit("events"))
+
+
+@query
+def line_batches_daily(spark, sf_dir):
+    """One file a day, in batches that both bounds end; slices are shorter than days."""
+    day = clock.date_of(F.col("ts_event_ns"))
+    return _line_batches(spark, sf_dir, day, max_bytes=4_000, max_rows=21, slice_rows=50)
+
+
 # --- functions ------------------------------------------------------------
 
 
