@@ -240,6 +240,19 @@ def test_table_ddl(spark, tmp_path):
         spark.sql("DROP TABLE ticks_ddl")
 
 
+def test_table_before_the_first_load(spark, tmp_path):
+    root = str(tmp_path / "table")
+    for _ in range(2):
+        load.ensure_table(spark, "ticks_new", root)
+    try:
+        assert spark.table("ticks_new").count() == 0
+        for _ in range(2):
+            load.append_ticks(rows.ticks(spark, dict(at="2024-01-02")), root, load="a", table="ticks_new")
+            assert spark.table("ticks_new").count() == 1
+    finally:
+        spark.sql("DROP TABLE ticks_new")
+
+
 @pytest.fixture
 def raw_folder(spark, tmp_path):
     """Three daily raw files, named as the feed names them."""

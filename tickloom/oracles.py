@@ -437,6 +437,17 @@ WHERE rtype <> 'status' AND ts_event_ns BETWEEN {_ns("2024-01-10T06:00:00Z")} AN
     "facts_count_by_symbol": ORACLES["count_by_symbol"],
     "pending_in_log": f"""WITH {_FILES} SELECT file_name FROM files
 WHERE file_name NOT IN ('feed-20240103.mbo.parquet', 'feed-20240109.mbo.parquet')""",
+    "raw_files": f"WITH {_RAW} SELECT DISTINCT 'feed=' || source_file AS file_name FROM raw",
+    "stream_load": ORACLES["normalize_ticks"],
+    "catalog_table": f"WITH {_TICKS} SELECT {_DATE} AS date, ts AS ts_event, {_COLUMNS} FROM ticks",
+    **{f"result_{fmt}": ORACLES["scan_ticks"] for fmt in ("csv", "json", "parquet")},
+    "result_shape": f"""WITH {_TICKS} SELECT count(*) AS n_rows, CAST({_COLUMNS.count(",") + 1} AS BIGINT) AS n_columns
+FROM ticks WHERE action = 'T'""",
+    "bars_arrow": f"""WITH {_TICKS} {_bars(
+        _WHOLE_DAY, keys="", where=f"symbol = '{SYMBOL}' AND {_between(START, END)}")}""",
+    "ticks_arrow": ORACLES["filter_symbol"],
+    "page_clamped": f"""WITH {_LINES}, merged AS (SELECT * REPLACE ('ALL' AS symbol) FROM lines),
+{_page('merged', 'ALL', '1990-01-01', '2010-01-01', 50_000, 0)}""",
     "load_two_folders": ORACLES["normalize_ticks"],
     "load_again_fewer_hours": f"""WITH {_TICKS} SELECT {_DATE} AS date, CAST(hour(ts) AS INTEGER) AS hour, {_COLUMNS}
 FROM ticks WHERE hour(ts) < 12""",

@@ -328,7 +328,10 @@ def register(
 
 
 def ensure_table(spark: SparkSession, name: str, root: str, hourly: bool = True) -> None:
-    """Create the tick table over ``root`` in the session catalog if absent, with what is there already."""
+    """Create the tick table over ``root`` in the session catalog if absent, with what is there already.
+
+    Before the first load there is no folder yet: the table has no rows then.
+    """
     parts = [field for field in TABLE_PARTITIONS.fields if hourly or field.name != "hour"]
     columns = ", ".join(
         f"{field.name} {field.dataType.simpleString()}" for field in [*TICK.fields, *TIME_FIELDS, *parts]
@@ -338,6 +341,8 @@ def ensure_table(spark: SparkSession, name: str, root: str, hourly: bool = True)
         f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY ({by}) LOCATION :root",
         args={"root": root},
     )
+    if folders.children(spark, root) is None:
+        return
     spark.catalog.recoverPartitions(name)
     for value in commits.hidden(spark, root.rstrip("/"))[0]:
         register(spark, name, [], [commits.Commit(re.sub(commits.NUMBERED, "", value), -1, _attempt(value), None)], hourly)

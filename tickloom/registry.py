@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,11 +14,12 @@ from .functions import clock, text
 from .operators import bars as bar_ops
 from .operators import catalog, filters, lookup, pages
 from .plans import adhoc, batches, export, facts, load, outputs, rollup
-from .schema import RAW_ORDER, RAW_RTYPES, TICK_COLUMNS
+from .schema import RAW_ORDER, RAW_RTYPES, TICK, TICK_COLUMNS
 from .session import work_dir
 from .sources import folders, samples
 from .sources import raw as raw_source
 from .sources import ticks as tick_source
+from .streaming.load import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -713,6 +715,94 @@ def line_batches_daily(spark, sf_dir):
     return _line_batches(spark, sf_dir, day, max_bytes=4_000, max_rows=21, slice_rows=50)
 
 
+# --- raw folders, the catalog and results as files ------------------------
+
+
+def _raw_folder(spark: SparkSession, sf_dir: str) -> str:
+    """All raw records in a folder, one raw file (of part files) for each day, and files that are not raw ones."""
+
+    def write(_, root):
+        raw = samples.raw_records(spark, sf_dir).withColumn("feed", F.col("source_file")).drop("source_file")
+        raw.repartition("feed").write.partitionBy("feed").parquet(root)
+
+    return _written(spark, sf_dir, "raw-folder", write)
+
+
+@query
+def raw_files(spark, sf_dir):
+    return raw_source.raw_files(spark, _raw_folder(spark, sf_dir)).select("file_name")
+
+
+@query
+def stream_load(spark, sf_dir):
+    """Every raw file loaded once, eight a batch, by two runs of one stream."""
+
+    def write(_, root):
+        _, symbol_map, allowlist = _load_inputs(spark, sf_dir)
+        folder, checkpoint = _raw_folder(spark, sf_dir), work_dir(spark, "stream")
+        for _ in range(2):
+            stream = ingest_stream(spark, folder, root, checkpoint, symbol_map, allowlist, hourly=False, max_files=8)
+            stream.awaitTermination()
+
+    root = _written(spark, sf_dir, "streamed", write)
+    return tick_source.scan_table(spark, root).select(*TICK_COLUMNS)
+
+
+@query
+def catalog_table(spark, sf_dir):
+    """The loaded table by its name: registered empty, told of a load, then of the load's repetition."""
+
+    def write(ticks, root):
+        name = f"ticks_{root.rsplit('-', 1)[1]}"
+        load.ensure_table(spark, name, root, hourly=False)
+        for _ in range(2):
+            load.append_ticks(ticks, root, load="events", hourly=False, table=name)
+
+    name = f"ticks_{_written(spark, sf_dir, 'catalog', write).rsplit('-', 1)[1]}"
+    return spark.table(name).select("date", "ts_event", *TICK_COLUMNS)
+
+
+def _result_query(fmt: str) -> None:
+    def build(spark, sf_dir):
+        rows = _ticks(spark, sf_dir).select(*TICK_COLUMNS)
+        root = _written(spark, sf_dir, fmt, lambda _, path: outputs.write_result(rows, path, fmt))
+        return spark.read.format(fmt).schema(TICK).option("header", True).load(root)
+
+    build.__name__ = f"result_{fmt}"
+    query(build)
+
+
+for _format in ("csv", "json", "parquet"):
+    _result_query(_format)
+
+
+@query
+def result_shape(spark, sf_dir):
+    trades = filters.trades(_ticks(spark, sf_dir).select(*TICK_COLUMNS))
+    return spark.createDataFrame([catalog.shape(trades)], "n_rows long, n_columns long")
+
+
+@query
+def bars_arrow(spark, sf_dir):
+    """A request's bars as an Arrow table, and back."""
+    found = bar_ops.bars_for(_ticks(spark, sf_dir), SYMBOL, START, END, "1d", order=EVENT_ORDER)
+    return spark.createDataFrame(outputs.to_arrow(found, pages.PAGE_MAX))
+
+
+@query
+def ticks_arrow(spark, sf_dir):
+    """A symbol's ticks in Arrow batches, and back."""
+    found = filters.for_symbol(_ticks(spark, sf_dir), SYMBOL).select(*TICK_COLUMNS)
+    return spark.createDataFrame(pa.Table.from_batches(outputs.arrow_batches(found, rows=7)))
+
+
+@query
+def page_clamped(spark, sf_dir):
+    """A page of all ticks as one symbol, of which more are asked for than a page may have."""
+    lines = samples.line_ticks(spark, sf_dir).withColumn("symbol", F.lit("ALL"))
+    return pages.ticks_page(lines, "ALL", "1990-01-01", "2010-01-01", limit=10**9)
+
+
 # --- functions ------------------------------------------------------------
 
 
