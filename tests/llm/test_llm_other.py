@@ -314,6 +314,17 @@ def test_encoding_is_that_of_the_library(pair, parts):
     assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_what_an_encoder_remembers_is_bounded_in_bytes():
+    own, library = bpe.TrieBpe(WORDS, held=3_000), Tokenizer.from_file(WORDS)
+    long = ["".join(chr(0x4E00 + (7 * i + k) % 900) for k in range(5_000)) for i in range(20)]
+    short = [" ".join(f"word{i}x{k}" for k in range(60)) for i in range(20)]
+    for text in [*long, *short, *long, *short]:
+        (ids,) = own.encode([text])
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert max(map(len, own.known), default=0) <= bpe.LONG
+        assert own.held == sum(len(chunk) + len(known) for chunk, known in own.known.items()) <= 3_000
+
+
 def test_tokens_of_documents(spark, documents, odd, no_rows):
     library = Tokenizer.from_file(WORDS)
     found = {r.id: r for r in bpe.encode_digests(documents, WORDS).collect()}

@@ -39,11 +39,16 @@ LETTERS = "a-z\u00df-\u00f6\u00f8-\u017f"
 PLAIN_RULE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s0-9{LETTERS}]+")
 SHORT = (2, 1)  # lengths of tokens to look for at the very start of a word
 
+# What a worker remembers: chunks up to so many characters, and so many bytes of
+# them and their ids.  Text without blanks is one chunk, long and seldom repeated.
+LONG = 100
+HELD = 64 << 20
+
 
 class TrieBpe:
-    """Encoder and decoder of one tokenizer file; ``most`` bounds what it remembers."""
+    """Encoder and decoder of one tokenizer file; ``most`` chunks of ``held`` bytes bound what it remembers."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 400_000, held: int = HELD):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -69,7 +74,7 @@ class TrieBpe:
         split = self.library.pre_tokenizer.pre_tokenize_str
         # letters beyond ASCII as the symbols of their bytes
         self.symbol_of = {k: split(chr(k))[0][0] for k in range(0xDF, 0x180) if self.plain and chr(k).isalpha()}
-        self.most = most
+        self.most, self.most_held, self.held = most, held, 0
         self.known: dict[str, bytes] = {}  # chunk between blanks -> its ids, 4 bytes each
         self.fits: dict[tuple[str, str], bool] = {}  # may the second token stand after the first
         self.parts = {a + b: (a, b) for a, b in reversed(pairs)}
@@ -181,7 +186,17 @@ class TrieBpe:
         words = self.encode_words({w for words in split.values() for w in words})
         words = {w: struct.pack(f"<{len(ids)}I", *ids) for w, ids in words.items()}
         for chunk, parts in split.items():
-            self.known[chunk] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
+            ids = self.known[chunk] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
+            self.held += len(chunk) + len(ids)
+
+    def trim(self, chunks: Iterable[str]) -> None:
+        """Forget long ones of these chunks, and all chunks once they are too many."""
+        for chunk in chunks:
+            if len(chunk) > LONG and chunk in self.known:
+                self.held -= len(chunk) + len(self.known.pop(chunk))
+        if len(self.known) > self.most or self.held > self.most_held:
+            self.known.clear()
+            self.held = 0
 
     def chunks(self, text: str) -> list[str]:
         if ODD.search(text):
@@ -197,14 +212,13 @@ class TrieBpe:
             seen: set[str] = set()
             for parts in pieces:
                 seen.update(*(p for p in parts if isinstance(p, list)))
-            if len(self.known) > self.most:
-                self.known.clear()
             self.learn(seen - self.known.keys())
             for parts in pieces:
                 ids = []
                 for p in parts:
                     ids += map(self.known.__getitem__, p) if isinstance(p, list) else [np.array([self.special[p]], "<u4").tobytes()]
                 out.append(b"".join(ids))
+            self.trim(seen)
         return out
 
     def decode(self, ids: bytes) -> str:
