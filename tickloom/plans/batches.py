@@ -2,19 +2,18 @@
 
 A batch ends with the line that brings it to ``max_bytes`` or ``max_rows``, and
 the next one begins behind it: where a batch ends depends on every line before.
-What a slice of a file does to a batch that is open at its start is a table with
-one entry for each line at which that batch may end, at most ``max_rows`` of
-them.  Such tables are made for all slices at once and joined in groups of
-``WIDTH`` up to one for each file; back down, each slice learns which batch it
-starts in.  So no task reads more than a slice, or the tables of a group, also
-where one file holds most lines.
+For each line the beginning of the batch after the one that begins there follows
+from running sums alone.  Those links are doubled, round by round, into links
+over 2, 4, 8, ... batches, each round only for lines that links still lead to; from the
+longest down they then reach every beginning.  No task reads more than a slice
+or a block, also where one file holds most lines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import work_dir
@@ -23,97 +22,19 @@ from ..session import work_dir
 MAX_BYTES = 3_000_000
 MAX_ROWS = 50_000
 
+# Lines of a slice, and bytes of a block for each of them.
 SLICE_ROWS = 262_144
-WIDTH = 16
+LINE_BYTES = 64
 
 # What numbers rows within partitions leaves 33 bits for the row.
 _ROW_BITS = 33
 
-_TABLE = "key string, node long, n long, sums array<long>, rows array<long>, bytes array<long>, ends array<long>"
-_STATE = "key string, node long, rows long, bytes long, ends long"
 
-
-def _steps(max_bytes: int, max_rows: int) -> tuple[Callable, Callable, Callable, Callable]:
-    """The work within tasks.  The functions are made here so that they travel whole to the executors.
-
-    A state (rows, bytes, ends) is the open batch's size and the number of batches ended.  In a table entry ``o``
-    stands for the batch that ends behind line ``o`` of the slice: ``rows[o - 1]`` and so on are the state at the
-    slice's end.  ``sums`` has the bytes of the first lines, as far as an open batch can reach.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def end(sums, rows, size):
-        """Lines until a batch of this size ends, as if the slice went on for ever without bytes."""
-        return np.minimum(max_rows - rows, np.searchsorted(sums, max_bytes - size, side="left"))
-
-    def through(node, rows, size, ends):
-        """States at the end of a slice for states at its start."""
-        at = end(node.sums, rows, size)
-        inside = at < len(node.sums)
-        entry = np.where(inside, at, 1) - 1
-        return (
-            np.where(inside, node.rows[entry], rows + node.n),
-            np.where(inside, node.bytes[entry], size + node.sums[-1]),
-            np.where(inside, ends + 1 + node.ends[entry], ends),
-        )
-
-    def frame(key, node, n, sums, rows, size, ends):
-        return pd.DataFrame(
-            {"key": [key], "node": [node], "n": [n], "sums": [sums], "rows": [rows], "bytes": [size], "ends": [ends]}
-        )
-
-    def table(key, lines):
-        """Table of one slice."""
-        sizes = lines.sort_values("at")["size"].to_numpy(np.int64)
-        sums = np.concatenate([[0], np.cumsum(sizes)])
-        n = len(sizes)
-        start = np.arange(n + 1)
-        ends_at = np.minimum(start + max_rows, np.searchsorted(sums, sums + max_bytes, side="left"))
-        jump = np.where(ends_at <= n, ends_at, start)
-        ends = (jump != start).astype(np.int64)
-        # every round doubles the batches that a jump passes
-        while (jump != jump[jump]).any():
-            ends, jump = ends + ends[jump], jump[jump]
-        reach = slice(1, min(n, max_rows) + 1)
-        return frame(*key, n, sums[: reach.stop], n - jump[reach], sums[n] - sums[jump[reach]], ends[reach])
-
-    def compose(key, nodes):
-        """One table for neighbouring slices."""
-        done, sums_end, sums = 0, 0, [np.zeros(1, np.int64)]
-        states = tuple(np.zeros(0, np.int64) for _ in range(3))
-        for node in nodes.sort_values("node").itertuples(index=False):
-            states = through(node, *states)
-            fresh = max(0, min(len(node.rows), max_rows - done))
-            sums.append(sums_end + node.sums[1 : fresh + 1])
-            sums_end += node.sums[fresh]
-            states = tuple(np.concatenate([old, new[:fresh]]) for old, new in zip(states, (node.rows, node.bytes, node.ends)))
-            done += node.n
-        return frame(*key, done, np.concatenate(sums), *states)
-
-    def descend(key, nodes, parents):
-        """State at the start of each of the neighbouring slices."""
-        state = tuple(parents[name].to_numpy(np.int64) for name in ("rows", "bytes", "ends"))
-        found = []
-        for node in nodes.sort_values("node").itertuples(index=False):
-            found.append((key[0], node.node, *(int(part[0]) for part in state)))
-            state = through(node, *state)
-        return pd.DataFrame(found, columns=["key", "node", "rows", "bytes", "ends"])
-
-    def mark(key, lines, states):
-        """The batch of each line of a slice."""
-        lines = lines.sort_values("at")
-        sums = np.concatenate([[0], np.cumsum(lines["size"].to_numpy(np.int64))])
-        n = len(lines)
-        rows, size, first = (int(states[name].iloc[0]) for name in ("rows", "bytes", "ends"))
-        flags = np.zeros(n + 1, np.int64)
-        at = int(end(sums, rows, size))
-        while at <= n:
-            flags[at] = 1
-            at = min(at + max_rows, int(np.searchsorted(sums, sums[at] + max_bytes, side="left")))
-        return pd.DataFrame({"at": lines["at"], "batch": first + np.cumsum(flags)[:n]})
-
-    return table, compose, descend, mark
+def _before(frame: DataFrame, place: str, **sums: str) -> DataFrame:
+    """(key, place, and for each of ``sums`` its total over the places before); one small row for each place."""
+    earlier = Window.partitionBy("key").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    totals = frame.groupBy("key", place).agg(*(F.sum(column).alias(name) for name, column in sums.items()))
+    return totals.select("key", place, *(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name) for name in sums))
 
 
 def batched_lines(
@@ -135,55 +56,71 @@ def batched_lines(
         raise ValueError("bounds of batches and slices must be positive")
     spark = lines.sparkSession
     root = work_dir(spark, "batches")
+
+    def saved(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(f"{root}/{name}")
+        return spark.read.parquet(f"{root}/{name}")
+
     placed = lines.select(
         file.cast("string").alias("file"),
         F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))).alias("place"),
         F.coalesce(value.cast("string"), F.lit("")).alias("value"),
     )
-    (
-        placed.repartitionByRange("file", "place")
-        .sortWithinPartitions("file", "place")
-        .select("file", "value", F.monotonically_increasing_id().alias("at"))
-        .write.parquet(f"{root}/lines")
-    )
-    written = spark.read.parquet(f"{root}/lines")
-
-    part = F.shiftright("at", _ROW_BITS)
-    cut = F.floor(F.col("at").bitwiseAND((1 << _ROW_BITS) - 1) / slice_rows)
-    last = written.agg(F.max(part).alias("part"), F.max(cut).alias("cut")).first()
-    if last.part is None:
-        return written.select("file", F.lit(0).cast("long").alias("batch"), "at", "value")
-    cuts = last.cut + 1
+    placed = placed.repartitionByRange("file", "place").sortWithinPartitions("file", "place")
+    written = saved(placed.select("file", "value", F.monotonically_increasing_id().alias("at")), "lines")
+
+    # each line's number in its file, and the bytes before it
+    row = F.col("at").bitwiseAND((1 << _ROW_BITS) - 1)
     sizes = written.select(
         F.coalesce(F.concat(F.lit("="), F.col("file")), F.lit("")).alias("key"),
-        (part * cuts + cut).alias("node"),
+        (F.col("at") - row % slice_rows).alias("slice"),
         "at",
-        (F.octet_length("value") + 1).alias("size"),
+        (F.octet_length("value") + 1).cast("long").alias("size"),
+        F.lit(1).cast("long").alias("one"),
+    )
+    so_far = Window.partitionBy("key", "slice").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = sizes.withColumns({"lines": F.sum("one").over(so_far) - 1, "bytes": F.sum("size").over(so_far) - F.col("size")})
+    numbered = numbered.join(_before(sizes, "slice", more="one", more_bytes="size"), ["key", "slice"]).select(
+        "key", "slice", "at", (F.col("lines") + F.col("more")).alias("n"), (F.col("bytes") + F.col("more_bytes")).alias("before")
     )
+    numbered = saved(numbered, "numbered")
 
-    table, compose, descend, mark = _steps(max_bytes, max_rows)
-    up = F.floor(F.col("node") / WIDTH).alias("node")
-
-    def saved(frame: DataFrame, level: int) -> DataFrame:
-        frame.write.parquet(f"{root}/tables-{level}")
-        return spark.read.parquet(f"{root}/tables-{level}")
-
-    levels = [saved(sizes.groupBy("key", "node").applyInPandas(table, _TABLE), 0)]
-    nodes = (last.part + 1) * cuts
-    while nodes > 1:
-        nodes = -(-nodes // WIDTH)
-        levels.append(saved(levels[-1].groupBy("key", up).applyInPandas(compose, _TABLE), len(levels)))
-
-    zero = F.lit(0).cast("long")
-    states = levels.pop().select("key", "node", zero.alias("rows"), zero.alias("bytes"), zero.alias("ends"))
-    while levels:
-        below = levels.pop().groupBy("key", up)
-        states = below.cogroup(states.groupBy("key", "node")).applyInPandas(descend, _STATE)
-    marks = (
-        sizes.groupBy("key", "node")
-        .cogroup(states.groupBy("key", "node"))
-        .applyInPandas(mark, "at long, batch long")
+    # the next batch begins with the first line before which there are max_bytes more
+    spots = numbered.select("key", "n", F.col("before").alias("spot"), F.lit(1).cast("long").alias("line")).union(
+        numbered.select("key", "n", F.col("before") + max_bytes, F.lit(0).cast("long"))
     )
+    block = max(max_bytes, slice_rows * LINE_BYTES)
+    spots = spots.withColumn("block", F.floor(F.col("spot") / block))
+    # of equal spots the sought one comes first, so that it counts the lines before it only
+    so_far = Window.partitionBy("key", "block").orderBy("spot", "line").rowsBetween(Window.unboundedPreceding, 0)
+    found = spots.withColumn("lines", F.sum("line").over(so_far)).where("line = 0")
+    found = found.join(_before(spots, "block", more="line"), ["key", "block"])
+    to = F.least(F.col("lines") + F.col("more"), F.col("n") + max_rows)
+    links = [saved(found.select("key", "n", to.alias("to")), "links-0")]
+    while True:
+        last = links[-1]
+        wanted = last.select("key", F.col("to").alias("n")).union(last.where("n = 0").select("key", "n")).distinct()
+        after = last.select("key", F.col("n").alias("to"), F.col("to").alias("beyond"))
+        twice = last.join(wanted, ["key", "n"]).join(after, ["key", "to"]).select("key", "n", F.col("beyond").alias("to"))
+        twice = saved(twice, f"links-{len(links)}")
+        if twice.where("n = 0").isEmpty():
+            break
+        links.append(twice)
+
+    begins = numbered.where("n = 0").select("key", "n")
+    for level in reversed(range(len(links))):
+        further = begins.join(links[level], ["key", "n"]).select("key", F.col("to").alias("n"))
+        begins = saved(begins.union(further), f"begins-{level}")
+
+    # a line is in the last batch that began
+    batch = F.row_number().over(Window.partitionBy("key").orderBy("n")).cast("long") - 1
+    begun = numbered.join(begins.withColumn("batch", batch), ["key", "n"], "left")
+    so_far = Window.partitionBy("key", "slice").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = begun.groupBy("key", "slice").agg(F.max("batch").alias("last"))
+    slices = slices.select("key", "slice", F.max("last").over(earlier).alias("open"))
+    marks = begun.withColumn("batch", F.max("batch").over(so_far)).join(slices, ["key", "slice"])
+    marks = marks.select("at", F.coalesce("batch", "open").alias("batch"))
     return written.join(marks, "at").select("file", "batch", "at", "value")
 
 
