@@ -54,6 +54,25 @@ def test_batches_of_files(spark, bounds):
     assert batched(spark, lines, **bounds) == plain(lines, bounds["max_bytes"], bounds["max_rows"])
 
 
+@pytest.mark.parametrize("stretch", [(4, 10**6), (256, 5)])  # the latter is shorter than a batch
+def test_batches_over_stretches(spark, monkeypatch, stretch):
+    monkeypatch.setattr(batches, "STRETCH_BATCHES", stretch[0])
+    monkeypatch.setattr(batches, "STRETCH_ROWS", stretch[1])
+    lines = some_lines(7, 40, 960, 1, 90)
+    bounds = dict(max_bytes=700, max_rows=12, slice_rows=7)
+    assert batched(spark, lines, **bounds) == plain(lines, 700, 12)
+
+
+def test_links_that_are_doubled(spark, monkeypatch, tmp_path):
+    """Links of lines are written once, and few in all rounds together, also where batches and slices are small."""
+    monkeypatch.setattr(batches, "work_dir", lambda spark, name: str(tmp_path / name))
+    lines = [("a", i, "x" * (i % 7)) for i in range(6000)]
+    bounds = dict(max_bytes=12, max_rows=3, slice_rows=50)
+    assert batched(spark, lines, **bounds) == plain(lines, 12, 3)
+    written = sum(spark.read.parquet(str(links)).count() for links in tmp_path.glob("batches/links*"))
+    assert len(lines) < written < 1.5 * len(lines)
+
+
 def test_no_lines(spark):
     assert batched(spark, []) == []
 
